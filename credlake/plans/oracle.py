@@ -110,3 +110,45 @@ def sql(body: str, *needs: str) -> str:
         return body.strip()
     withs = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in order)
     return f"WITH {withs}\n{body.strip()}"
+
+
+def lit(s: str) -> str:
+    """A SQL string literal (newlines kept verbatim, quotes doubled)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def template(tpl: str, **exprs: str) -> str:
+    """DuckDB twin of functions.display.fill_template."""
+    parts: list[str] = []
+    rest = tpl
+    while rest:
+        i = rest.find("{")
+        if i < 0:
+            parts.append(lit(rest))
+            break
+        j = rest.index("}", i)
+        if i:
+            parts.append(lit(rest[:i]))
+        parts.append(f"coalesce(CAST({exprs[rest[i + 1:j]]} AS VARCHAR), '')")
+        rest = rest[j + 1:]
+    return "(" + " || ".join(parts) + ")"
+
+
+def pct0(expr: str) -> str:
+    return f"(CAST(CAST(round_even({expr} * 100, 0) AS BIGINT) AS VARCHAR) || '%')"
+
+
+def pct1(expr: str) -> str:
+    n = f"CAST(round({expr} * 10000, 0) AS BIGINT)"
+    q = f"({n} // 10)"
+    r = f"({n} - {q} * 10)"
+    tenths = f"({q} + CASE WHEN {r} > 5 OR ({r} = 5 AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+    return f"(CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR) || '%')"
+
+
+def or_default(expr: str, default: str) -> str:
+    return f"coalesce(nullif({expr}, ''), {lit(default)})"
+
+
+def truncate(expr: str, n: int) -> str:
+    return f"(CASE WHEN length({expr}) > {n} THEN substr({expr}, 1, {n}) || '...' ELSE {expr} END)"
