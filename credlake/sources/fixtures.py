@@ -120,9 +120,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"))
     a = art.join(docs, "doc_id")
     item = F.struct(
-        F.when(F.col("doc_id") % 41 == 0, F.struct(F.lit(None).cast("string").alias("id")))
-         .otherwise(F.struct(F.lit(None).cast("string").alias("id"), F.col("name").alias("name")))
-         .alias("source"),
+        # to_json omits null fields: name is absent from the JSON when doc_id % 41 = 0
+        F.struct(F.when(F.col("doc_id") % 41 != 0, F.col("name")).alias("name")).alias("source"),
         F.when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit(" Writer "), (F.col("doc_id") % 11).cast("string"), F.lit(" ")))
          .alias("author"),
@@ -187,3 +186,17 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
          .coalesce(1).write.mode("overwrite").option("header", "true").option("escape", "\"")
          .csv(f"{path}/fnn/{name}"))
     return path
+
+
+def scored_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 variant for the sink guard: scored JSON with broken rows mixed in."""
+    from credlake.schemas import GOLD_COLUMNS
+
+    sc = articles_scored(spark, sf_dir)
+    value = (F.when(F.col("doc_id") % 97 == 0, F.lit("not json"))
+             .when(F.col("doc_id") % 89 == 0, F.to_json(F.struct(*GOLD_COLUMNS[1:])))
+             .when(F.col("doc_id") % 83 == 0, F.lit('["a"]'))
+             .when(F.col("doc_id") % 79 == 0, F.lit('{"id":null}'))
+             .when(F.col("doc_id") % 73 == 0, F.lit('{"ID":"z"}'))
+             .otherwise(F.to_json(F.struct(*GOLD_COLUMNS))))
+    return sc.select("doc_id", F.col("id").alias("key"), value.alias("value"))
