@@ -109,7 +109,10 @@ def sql(body: str, *needs: str) -> str:
     if not order:
         return body.strip()
     withs = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in order)
-    return f"WITH {withs}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].upper() == "WITH ":  # the body's own CTEs follow the fixtures
+        return f"WITH {withs},\n{body[5:]}"
+    return f"WITH {withs}\n{body}"
 
 
 def lit(s: str) -> str:

@@ -171,12 +171,14 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
                           (F.col("doc_id") % len(LIAR_RULINGS) + 1).cast("int"))
     split = (F.when(F.col("doc_id") % 10 == 0, "test")
              .when(F.col("doc_id") % 10 == 1, "valid").otherwise("train"))
+    pad = [F.lit(x).alias(f"c{i}") for i, x in
+           enumerate(["none", "none", "none", "0", "0", "0", "0", "0", "news"], start=5)]
     liar = art.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("c0"),
                       ruling.alias("c1"), clean_title.alias("c2"), F.lit("news").alias("c3"),
-                      F.col("source").alias("c4"), split.alias("split"))
+                      F.col("source").alias("c4"), *pad, split.alias("split"))
     for part in ("train", "valid", "test"):
         (liar.where(F.col("split") == part).drop("split").coalesce(1).write.mode("overwrite")
-         .option("sep", "\t").option("quote", "\u0000").option("header", "false")
+         .option("sep", "\t").option("header", "false")
          .csv(f"{path}/liar/{part}.tsv"))
     body = F.regexp_replace(F.col("content"), "[\r\n\"]+", " ")
     for i, (name, _label) in enumerate(FNN_FILES):
