@@ -158,10 +158,19 @@ def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHE
 
 
 def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: str | int,
-               key: str = "id", seq_cols=("scored_at",), schema: StructType = GOLD_SCHEMA) -> int:
+               key: str = "id", seq_cols=("scored_at",), schema: StructType = GOLD_SCHEMA,
+               locate_moved: bool = True) -> int:
     """S12 on storage: fold ``updates`` into the serving table; returns the version.
 
     Replay-safe: a batch id already in the commit log changes nothing.
+
+    Work per call: one narrow scan of ``(id, date)`` against the broadcast
+    batch ids finds where updated ids live now (so an article whose date
+    moved is removed from its old partition); full rows are then read only
+    from the touched date partitions, which are rewritten anyway.  With
+    ``locate_moved=False`` the narrow scan is skipped and only the dates the
+    batch carries are touched -- constant work per batch for very large
+    tables, exact as long as an id never changes its date.
     """
     from credlake.operators.merge import fits_broadcast, fold_updates, merge_folded
 
@@ -180,14 +189,21 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
                           key, seq_cols).persist()
     small = fits_broadcast(folded, 2_000_000)
     ids = F.broadcast(folded.select(key)) if small else folded.select(key)
-    hit = target.join(ids, key, "left_semi")
-    merged = merge_folded(hit, folded, key, broadcast=small).select(*schema.fieldNames())
-    # touched dates: bounded by the number of date partitions, not by rows
-    touched = [r[0] for r in hit.select("date").union(merged.select("date")).distinct().collect()]
-    keep = target.where(F.col("date").isin(touched) if touched else F.lit(False))
-    keep = keep.join(ids, key, "left_anti")
+    # dates to rewrite: bounded by the number of date partitions, not by rows
+    dates = folded.select("date")
+    if locate_moved:
+        dates = target.select(key, "date").join(ids, key, "left_semi").select("date").union(dates)
+    touched = [r[0] for r in dates.distinct().collect()]
+    in_touched = F.col("date").isin([d for d in touched if d is not None]) if touched else F.lit(False)
     if any(d is None for d in touched):
-        keep = keep.unionByName(target.where(F.col("date").isNull()).join(ids, key, "left_anti"))
+        in_touched = in_touched | F.col("date").isNull()
+    part = target.where(in_touched)  # partition-pruned read of the touched dates
+    hit = part.join(ids, key, "left_semi")
+    merged = merge_folded(hit, folded, key, broadcast=small).select(*schema.fieldNames())
+    if not locate_moved:
+        # ids stored under another date are not looked up: keep them out of the insert set
+        merged = merged.where(in_touched)
+    keep = part.join(ids, key, "left_anti")
     out = keep.unionByName(merged).withColumn("v", F.lit(n))
     out.write.mode("append").partitionBy("date", "v").parquet(table)
     _touch(spark, f"{table}/_log/v={n}.b={batch}")

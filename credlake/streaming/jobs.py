@@ -28,14 +28,34 @@ from credlake.sources.lake import trigger_args
 ScoredAt = Callable[[DataFrame], Column]
 
 
-def run_bronze(src: DataFrame, base: str, ckpt: str, trigger: str | None = None) -> StreamingQuery:
+LAYER_WRITERS = 8
+
+
+def by_date_writers(df: DataFrame, writers: int = LAYER_WRITERS) -> DataFrame:
+    """Range-partition a micro-batch by (date, id) before a date-partitioned write.
+
+    Without it every upstream task writes one file into every date it holds
+    (tasks x dates small files per batch).  Range partitions are contiguous
+    in date: quiet dates share a writer, while a hot date (today's news) is
+    split by id across several -- about ``writers + dates`` files per batch.
+    """
+    if writers <= 0:
+        return df
+    return df.repartitionByRange(writers, "date", "id")
+
+
+def run_bronze(src: DataFrame, base: str, ckpt: str, trigger: str | None = None,
+               writers: int = LAYER_WRITERS) -> StreamingQuery:
     """S1 -> S4 -> S6: verbatim parsed envelopes, partitioned by date."""
-    return lake.write_layer(parse_envelopes(src), f"{base}/bronze", f"{ckpt}/bronze", ("date",), trigger)
+    parsed = by_date_writers(parse_envelopes(src), writers)
+    return lake.write_layer(parsed, f"{base}/bronze", f"{ckpt}/bronze", ("date",), trigger)
 
 
-def run_silver(src: DataFrame, base: str, ckpt: str, trigger: str | None = None) -> StreamingQuery:
+def run_silver(src: DataFrame, base: str, ckpt: str, trigger: str | None = None,
+               writers: int = LAYER_WRITERS) -> StreamingQuery:
     """S1 -> S4 -> C1 (whole-history first-arrival dedupe) -> S7."""
     silver = clean(parse_envelopes(src)).select(*SILVER_SCHEMA.fieldNames())
+    silver = by_date_writers(silver, writers)
     return lake.write_layer(silver, f"{base}/silver", f"{ckpt}/silver", ("date",), trigger)
 
 
@@ -78,7 +98,8 @@ def run_score_stream(spark: SparkSession, base: str, ckpt: str, scored_at: Score
         at = scored_at(batch) if scored_at is not None else None
         scored = score_default(batch, at) if scorer is None else scorer(batch)
         gold = scored.select(*GOLD_COLUMNS).persist()
-        _idempotent_append(spark, gold, f"{base}/gold", batch_id, ("date", "label"))
+        _idempotent_append(spark, gold.repartitionByRange(LAYER_WRITERS, "date", "label", "id"),
+                           f"{base}/gold", batch_id, ("date", "label"))
         _idempotent_append(spark, to_scored_envelope(gold), f"{base}/scored_topic", batch_id)
         if serving:
             lake.merge_into(spark, serving, gold, f"{query_token}-{batch_id}")
