@@ -112,7 +112,9 @@ def new_articles(batches: Sequence[DataFrame], seen: DataFrame | None = None,
         u = u.unionByName(b, allowMissingColumns=True)
     first = first_per_key(u, ["id"], list(order_by))
     if seen is not None:
-        first = first.join(seen.select("id").distinct(), "id", "left_anti")
+        from credlake.operators.merge import new_only
+        # the seen set grows without bound; stream it against the batch keys
+        first = new_only(seen.select("id"), first, "id")
     return first
 
 

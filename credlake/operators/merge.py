@@ -102,8 +102,13 @@ def merge_counts(target: DataFrame, updates: DataFrame, key: str = "id",
     """
     folded = fold_updates(updates, key, seq_cols)
     cols = [c for c in folded.columns if c != key and c in target.columns]
-    j = folded.alias("u").join(target.select(key, *cols).withColumn("_hit", F.lit(1)).alias("t"),
-                               key, "left")
+    # only stored rows of this batch's ids matter: stream the target through a
+    # semi-join against the (size-checked, broadcast) batch keys first
+    keys = folded.select(key)
+    if fits_broadcast(keys, DEFAULT_BROADCAST_ROWS):
+        keys = F.broadcast(keys)
+    stored = target.select(key, *cols).join(keys, key, "left_semi")
+    j = folded.alias("u").join(stored.withColumn("_hit", F.lit(1)).alias("t"), key, "left")
     present = F.col("_hit").isNotNull()
     changed = F.lit(False)
     for c in cols:

@@ -18,7 +18,8 @@ from credlake.sources import lake
 from credlake.sources.envelopes import read_envelopes
 from credlake.streaming import jobs
 
-FIVE_S = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(5))
+def five_seconds():
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(5))
 
 
 def _stage_envelopes(spark, sf):
@@ -46,7 +47,7 @@ def _scored_stream(spark, root):
 
 
 def _scored_at(batch):
-    return F.col("fetched_at") + FIVE_S
+    return F.col("fetched_at") + five_seconds()
 
 
 ENV_OK = "doc_id % 97 <> 0 AND doc_id % 89 <> 0"

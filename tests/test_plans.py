@@ -80,3 +80,17 @@ def test_small_queries_match_oracle(spark):
         d = con.execute(o[name]).df()
         assert len(s) == len(d), name
         assert sorted(s.columns) == sorted(d.columns), name
+
+
+def test_contract_loads_without_a_session():
+    """The driver may ask for oracle SQL before starting Spark: no Column at import time."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); import __spark_entry__ as se; "
+            "q = se.queries(); o = se.oracle_sql(); print(len(q), len(o))")
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n_q, n_o = map(int, out.stdout.split()[-2:])
+    assert n_q >= 70 and n_o >= 60
