@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
@@ -42,9 +43,31 @@ def fold_updates(updates: DataFrame, key: str = "id",
     return updates.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Bounded size check: counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """Approximate payload size of a row: string / binary lengths, 8 bytes per
+    other field (nested values count as their JSON-free fixed part)."""
+    parts = []
+    for f in df.schema.fields:
+        t = f.dataType.typeName()
+        if t in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long"))
+        else:
+            parts.append(F.lit(8).cast("long"))
+    out = F.lit(0).cast("long")
+    for p in parts:
+        out = out + p
+    return out
+
+
+def fits_broadcast(df: DataFrame, max_rows: int,
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """Bounded size check before a broadcast: looks at no more than
+    ``max_rows + 1`` rows and needs both their count and their payload bytes
+    within bounds.  The width is computed before the limit, so the limit's
+    single-partition exchange carries one long per row, not the row itself."""
+    r = (df.select(row_bytes(df).alias("_w")).limit(max_rows + 1)
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("b")).first())
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
 
 
 def _columns(target: DataFrame, folded: DataFrame, key: str) -> list[str]:

@@ -15,20 +15,24 @@ Plain Parquet has no MERGE (no table-format jar in this image; with one, this
 would be ``MERGE INTO``).  The serving table keeps one directory per date and
 version, ``date=D/v=N``, plus a commit log ``_log/v=N.b=<batch>``:
 
-* a merge rewrites only the dates it touches (the old and new date of every
-  updated id, and the dates of inserted ids) into ``v=N+1`` -- appends only,
-  never in-place overwrites;
-* the commit marker is written last, so a crashed attempt leaves only
-  uncommitted ``v=N+1`` folders, removed before the retry;
+* a merge rewrites only the dates that hold stored copies of the batch's ids
+  (the old and new date of every updated id) into full ``v=N+1`` folders
+  (marker ``_full``); rows of ids not stored yet go into *append* folders
+  (no marker) of their dates, so a stream of new articles never rewrites a partition;
+  long append chains are compacted by the next merge that writes the date;
+* files are never changed in place; the commit marker is written last, so a
+  crashed attempt leaves only uncommitted ``v=N+1`` folders, removed before
+  the retry;
 * a batch id that is already committed is a no-op, so a replayed
   micro-batch cannot apply twice;
-* readers take, per date, the newest committed version.
+* readers take, per date, the newest committed full version and the append
+  versions after it; ``vacuum`` deletes what no reader needs any more.
 """
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -38,6 +42,7 @@ from credlake.schemas import BRONZE_SCHEMA, GOLD_SCHEMA, SILVER_SCHEMA
 LAYER_SCHEMAS = {"bronze": BRONZE_SCHEMA, "silver": SILVER_SCHEMA, "gold": GOLD_SCHEMA}
 LAYER_PARTITIONS = {"bronze": ("date",), "silver": ("date",), "gold": ("date", "label")}
 SCORE_FILES_PER_TRIGGER = 16
+TARGET_FILE_BYTES = 128 * 1024 * 1024
 
 
 def trigger_args(trigger: str | None) -> dict:
@@ -126,6 +131,13 @@ def layer_inventory(spark: SparkSession, base: str, tiers=("bronze", "silver", "
 
 _LOG = re.compile(r"v=(\d+)\.b=(.+)$")
 _VER = re.compile(r"/date=([^/]+)/v=(\d+)$")
+_MARK = re.compile(r"/date=([^/]+)/v=(\d+)/_(full|empty)$")
+NULL_DATE = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for a null partition value
+MAX_APPENDS = 16  # append versions a date may pile up before a merge compacts it
+
+
+def _date_dir(d) -> str:
+    return NULL_DATE if d is None else str(d)
 
 
 def committed(spark: SparkSession, table: str) -> list[tuple[int, str]]:
@@ -137,42 +149,108 @@ def committed(spark: SparkSession, table: str) -> list[tuple[int, str]]:
     return sorted(out)
 
 
-def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHEMA) -> DataFrame:
-    """Current state: per date, the newest committed version folder."""
+def live_versions(spark: SparkSession, table: str) -> dict[str, list[tuple[int, str]]]:
+    """Per date folder, the committed version folders holding its current rows.
+
+    A version folder is either an *append* (no marker: rows of ids that were
+    not stored yet, on top of the versions before it), *full* (marker
+    ``_full``: the date's whole content, written by a rewrite) or *empty*
+    (marker ``_empty``: a rewrite left the date without rows).  Appends are
+    the common case and carry no marker, so a merge of new rows touches no
+    extra files.  The live chain of a date is its newest full or empty
+    version plus every append after it (a date's first version is the base
+    of its chain); empty versions hold no data and are left out of the
+    returned paths.  Three listings, no data read.
+    """
     log = committed(spark, table)
     cur = log[-1][0] if log else 0
-    latest: dict[str, tuple[int, str]] = {}
+    marks: dict[tuple[str, int], str] = {}
+    for p in _glob(spark, f"{table}/date=*/v=*/_*"):
+        m = _MARK.search(p)
+        if m:
+            marks[(m.group(1), int(m.group(2)))] = m.group(3)
+    by_date: dict[str, list[tuple[int, str]]] = {}
     for p in _glob(spark, f"{table}/date=*/v=*"):
         m = _VER.search(p)
-        if not m:
-            continue
-        d, v = m.group(1), int(m.group(2))
-        if v <= cur and (d not in latest or v > latest[d][0]):
-            latest[d] = (v, p)
-    full = StructType(list(schema.fields) + [StructField("v", IntegerType())])
-    if not latest:
+        if m and int(m.group(2)) <= cur:
+            by_date.setdefault(m.group(1), []).append((int(m.group(2)), p))
+    live: dict[str, list[tuple[int, str]]] = {}
+    for d, vs in by_date.items():
+        chain = []
+        for v, p in sorted(vs, reverse=True):
+            kind = marks.get((d, v))
+            if kind != "empty":
+                chain.append((v, p))
+            if kind is not None:
+                break
+        live[d] = chain
+    return live
+
+
+def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHEMA,
+                 live: dict[str, list[tuple[int, str]]] | None = None) -> DataFrame:
+    """Current state: per date, its live chain of committed version folders."""
+    if live is None:
+        live = live_versions(spark, table)
+    paths = [p for chain in live.values() for _, p in chain]
+    if not paths:
         return spark.createDataFrame([], schema)
-    paths = [p for _, p in latest.values()]
+    full = StructType(list(schema.fields) + [StructField("v", IntegerType())])
     return spark.read.schema(full).option("basePath", table).parquet(*paths).drop("v") \
         .select(*schema.fieldNames())
 
 
+def _bytes(spark: SparkSession, paths) -> int:
+    """Stored bytes under ``paths`` (driver-side listing, no data read)."""
+    total = 0
+    for path in paths:
+        fs, p = _fs(spark, path)
+        total += fs.getContentSummary(p).getLength()
+    return total
+
+
+def _profile(folded: DataFrame, max_rows: int) -> tuple[int, int, list]:
+    """Rows (up to ``max_rows + 1``), payload bytes and dates of a folded batch:
+    one bounded aggregate; the per-row width is computed before the limit."""
+    from credlake.operators.merge import row_bytes
+
+    r = (folded.select(row_bytes(folded).alias("_w"), "date").limit(max_rows + 1)
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("b"),
+              F.collect_set("date").alias("d"), F.max(F.col("date").isNull()).alias("z")).first())
+    if r["n"] > max_rows:  # big batch: its dates come from their own (small) distinct
+        return r["n"], r["b"] or 0, [x[0] for x in folded.select("date").distinct().collect()]
+    return r["n"], r["b"] or 0, list(r["d"]) + ([None] if r["z"] else [])
+
+
+def _in_dates(dates) -> Column:
+    vals = [d for d in dates if d is not None]
+    cond = F.col("date").isin(vals) if vals else F.lit(False)
+    return cond | F.col("date").isNull() if any(d is None for d in dates) else cond
+
+
 def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: str | int,
                key: str = "id", seq_cols=("scored_at",), schema: StructType = GOLD_SCHEMA,
-               locate_moved: bool = True) -> int:
+               locate_moved: bool = True, max_appends: int = MAX_APPENDS) -> int:
     """S12 on storage: fold ``updates`` into the serving table; returns the version.
 
     Replay-safe: a batch id already in the commit log changes nothing.
 
-    Work per call: one narrow scan of ``(id, date)`` against the broadcast
-    batch ids finds where updated ids live now (so an article whose date
-    moved is removed from its old partition); full rows are then read only
-    from the touched date partitions, which are rewritten anyway.  With
-    ``locate_moved=False`` the narrow scan is skipped and only the dates the
-    batch carries are touched -- constant work per batch for very large
-    tables, exact as long as an id never changes its date.
+    Work per call:
+
+    * one bounded profile of the folded batch (rows, bytes, dates) decides
+      the broadcasts;
+    * one narrow scan of ``(id, date)`` against the broadcast batch ids finds
+      the dates ``H`` where stored copies of the batch ids live (with
+      ``locate_moved=False`` only the batch's own dates are scanned -- exact
+      as long as an id keeps its date);
+    * dates in ``H`` are rewritten (partition-pruned read, full new version);
+      every other date the batch writes to only gets an *append* version with
+      its new rows -- nothing stored is read or rewritten there.  A stream of
+      new articles therefore never rewrites today's partition; a date whose
+      append chain grows past ``max_appends`` is compacted by rewriting it.
     """
-    from credlake.operators.merge import fits_broadcast, fold_updates, merge_folded
+    from credlake.operators.merge import (DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS,
+                                          fold_updates, merge_folded)
 
     batch = str(batch_id)
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
@@ -184,47 +262,61 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
     for p in _glob(spark, f"{table}/date=*/v={n}"):  # leftovers of a failed attempt
         _delete(spark, p)
 
-    target = read_serving(spark, table, schema)
+    live = live_versions(spark, table)
+    target = read_serving(spark, table, schema, live)
     folded = fold_updates(updates.select(*[c for c in schema.fieldNames() if c in updates.columns]),
                           key, seq_cols).persist()
-    small = fits_broadcast(folded, 2_000_000)
-    ids = F.broadcast(folded.select(key)) if small else folded.select(key)
-    # dates to rewrite: bounded by the number of date partitions, not by rows
-    dates = folded.select("date")
-    if locate_moved:
-        dates = target.select(key, "date").join(ids, key, "left_semi").select("date").union(dates)
-    touched = [r[0] for r in dates.distinct().collect()]
-    in_touched = F.col("date").isin([d for d in touched if d is not None]) if touched else F.lit(False)
-    if any(d is None for d in touched):
-        in_touched = in_touched | F.col("date").isNull()
-    part = target.where(in_touched)  # partition-pruned read of the touched dates
+    rows, nbytes, wdates = _profile(folded, DEFAULT_BROADCAST_ROWS)
+    small = rows <= DEFAULT_BROADCAST_ROWS and nbytes <= DEFAULT_BROADCAST_BYTES
+    # keys alone (24-char ids) stay broadcastable while the row count is bounded
+    ids = F.broadcast(folded.select(key)) if rows <= DEFAULT_BROADCAST_ROWS else folded.select(key)
+    scope = target if locate_moved else target.where(_in_dates(wdates))
+    hdates = {r[0] for r in scope.select(key, "date").join(ids, key, "left_semi")
+              .select("date").distinct().collect()}  # bounded by the number of dates
+    # compaction: dates this batch writes to whose append chain is long are rewritten too
+    hdates |= {d for d in wdates if len(live.get(_date_dir(d), [])) > max_appends}
+    part = target.where(_in_dates(hdates))  # partition-pruned read of the rewritten dates
     hit = part.join(ids, key, "left_semi")
     merged = merge_folded(hit, folded, key, broadcast=small).select(*schema.fieldNames())
-    if not locate_moved:
-        # ids stored under another date are not looked up: keep them out of the insert set
-        merged = merged.where(in_touched)
     keep = part.join(ids, key, "left_anti")
-    out = keep.unionByName(merged).withColumn("v", F.lit(n))
+    # Writers sized by the bytes written (~TARGET_FILE_BYTES per file); range
+    # partitions are contiguous in (date, id): a quiet date is one file, a hot
+    # one splits across several writers -- about writers + dates files instead
+    # of tasks x dates.  Rows are sorted by id inside each file, so row-group
+    # statistics serve point lookups.
+    rewritten = _bytes(spark, [p for d in hdates for _, p in live.get(_date_dir(d), [])])
+    writers = 1 + (rewritten + nbytes) // TARGET_FILE_BYTES
+    out = (keep.unionByName(merged).repartitionByRange(int(writers), "date", key)
+           .withColumn("v", F.lit(n)).sortWithinPartitions("date", "v", key))
     out.write.mode("append").partitionBy("date", "v").parquet(table)
+    for d in hdates:  # rewritten dates end their chains; appends need no marker
+        folder = f"{table}/date={_date_dir(d)}/v={n}"
+        # a rewritten date without rows: every row moved away
+        _touch(spark, f"{folder}/_full" if exists(spark, folder) else f"{folder}/_empty")
     _touch(spark, f"{table}/_log/v={n}.b={batch}")
     folded.unpersist()
     return n
 
 
 def vacuum(spark: SparkSession, table: str) -> int:
-    """Delete version folders superseded by a newer committed version of the same date."""
+    """Delete version folders no live chain needs (superseded by a newer full
+    or empty version of the same date); uncommitted folders are left alone."""
     log = committed(spark, table)
     cur = log[-1][0] if log else 0
-    by_date: dict[str, list[tuple[int, str]]] = {}
+    live = live_versions(spark, table)
+    removed = 0
     for p in _glob(spark, f"{table}/date=*/v=*"):
         m = _VER.search(p)
-        if m:
-            by_date.setdefault(m.group(1), []).append((int(m.group(2)), p))
-    removed = 0
-    for vs in by_date.values():
-        live = max((v for v, _ in vs if v <= cur), default=None)
-        for v, p in vs:
-            if live is not None and v < live:
-                _delete(spark, p)
-                removed += 1
+        if not m or int(m.group(2)) > cur:
+            continue
+        d, v = m.group(1), int(m.group(2))
+        chain = [x for x, _ in live.get(d, [])]
+        # an emptied date has no chain paths: everything older than its marker goes
+        base = min(chain) if chain else None
+        if base is None:
+            marks = _glob(spark, f"{table}/date={d}/v=*/_empty")
+            base = max((int(_MARK.search(x).group(2)) for x in marks), default=None)
+        if base is not None and v < base:
+            _delete(spark, p)
+            removed += 1
     return removed

@@ -157,27 +157,46 @@ def run_breakdown_stream(scored: DataFrame, path: str, ckpt: str, trigger: str |
     return _complete_to_table(breakdown_agg(scored), path, ckpt, trigger)
 
 
+FEED_COUNTER_SCHEMA = "batch_id long, n long, running_n long, last_source string"
+
+
 def run_feed_counter(scored: DataFrame, path: str, ckpt: str, trigger: str | None = None):
-    """One summary row per micro-batch: n, last source (latest scored_at)."""
+    """One summary row per micro-batch: n, running_n, last source (latest scored_at).
+
+    The running total is carried from batch to batch: each batch adds its own
+    one-row aggregate to the previous batch's total, which is kept after each
+    write and read back (one pushed-down row) only when the query (re)starts.
+    Nothing ever re-reads or re-orders the whole history.
+    """
     spark = scored.sparkSession
+    last: dict[str, int] = {}  # batch id and running total of the last written row
+
+    def previous(batch_id: int) -> int:
+        if last.get("b") == batch_id - 1:
+            return last["n"]
+        if batch_id == 0 or not lake.exists(spark, path):
+            return 0
+        r = (spark.read.schema(FEED_COUNTER_SCHEMA).parquet(path)
+             .where(F.col("batch_id") == batch_id - 1).select("running_n").first())
+        return r[0] if r else 0
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        summary = batch.agg(F.count(F.lit(1)).alias("n"),
-                            F.max_by("source", F.struct("scored_at", "id")).alias("last_source"))
-        _idempotent_append(spark, summary.withColumn("batch_id", F.lit(batch_id).cast("long")),
-                           path, batch_id)
+        row = batch.agg(F.count(F.lit(1)).alias("n"),
+                        F.max_by("source", F.struct("scored_at", "id")).alias("last_source")).first()
+        running = previous(batch_id) + row["n"]
+        summary = spark.createDataFrame([(batch_id, row["n"], running, row["last_source"])],
+                                        FEED_COUNTER_SCHEMA)
+        _idempotent_append(spark, summary, path, batch_id)
+        last.update(b=batch_id, n=running)
 
     return (scored.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
             .trigger(**trigger_args(trigger)).start())
 
 
 def feed_counter_table(spark: SparkSession, path: str) -> DataFrame:
-    """Summary rows with the running count (one row per micro-batch)."""
-    from pyspark.sql import Window
-
-    s = spark.read.parquet(path).where(F.col("n") > 0)
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return s.select("batch_id", "n", F.sum("n").over(w).alias("running_n"), "last_source")
+    """Summary rows of the non-empty micro-batches (running total included)."""
+    return (spark.read.schema(FEED_COUNTER_SCHEMA).parquet(path).where(F.col("n") > 0)
+            .select("batch_id", "n", "running_n", "last_source"))
 
 
 def run_bounded_dedupe(src: DataFrame, path: str, ckpt: str, delay: str = "30 days",

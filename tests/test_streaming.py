@@ -86,6 +86,52 @@ def test_merge_into_batch_id_is_noop_on_retry(spark):
     assert len(lake.read_serving(spark, table).collect()) == 9
 
 
+def test_merge_into_appends_new_ids_rewrites_moved_and_compacts(spark):
+    table = work_dir(spark, "serving")
+    d0, d1, d2 = (T0.date() + dt.timedelta(days=k) for k in range(3))
+
+    def art(i, d, label="Real", title="t"):
+        return (i, "s", title, "c", "u", T0, T0, d, label, 0.6, T0)
+
+    def rows():
+        return {r.id: r for r in lake.read_serving(spark, table).collect()}
+
+    def marks(kind):
+        return sorted(p.rsplit("/", 3)[-3] + "/" + p.rsplit("/", 3)[-2]
+                      for p in lake._glob(spark, f"{table}/date=*/v=*/_{kind}"))
+
+    base = [art(f"i{k}", (d0, d1, d2)[k % 3]) for k in range(9)]
+    lake.merge_into(spark, table, spark.createDataFrame(base, GOLD_SCHEMA), "b0")
+    # only new ids: an append version on d0, nothing stored is rewritten
+    lake.merge_into(spark, table, spark.createDataFrame([art("n1", d0), art("n2", d0)], GOLD_SCHEMA), "b1")
+    assert marks("full") == []
+    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [2, 1]
+    assert len(rows()) == 11
+    # i0 moves from d0 to a new date: d0 is rewritten (full), the new date appended to nothing
+    moved = [("i0", None, None, None, None, None, None, dt.date(2024, 2, 1), "Fake", None,
+              T0 + dt.timedelta(days=1))]
+    lake.merge_into(spark, table, spark.createDataFrame(moved, GOLD_SCHEMA), "b2")
+    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [3]
+    assert marks("full") == [f"date={d0}/v=3"]
+    cur = rows()
+    assert len(cur) == 11 and cur["i0"].date == dt.date(2024, 2, 1) and cur["i0"].title == "t"
+    # every row of d1 moves to d2: d1 becomes an empty version
+    lake.merge_into(spark, table, spark.createDataFrame(
+        [art(f"i{k}", d2, "Fake") for k in (1, 4, 7)], GOLD_SCHEMA), "b3")
+    assert marks("empty") == [f"date={d1}/v=4"] and lake.live_versions(spark, table)[str(d1)] == []
+    cur = rows()
+    assert len(cur) == 11 and {cur[f"i{k}"].date for k in (1, 4, 7)} == {d2}
+    # a long append chain is compacted by the next merge that writes the date
+    for b in range(3):
+        lake.merge_into(spark, table, spark.createDataFrame([art(f"c{b}", d0)], GOLD_SCHEMA),
+                        f"c{b}", max_appends=2)
+    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [7]
+    before = sorted(map(tuple, lake.read_serving(spark, table).collect()))
+    assert len(before) == 14
+    assert lake.vacuum(spark, table) > 0
+    assert sorted(map(tuple, lake.read_serving(spark, table).collect())) == before
+
+
 def test_live_aggregates_and_counter(spark):
     root = work_dir(spark, "sc")
     for i in range(3):
