@@ -69,10 +69,10 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_envelopes(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> str:
     """Land F2 as ``files`` Parquet files split by doc_id % files (multi-batch input)."""
-    env = envelopes(spark, sf_dir)
-    for i in range(files):
-        (env.where(F.col("doc_id") % files == i).drop("doc_id").coalesce(1)
-         .write.mode("overwrite").parquet(f"{path}/part={i}"))
+    # one pass, no shuffle: each input task writes its share of every part
+    # (one file per part here; at scale, files as many as input splits)
+    (envelopes(spark, sf_dir).withColumn("part", F.col("doc_id") % files).drop("doc_id")
+     .write.mode("overwrite").partitionBy("part").parquet(path))
     return path
 
 
@@ -177,7 +177,7 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
                       ruling.alias("c1"), clean_title.alias("c2"), F.lit("news").alias("c3"),
                       F.col("source").alias("c4"), *pad, split.alias("split"))
     for part in ("train", "valid", "test"):
-        (liar.where(F.col("split") == part).drop("split").coalesce(1).write.mode("overwrite")
+        (liar.where(F.col("split") == part).drop("split").write.mode("overwrite")
          .option("sep", "\t").option("header", "false")
          .csv(f"{path}/liar/{part}.tsv"))
     body = F.regexp_replace(F.col("content"), "[\r\n\"]+", " ")
@@ -185,7 +185,7 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
         cols = ("Title", "Content") if i == 3 else ("title", "text")
         (art.where(F.col("doc_id") % 4 == i)
          .select(clean_title.alias(cols[0]), body.alias(cols[1]), F.col("doc_id").alias("news_id"))
-         .coalesce(1).write.mode("overwrite").option("header", "true").option("escape", "\"")
+         .write.mode("overwrite").option("header", "true").option("escape", "\"")
          .csv(f"{path}/fnn/{name}"))
     return path
 

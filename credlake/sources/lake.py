@@ -61,6 +61,21 @@ def write_layer(df: DataFrame, path: str, checkpoint: str, partition_by=("date",
     return w.start()
 
 
+def write_batch_layer(df: DataFrame, path: str, layer: str, mode: str = "overwrite",
+                      sort_by=("source", "published_at")) -> None:
+    """Batch write of a layer (e.g. a backfill of gold).
+
+    ``rebalance`` on the partition columns lets AQE merge small shuffle
+    partitions and split a hot date across several tasks, so a day holding a
+    third of all rows is not written by one task; rows are sorted within files
+    by ``sort_by`` (source filters then skip row groups).
+    """
+    parts = LAYER_PARTITIONS[layer]
+    (df.select(*LAYER_SCHEMAS[layer].fieldNames()).hint("rebalance", *parts)
+     .sortWithinPartitions(*parts, *sort_by)
+     .write.mode(mode).partitionBy(*parts).parquet(path))
+
+
 def read_layer(spark: SparkSession, path: str, layer: str, stream: bool = False,
                max_files_per_trigger: int | None = SCORE_FILES_PER_TRIGGER) -> DataFrame:
     """Read a layer (batch or stream) with its fixed schema."""
