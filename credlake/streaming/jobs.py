@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from credlake.operators.clean import clean, dedupe_within
+from credlake.operators.clean import clean, dedupe_within, silver_filter
 from credlake.operators.score import score_default
 from credlake.schemas import GOLD_COLUMNS, SILVER_SCHEMA
 from credlake.sources import lake
@@ -52,17 +52,29 @@ def run_bronze(src: DataFrame, base: str, ckpt: str, trigger: str | None = None,
 
 
 def run_silver(src: DataFrame, base: str, ckpt: str, trigger: str | None = None,
-               writers: int = LAYER_WRITERS) -> StreamingQuery:
-    """S1 -> S4 -> C1 (whole-history first-arrival dedupe) -> S7."""
-    silver = clean(parse_envelopes(src)).select(*SILVER_SCHEMA.fieldNames())
-    silver = by_date_writers(silver, writers)
+               writers: int = LAYER_WRITERS, dedupe_delay: str | None = None) -> StreamingQuery:
+    """S1 -> S4 -> C1 -> S7.
+
+    By default D1: whole-history first-arrival dedupe, as the reference does --
+    the state keeps every id ever seen.  ``dedupe_delay`` (e.g. ``"7 days"``)
+    switches to D2: an id is remembered for that long past the ``kafka_ts``
+    watermark and then evicted, so the state stays bounded by the delay.
+    """
+    parsed = parse_envelopes(src)
+    if dedupe_delay:
+        filtered = silver_filter(parsed).withColumn("kafka_ts", F.col("kafka_ts").cast("timestamp"))
+        silver = dedupe_within(filtered, "id", "kafka_ts", dedupe_delay)
+    else:
+        silver = clean(parsed)
+    silver = by_date_writers(silver.select(*SILVER_SCHEMA.fieldNames()), writers)
     return lake.write_layer(silver, f"{base}/silver", f"{ckpt}/silver", ("date",), trigger)
 
 
 def run_clean(src_factory: Callable[[], DataFrame], base: str, ckpt: str,
-              trigger: str | None = None) -> list[StreamingQuery]:
+              trigger: str | None = None, dedupe_delay: str | None = None) -> list[StreamingQuery]:
     """The clean job: bronze and silver queries, each with its own checkpoint."""
-    return [run_bronze(src_factory(), base, ckpt, trigger), run_silver(src_factory(), base, ckpt, trigger)]
+    return [run_bronze(src_factory(), base, ckpt, trigger),
+            run_silver(src_factory(), base, ckpt, trigger, dedupe_delay=dedupe_delay)]
 
 
 def _idempotent_append(spark: SparkSession, df: DataFrame, path: str, batch_id: int,

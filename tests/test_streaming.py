@@ -53,6 +53,16 @@ def test_bronze_silver_stream_equal_batch(spark):
     assert lake.read_layer(spark, f"{base}/bronze", "bronze").count() == 7
 
 
+def test_silver_bounded_dedupe_option(spark):
+    # D2 instead of D1: with every copy inside the delay, the same ids survive
+    root, base, ckpt = work_dir(spark, "e"), work_dir(spark, "l"), work_dir(spark, "c")
+    land_envelopes(spark, root, BATCHES)
+    src = read_envelopes(spark, fmt="parquet", path=f"{root}/part=*", max_files_per_trigger=1)
+    jobs.run_silver(src, base, ckpt, dedupe_delay="1 day").awaitTermination()
+    silver = lake.read_layer(spark, f"{base}/silver", "silver")
+    assert sorted(r.id for r in silver.collect()) == ["id1", "id2", "id4"]
+
+
 def test_score_stream_and_serving_replay(spark):
     root, base, ckpt = work_dir(spark, "e"), work_dir(spark, "l"), work_dir(spark, "c")
     land_envelopes(spark, root, BATCHES)
