@@ -61,6 +61,13 @@ def write_layer(df: DataFrame, path: str, checkpoint: str, partition_by=("date",
     return w.start()
 
 
+def batch_layer_frame(df: DataFrame, layer: str, sort_by=("source", "published_at")) -> DataFrame:
+    """A batch of a layer laid out for writing (see :func:`write_batch_layer`)."""
+    parts = LAYER_PARTITIONS[layer]
+    return (df.select(*LAYER_SCHEMAS[layer].fieldNames()).hint("rebalance", *parts)
+            .sortWithinPartitions(*parts, *sort_by))
+
+
 def write_batch_layer(df: DataFrame, path: str, layer: str, mode: str = "overwrite",
                       sort_by=("source", "published_at")) -> None:
     """Batch write of a layer (e.g. a backfill of gold).
@@ -70,10 +77,8 @@ def write_batch_layer(df: DataFrame, path: str, layer: str, mode: str = "overwri
     third of all rows is not written by one task; rows are sorted within files
     by ``sort_by`` (source filters then skip row groups).
     """
-    parts = LAYER_PARTITIONS[layer]
-    (df.select(*LAYER_SCHEMAS[layer].fieldNames()).hint("rebalance", *parts)
-     .sortWithinPartitions(*parts, *sort_by)
-     .write.mode(mode).partitionBy(*parts).parquet(path))
+    (batch_layer_frame(df, layer, sort_by).write.mode(mode)
+     .partitionBy(*LAYER_PARTITIONS[layer]).parquet(path))
 
 
 def read_layer(spark: SparkSession, path: str, layer: str, stream: bool = False,

@@ -55,6 +55,20 @@ def test_merge_broadcasts_only_the_update_side(spark, gold):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
+def test_batch_layer_write_rebalances_on_partition_columns(spark):
+    p = plan(lake.batch_layer_frame(fx.articles_scored(spark, SF), "gold"))
+    assert "REBALANCE_PARTITIONS_BY_COL" in p
+    assert "Exchange hashpartitioning(date" in p  # hot dates split by AQE, not one task
+
+
+def test_size_check_moves_one_long_per_row(spark, gold):
+    from credlake.operators.merge import fits_broadcast, row_bytes
+    assert fits_broadcast(gold, 10_000) and not fits_broadcast(gold, 10)
+    assert not fits_broadcast(gold, 10_000, max_bytes=100)
+    probe = gold.select(row_bytes(gold).alias("_w")).limit(11)
+    assert probe.schema.fieldNames() == ["_w"]
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as se
     df = se.entry(spark)
