@@ -48,6 +48,11 @@ def test_pruning_and_pushdown(spark, gold):
     assert "PartitionFilters: [isnotnull(label" in p3 and "TakeOrderedAndProject" in p3
 
 
+def test_timeline_bound_reaches_the_scan(spark, gold):
+    p = plan(stats.timeline(gold))
+    assert "GreaterThanOrEqual(scored_at," in p
+
+
 def test_merge_broadcasts_only_the_update_side(spark, gold):
     from credlake.operators.merge import merge_articles
     upd = gold.limit(10).withColumn("label", F.lit("Fake"))
