@@ -118,7 +118,8 @@ def run_score_stream(spark: SparkSession, base: str, ckpt: str, scored_at: Score
 
 def run_publish(spark: SparkSession, base: str, ckpt: str, serving: str | None = None,
                 trigger: str | None = None,
-                max_files_per_trigger: int | None = None) -> StreamingQuery:
+                max_files_per_trigger: int | None = None,
+                locate_moved: bool = True) -> StreamingQuery:
     """S10 + S12 (S11's second half): the gold stream published as scored
     envelopes and merged into the serving table, in one ``foreachBatch``.
 
@@ -126,6 +127,12 @@ def run_publish(spark: SparkSession, base: str, ckpt: str, serving: str | None =
     checkpoint and batch id); the envelope folder stands in for a Kafka topic
     and, like one, is at-least-once (a per-batch marker skips a batch that
     completed; consumers such as the merge are idempotent by id).
+
+    ``locate_moved=True`` (exact) looks up every batch id across the whole
+    serving table (a narrow ``(id, date)`` scan per batch).  A deployment whose
+    articles never change date (ids hash url and title, the date comes from
+    ``published_at``) can pass ``False``: the lookup then covers only the
+    batch's own dates, so a batch costs a day's ids, not the table's.
     """
     gold = lake.read_layer(spark, f"{base}/gold", "gold", stream=True,
                            max_files_per_trigger=max_files_per_trigger)
@@ -136,7 +143,8 @@ def run_publish(spark: SparkSession, base: str, ckpt: str, serving: str | None =
         rows = batch.select(*GOLD_COLUMNS).persist()
         _idempotent_append(spark, to_scored_envelope(rows), f"{base}/scored_topic", batch_id)
         if serving:
-            lake.merge_into(spark, serving, rows, f"{query_token}-{batch_id}")
+            lake.merge_into(spark, serving, rows, f"{query_token}-{batch_id}",
+                            locate_moved=locate_moved)
         rows.unpersist()
 
     return (gold.writeStream.foreachBatch(sink).option("checkpointLocation", f"{ckpt}/publish")
@@ -152,13 +160,13 @@ def run_score_job(spark: SparkSession, base: str, ckpt: str, serving: str | None
 
 
 def run_chain(spark: SparkSession, src_factory: Callable[[], DataFrame], base: str, ckpt: str,
-              serving: str, scored_at: ScoredAt | None = None) -> None:
+              serving: str, scored_at: ScoredAt | None = None, locate_moved: bool = True) -> None:
     """Raw -> bronze + silver -> gold -> envelopes + merge, as chained
     availableNow runs (each stage drains what the previous one committed)."""
     for q in run_clean(src_factory, base, ckpt):
         q.awaitTermination()
     run_score_stream(spark, base, ckpt, scored_at=scored_at).awaitTermination()
-    run_publish(spark, base, ckpt, serving=serving).awaitTermination()
+    run_publish(spark, base, ckpt, serving=serving, locate_moved=locate_moved).awaitTermination()
 
 
 # -- live aggregates ---------------------------------------------------------
