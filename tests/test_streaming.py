@@ -81,6 +81,10 @@ def test_score_stream_and_serving_replay(spark):
     assert lake.read_layer(spark, f"{base}/gold", "gold").count() == 3
     jobs.run_publish(spark, base, c2, serving=serving).awaitTermination()
     assert sorted(map(tuple, lake.read_serving(spark, serving).collect())) == first
+    # the date-scoped lookup builds the same table when no article changes date
+    s2 = f"{base}/serving2"
+    jobs.run_publish(spark, base, work_dir(spark, "c3"), serving=s2, locate_moved=False).awaitTermination()
+    assert sorted(map(tuple, lake.read_serving(spark, s2).collect())) == first
 
 
 def test_merge_into_batch_id_is_noop_on_retry(spark):
