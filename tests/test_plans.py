@@ -74,6 +74,19 @@ def test_size_check_moves_one_long_per_row(spark, gold):
     assert probe.schema.fieldNames() == ["_w"]
 
 
+def test_dedupe_reduces_hot_keys_before_the_shuffle(spark):
+    # one id holding a third of the rows: the pick is pre-aggregated per map task
+    from credlake.operators.clean import first_per_key
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
+        F.col("id").alias("seq"), (F.col("id") * 2).alias("v"))
+    out = first_per_key(df, ["k"], ["seq"])
+    p = plan(out)
+    assert "partial_min_by" in p and "Window" not in p
+    rows = {r.k: (r.seq, r.v) for r in out.collect()}
+    assert len(rows) == 2001 and rows["hot"] == (0, 0)
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as se
     df = se.entry(spark)
