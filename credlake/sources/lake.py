@@ -151,7 +151,7 @@ def layer_inventory(spark: SparkSession, base: str, tiers=("bronze", "silver", "
 
 _LOG = re.compile(r"v=(\d+)\.b=(.+)$")
 _VER = re.compile(r"/date=([^/]+)/v=(\d+)$")
-_MARK = re.compile(r"/date=([^/]+)/v=(\d+)/_(full|empty)$")
+_MARK = re.compile(r"/date=([^/]+)/v=(\d+)/_(full|empty|after\.\d+)$")
 NULL_DATE = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for a null partition value
 MAX_APPENDS = 16  # append versions a date may pile up before a merge compacts it
 
@@ -169,19 +169,8 @@ def committed(spark: SparkSession, table: str) -> list[tuple[int, str]]:
     return sorted(out)
 
 
-def live_versions(spark: SparkSession, table: str) -> dict[str, list[tuple[int, str]]]:
-    """Per date folder, the committed version folders holding its current rows.
-
-    A version folder is either an *append* (no marker: rows of ids that were
-    not stored yet, on top of the versions before it), *full* (marker
-    ``_full``: the date's whole content, written by a rewrite) or *empty*
-    (marker ``_empty``: a rewrite left the date without rows).  Appends are
-    the common case and carry no marker, so a merge of new rows touches no
-    extra files.  The live chain of a date is its newest full or empty
-    version plus every append after it (a date's first version is the base
-    of its chain); empty versions hold no data and are left out of the
-    returned paths.  Three listings, no data read.
-    """
+def _versions(spark: SparkSession, table: str):
+    """Committed version folders per date (newest first) and their markers."""
     log = committed(spark, table)
     cur = log[-1][0] if log else 0
     marks: dict[tuple[str, int], str] = {}
@@ -194,17 +183,46 @@ def live_versions(spark: SparkSession, table: str) -> dict[str, list[tuple[int,
         m = _VER.search(p)
         if m and int(m.group(2)) <= cur:
             by_date.setdefault(m.group(1), []).append((int(m.group(2)), p))
-    live: dict[str, list[tuple[int, str]]] = {}
-    for d, vs in by_date.items():
-        chain = []
-        for v, p in sorted(vs, reverse=True):
-            kind = marks.get((d, v))
-            if kind != "empty":
-                chain.append((v, p))
-            if kind is not None:
-                break
-        live[d] = chain
-    return live
+    return {d: sorted(vs, reverse=True) for d, vs in by_date.items()}, marks
+
+
+def _walk(d: str, versions: list[tuple[int, str]], marks) -> tuple[list[tuple[int, str]], set[int]]:
+    """A date's live chain (newest first) and every version a reader needs kept."""
+    chain: list[tuple[int, str]] = []
+    keep: set[int] = set()
+    floor = None
+    for v, p in versions:
+        if floor is not None and v > floor:
+            continue  # folded into a compacted append folder
+        kind = marks.get((d, v))
+        keep.add(v)
+        if kind == "empty":
+            break
+        chain.append((v, p))
+        if kind == "full":
+            break
+        if kind is not None:  # after.B: replaces the appends between B and itself
+            floor = int(kind.split(".", 1)[1])
+    return chain, keep
+
+
+def live_versions(spark: SparkSession, table: str) -> dict[str, list[tuple[int, str]]]:
+    """Per date folder, the committed version folders holding its current rows.
+
+    A version folder is an *append* (no marker: rows of ids that were not
+    stored yet, on top of the versions before it), *full* (marker ``_full``:
+    the date's whole content, written by a rewrite), *empty* (marker
+    ``_empty``: a rewrite left the date without rows) or a *compacted append*
+    (marker ``_after.B``: the rows of every append between version ``B`` and
+    itself, which it replaces; ``B`` and what lies under it stay live).
+    Appends are the common case and carry no marker, so a merge of new rows
+    touches no extra files.  The live chain of a date is read newest first
+    down to its newest full or empty version (a date's first version is the
+    base of its chain); empty versions hold no data and are left out.  Three
+    listings, no data read.
+    """
+    by_date, marks = _versions(spark, table)
+    return {d: _walk(d, vs, marks)[0] for d, vs in by_date.items()}
 
 
 def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHEMA,
@@ -212,7 +230,10 @@ def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHE
     """Current state: per date, its live chain of committed version folders."""
     if live is None:
         live = live_versions(spark, table)
-    paths = [p for chain in live.values() for _, p in chain]
+    return _read_paths(spark, table, [p for chain in live.values() for _, p in chain], schema)
+
+
+def _read_paths(spark: SparkSession, table: str, paths: list[str], schema: StructType) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], schema)
     full = StructType(list(schema.fields) + [StructField("v", IntegerType())])
@@ -267,7 +288,9 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
       every other date the batch writes to only gets an *append* version with
       its new rows -- nothing stored is read or rewritten there.  A stream of
       new articles therefore never rewrites today's partition; a date whose
-      append chain grows past ``max_appends`` is compacted by rewriting it.
+      append chain grows past ``max_appends`` has its appends (only) folded
+      into one compacted folder, so each row is re-written about
+      log(appends) times, not once per compaction of the whole date.
     """
     from credlake.operators.merge import (DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS,
                                           fold_updates, merge_folded)
@@ -293,8 +316,12 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
     scope = target if locate_moved else target.where(_in_dates(wdates))
     hdates = {r[0] for r in scope.select(key, "date").join(ids, key, "left_semi")
               .select("date").distinct().collect()}  # bounded by the number of dates
-    # compaction: dates this batch writes to whose append chain is long are rewritten too
-    hdates |= {d for d in wdates if len(live.get(_date_dir(d), [])) > max_appends}
+    # compaction: a date this batch only appends to, whose chain has grown past
+    # max_appends, gets its appends (not its base) folded into this version's
+    # folder -- small data; the base is rewritten only when stored ids change
+    compact = {d: live[_date_dir(d)] for d in wdates
+               if d not in hdates and len(live.get(_date_dir(d), [])) > max_appends}
+    folded_paths = [p for chain in compact.values() for _, p in chain[:-1]]
     part = target.where(_in_dates(hdates))  # partition-pruned read of the rewritten dates
     hit = part.join(ids, key, "left_semi")
     merged = merge_folded(hit, folded, key, broadcast=small).select(*schema.fieldNames())
@@ -304,39 +331,37 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
     # one splits across several writers -- about writers + dates files instead
     # of tasks x dates.  Rows are sorted by id inside each file, so row-group
     # statistics serve point lookups.
-    rewritten = _bytes(spark, [p for d in hdates for _, p in live.get(_date_dir(d), [])])
+    rewritten = _bytes(spark, [p for d in hdates for _, p in live.get(_date_dir(d), [])]
+                       + folded_paths)
     writers = 1 + (rewritten + nbytes) // TARGET_FILE_BYTES
-    out = (keep.unionByName(merged).repartitionByRange(int(writers), "date", key)
+    rows = keep.unionByName(merged)
+    if folded_paths:
+        rows = rows.unionByName(_read_paths(spark, table, folded_paths, schema))
+    out = (rows.repartitionByRange(int(writers), "date", key)
            .withColumn("v", F.lit(n)).sortWithinPartitions("date", "v", key))
     out.write.mode("append").partitionBy("date", "v").parquet(table)
     for d in hdates:  # rewritten dates end their chains; appends need no marker
         folder = f"{table}/date={_date_dir(d)}/v={n}"
         # a rewritten date without rows: every row moved away
         _touch(spark, f"{folder}/_full" if exists(spark, folder) else f"{folder}/_empty")
+    for d, chain in compact.items():
+        _touch(spark, f"{table}/date={_date_dir(d)}/v={n}/_after.{chain[-1][0]}")
     _touch(spark, f"{table}/_log/v={n}.b={batch}")
     folded.unpersist()
     return n
 
 
 def vacuum(spark: SparkSession, table: str) -> int:
-    """Delete version folders no live chain needs (superseded by a newer full
-    or empty version of the same date); uncommitted folders are left alone."""
-    log = committed(spark, table)
-    cur = log[-1][0] if log else 0
-    live = live_versions(spark, table)
+    """Delete committed version folders no live chain needs (superseded by a
+    newer full, empty or compacted version of the same date).  Uncommitted
+    folders are left to the merge that owns them.  Run it as maintenance,
+    when no reader still holds an older listing of the table."""
+    by_date, marks = _versions(spark, table)
     removed = 0
-    for p in _glob(spark, f"{table}/date=*/v=*"):
-        m = _VER.search(p)
-        if not m or int(m.group(2)) > cur:
-            continue
-        d, v = m.group(1), int(m.group(2))
-        chain = [x for x, _ in live.get(d, [])]
-        # an emptied date has no chain paths: everything older than its marker goes
-        base = min(chain) if chain else None
-        if base is None:
-            marks = _glob(spark, f"{table}/date={d}/v=*/_empty")
-            base = max((int(_MARK.search(x).group(2)) for x in marks), default=None)
-        if base is not None and v < base:
-            _delete(spark, p)
-            removed += 1
+    for d, vs in by_date.items():
+        _, keep = _walk(d, vs, marks)
+        for v, p in vs:
+            if v not in keep:
+                _delete(spark, p)
+                removed += 1
     return removed

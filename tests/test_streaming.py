@@ -139,13 +139,23 @@ def test_merge_into_appends_new_ids_rewrites_moved_and_compacts(spark):
     assert marks("empty") == [f"date={d1}/v=4"] and lake.live_versions(spark, table)[str(d1)] == []
     cur = rows()
     assert len(cur) == 11 and {cur[f"i{k}"].date for k in (1, 4, 7)} == {d2}
-    # a long append chain is compacted by the next merge that writes the date
+    # a long append chain: its appends (not the base) are folded by the next merge
     for b in range(3):
         lake.merge_into(spark, table, spark.createDataFrame([art(f"c{b}", d0)], GOLD_SCHEMA),
                         f"c{b}", max_appends=2)
-    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [7]
+    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [7, 3]
+    assert marks("after.3") == [f"date={d0}/v=7"]
+    # and again on top of the folded chain
+    for b in range(3, 6):
+        lake.merge_into(spark, table, spark.createDataFrame([art(f"c{b}", d0)], GOLD_SCHEMA),
+                        f"c{b}", max_appends=2)
+    # c3 appends v8, c4 folds v8 and v7 into v9, c5 appends v10
+    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [10, 9, 3]
+    assert marks("after.3") == [f"date={d0}/v=7", f"date={d0}/v=9"]
+    assert {r.id for r in rows().values() if r.date == d0} == \
+        {"i3", "i6", "n1", "n2"} | {f"c{b}" for b in range(6)}
     before = sorted(map(tuple, lake.read_serving(spark, table).collect()))
-    assert len(before) == 14
+    assert len(before) == 17
     assert lake.vacuum(spark, table) > 0
     assert sorted(map(tuple, lake.read_serving(spark, table).collect())) == before
 
