@@ -288,9 +288,9 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
       every other date the batch writes to only gets an *append* version with
       its new rows -- nothing stored is read or rewritten there.  A stream of
       new articles therefore never rewrites today's partition; a date whose
-      append chain grows past ``max_appends`` has its appends (only) folded
-      into one compacted folder, so each row is re-written about
-      log(appends) times, not once per compaction of the whole date.
+      append chain grows past ``max_appends`` folds its newest run of
+      folders (size-tiered, never the base) into one compacted folder, so a
+      row is re-written about log2(appends) times.
     """
     from credlake.operators.merge import (DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS,
                                           fold_updates, merge_folded)
@@ -316,12 +316,26 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
     scope = target if locate_moved else target.where(_in_dates(wdates))
     hdates = {r[0] for r in scope.select(key, "date").join(ids, key, "left_semi")
               .select("date").distinct().collect()}  # bounded by the number of dates
-    # compaction: a date this batch only appends to, whose chain has grown past
-    # max_appends, gets its appends (not its base) folded into this version's
-    # folder -- small data; the base is rewritten only when stored ids change
-    compact = {d: live[_date_dir(d)] for d in wdates
-               if d not in hdates and len(live.get(_date_dir(d), [])) > max_appends}
-    folded_paths = [p for chain in compact.values() for _, p in chain[:-1]]
+    # compaction, size-tiered: a date this batch only appends to, whose chain
+    # has grown past max_appends, folds its newest run of folders into this
+    # version's folder -- the run grows while the next older folder is no
+    # bigger than the run so far (10% slack for file overhead; at least two
+    # folders).  Like a binary
+    # counter, a row is re-written about log2(appends) times; the date's base
+    # is rewritten only when stored ids change.
+    compact: dict = {}
+    for d in wdates:
+        chain = live.get(_date_dir(d), [])
+        if d in hdates or len(chain) <= max_appends or len(chain) < 3:
+            continue
+        sizes = [_bytes(spark, [p]) for _, p in chain[:-1]]
+        run, total = 1, sizes[0]
+        while run < len(sizes) and sizes[run] <= total * 1.1:  # equal tiers merge
+            total += sizes[run]
+            run += 1
+        run = max(run, 2)
+        compact[d] = (chain[:run], chain[run][0])  # folded folders, version left below them
+    folded_paths = [p for run, _ in compact.values() for _, p in run]
     part = target.where(_in_dates(hdates))  # partition-pruned read of the rewritten dates
     hit = part.join(ids, key, "left_semi")
     merged = merge_folded(hit, folded, key, broadcast=small).select(*schema.fieldNames())
@@ -344,8 +358,8 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
         folder = f"{table}/date={_date_dir(d)}/v={n}"
         # a rewritten date without rows: every row moved away
         _touch(spark, f"{folder}/_full" if exists(spark, folder) else f"{folder}/_empty")
-    for d, chain in compact.items():
-        _touch(spark, f"{table}/date={_date_dir(d)}/v={n}/_after.{chain[-1][0]}")
+    for d, (_, floor) in compact.items():
+        _touch(spark, f"{table}/date={_date_dir(d)}/v={n}/_after.{floor}")
     _touch(spark, f"{table}/_log/v={n}.b={batch}")
     folded.unpersist()
     return n

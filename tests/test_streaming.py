@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -160,6 +161,27 @@ def test_merge_into_appends_new_ids_rewrites_moved_and_compacts(spark):
     assert sorted(map(tuple, lake.read_serving(spark, table).collect())) == before
 
 
+def test_merge_into_folds_append_chains_size_tiered(spark):
+    table = work_dir(spark, "serving")
+    d0 = T0.date()
+
+    def rows(ids):  # hex content: poorly compressible, so bytes follow rows
+        return spark.createDataFrame([(i, "s", "t", hashlib.sha256(i.encode()).hexdigest() * 4, "u",
+                                       T0, T0, d0, "Real", 0.6, T0) for i in ids], GOLD_SCHEMA)
+
+    lake.merge_into(spark, table, rows(["base"]), "b0", max_appends=4)             # v1
+    lake.merge_into(spark, table, rows([f"big{k}" for k in range(3000)]), "b1", max_appends=4)  # v2
+    for k in range(2, 7):                                                          # v3..v7
+        lake.merge_into(spark, table, rows([f"a{k}"]), f"b{k}", max_appends=4)
+    # the fold at v6 took the small v5, v4, v3 and stopped above the big v2
+    assert [p.rsplit("/", 2)[-2] for p in lake._glob(spark, f"{table}/date=*/v=*/_after.2")] == ["v=6"]
+    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [7, 6, 2, 1]
+    want = sorted(["base"] + [f"big{k}" for k in range(3000)] + [f"a{k}" for k in range(2, 7)])
+    assert sorted(r.id for r in lake.read_serving(spark, table).collect()) == want
+    assert lake.vacuum(spark, table) == 3  # v3, v4, v5
+    assert sorted(r.id for r in lake.read_serving(spark, table).collect()) == want
+
+
 def test_live_aggregates_and_counter(spark):
     root = work_dir(spark, "sc")
     for i in range(3):
