@@ -43,6 +43,7 @@ LAYER_SCHEMAS = {"bronze": BRONZE_SCHEMA, "silver": SILVER_SCHEMA, "gold": GOLD_
 LAYER_PARTITIONS = {"bronze": ("date",), "silver": ("date",), "gold": ("date", "label")}
 SCORE_FILES_PER_TRIGGER = 16
 TARGET_FILE_BYTES = 128 * 1024 * 1024
+PUBLISH_BYTES_PER_TRIGGER = 8 * 1024 ** 3  # one publish micro-batch merges at most this much gold
 
 
 def trigger_args(trigger: str | None) -> dict:
@@ -82,12 +83,20 @@ def write_batch_layer(df: DataFrame, path: str, layer: str, mode: str = "overwri
 
 
 def read_layer(spark: SparkSession, path: str, layer: str, stream: bool = False,
-               max_files_per_trigger: int | None = SCORE_FILES_PER_TRIGGER) -> DataFrame:
-    """Read a layer (batch or stream) with its fixed schema."""
+               max_files_per_trigger: int | None = SCORE_FILES_PER_TRIGGER,
+               max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """Read a layer (batch or stream) with its fixed schema.
+
+    A stream is rate-limited by files (the reference's setting) or, when
+    ``max_bytes_per_trigger`` is given, by bytes -- the bound that keeps a
+    micro-batch's size fixed whatever the file sizes are.
+    """
     schema = LAYER_SCHEMAS[layer]
     if stream:
         r = spark.readStream.schema(schema).format("parquet")
-        if max_files_per_trigger:
+        if max_bytes_per_trigger:
+            r = r.option("maxBytesPerTrigger", str(int(max_bytes_per_trigger)))
+        elif max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
         return r.load(path)
     if not exists(spark, path):

@@ -118,7 +118,7 @@ def run_score_stream(spark: SparkSession, base: str, ckpt: str, scored_at: Score
 
 def run_publish(spark: SparkSession, base: str, ckpt: str, serving: str | None = None,
                 trigger: str | None = None,
-                max_files_per_trigger: int | None = None,
+                max_bytes_per_trigger: int | None = lake.PUBLISH_BYTES_PER_TRIGGER,
                 locate_moved: bool = True) -> StreamingQuery:
     """S10 + S12 (S11's second half): the gold stream published as scored
     envelopes and merged into the serving table, in one ``foreachBatch``.
@@ -128,14 +128,18 @@ def run_publish(spark: SparkSession, base: str, ckpt: str, serving: str | None =
     and, like one, is at-least-once (a per-batch marker skips a batch that
     completed; consumers such as the merge are idempotent by id).
 
+    Each micro-batch takes at most ``max_bytes_per_trigger`` of gold files, so
+    a backlog (a restart after an outage, a replay) is merged in bounded
+    steps instead of one batch holding all of it.
+
     ``locate_moved=True`` (exact) looks up every batch id across the whole
     serving table (a narrow ``(id, date)`` scan per batch).  A deployment whose
     articles never change date (ids hash url and title, the date comes from
     ``published_at``) can pass ``False``: the lookup then covers only the
     batch's own dates, so a batch costs a day's ids, not the table's.
     """
-    gold = lake.read_layer(spark, f"{base}/gold", "gold", stream=True,
-                           max_files_per_trigger=max_files_per_trigger)
+    gold = lake.read_layer(spark, f"{base}/gold", "gold", stream=True, max_files_per_trigger=None,
+                           max_bytes_per_trigger=max_bytes_per_trigger)
     # merge batches are keyed by (this query's checkpoint, batch id)
     query_token = hashlib.sha1(ckpt.encode()).hexdigest()[:12]
 

@@ -86,6 +86,12 @@ def test_score_stream_and_serving_replay(spark):
     s2 = f"{base}/serving2"
     jobs.run_publish(spark, base, work_dir(spark, "c3"), serving=s2, locate_moved=False).awaitTermination()
     assert sorted(map(tuple, lake.read_serving(spark, s2).collect())) == first
+    # a byte-bounded publish takes the backlog in several micro-batches, same table
+    s3 = f"{base}/serving3"
+    q = jobs.run_publish(spark, base, work_dir(spark, "c4"), serving=s3, max_bytes_per_trigger=1)
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) > 1
+    assert sorted(map(tuple, lake.read_serving(spark, s3).collect())) == first
 
 
 def test_merge_into_batch_id_is_noop_on_retry(spark):
