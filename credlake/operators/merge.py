@@ -43,6 +43,28 @@ def fold_updates(updates: DataFrame, key: str = "id",
     return updates.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
+def fold_repeated(updates: DataFrame, key: str = "id",
+                  seq_cols: Sequence[str | Column] = ("scored_at",),
+                  max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """:func:`fold_updates`, shuffling whole rows only for repeated ids.
+
+    Ids are counted first (a shuffle of the key column alone).  While the set
+    of repeated ids is bounded it is broadcast: an id seen once passes
+    through as it is (the fold of one row is that row) and only repeated ids
+    are folded -- a batch of new, distinct articles never shuffles its text.
+    Beyond the bound every row is folded.
+    """
+    u = updates.where(F.col(key).isNotNull())
+    rep = (u.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") > 1).select(key))
+    if not fits_broadcast(rep, max_rows):
+        return fold_updates(updates, key, seq_cols)
+    rep = F.broadcast(rep)
+    single = u.join(rep, key, "left_anti")
+    multi = fold_updates(u.join(rep, key, "left_semi"), key, seq_cols)
+    return single.unionByName(multi)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """Approximate payload size of a row: string / binary lengths, 8 bytes per
     other field (nested values count as their JSON-free fixed part)."""

@@ -302,7 +302,7 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
       row is re-written about log2(appends) times.
     """
     from credlake.operators.merge import (DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS,
-                                          fold_updates, merge_folded)
+                                          fold_repeated, merge_folded)
 
     batch = str(batch_id)
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
@@ -316,15 +316,20 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
 
     live = live_versions(spark, table)
     target = read_serving(spark, table, schema, live)
-    folded = fold_updates(updates.select(*[c for c in schema.fieldNames() if c in updates.columns]),
-                          key, seq_cols).persist()
+    folded = fold_repeated(updates.select(*[c for c in schema.fieldNames() if c in updates.columns]),
+                           key, seq_cols).persist()
     rows, nbytes, wdates = _profile(folded, DEFAULT_BROADCAST_ROWS)
     small = rows <= DEFAULT_BROADCAST_ROWS and nbytes <= DEFAULT_BROADCAST_BYTES
     # keys alone (24-char ids) stay broadcastable while the row count is bounded
     ids = F.broadcast(folded.select(key)) if rows <= DEFAULT_BROADCAST_ROWS else folded.select(key)
     scope = target if locate_moved else target.where(_in_dates(wdates))
-    hdates = {r[0] for r in scope.select(key, "date").join(ids, key, "left_semi")
-              .select("date").distinct().collect()}  # bounded by the number of dates
+    # stored copies of the batch's ids (narrow): their dates are rewritten
+    stored = scope.select(key, "date").join(ids, key, "left_semi").persist()
+    per_date = stored.groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per date
+    hdates = {r["date"] for r in per_date}
+    sk = stored.select(key)
+    if sum(r["n"] for r in per_date) <= DEFAULT_BROADCAST_ROWS:
+        sk = F.broadcast(sk)
     # compaction, size-tiered: a date this batch only appends to, whose chain
     # has grown past max_appends, folds its newest run of folders into this
     # version's folder -- the run grows while the next older folder is no
@@ -345,10 +350,17 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
         run = max(run, 2)
         compact[d] = (chain[:run], chain[run][0])  # folded folders, version left below them
     folded_paths = [p for run, _ in compact.values() for _, p in run]
+    # The batch splits on the stored ids (usually few): rows of new ids are
+    # written as they are -- never joined or broadcast -- and only updates of
+    # stored ids meet their stored copies.
+    fresh = folded.join(sk, key, "left_anti").select(*[
+        F.col(c) if c in folded.columns else F.lit(None).cast(schema[c].dataType).alias(c)
+        for c in schema.fieldNames()])
+    upd = folded.join(sk, key, "left_semi")
     part = target.where(_in_dates(hdates))  # partition-pruned read of the rewritten dates
-    hit = part.join(ids, key, "left_semi")
-    merged = merge_folded(hit, folded, key, broadcast=small).select(*schema.fieldNames())
-    keep = part.join(ids, key, "left_anti")
+    hit = part.join(sk, key, "left_semi")
+    merged = merge_folded(hit, upd, key, broadcast=small).select(*schema.fieldNames())
+    keep = part.join(sk, key, "left_anti")
     # Writers sized by the bytes written (~TARGET_FILE_BYTES per file); range
     # partitions are contiguous in (date, id): a quiet date is one file, a hot
     # one splits across several writers -- about writers + dates files instead
@@ -357,7 +369,7 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
     rewritten = _bytes(spark, [p for d in hdates for _, p in live.get(_date_dir(d), [])]
                        + folded_paths)
     writers = 1 + (rewritten + nbytes) // TARGET_FILE_BYTES
-    rows = keep.unionByName(merged)
+    rows = keep.unionByName(merged).unionByName(fresh)
     if folded_paths:
         rows = rows.unionByName(_read_paths(spark, table, folded_paths, schema))
     out = (rows.repartitionByRange(int(writers), "date", key)
@@ -371,6 +383,7 @@ def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: st
         _touch(spark, f"{table}/date={_date_dir(d)}/v={n}/_after.{floor}")
     _touch(spark, f"{table}/_log/v={n}.b={batch}")
     folded.unpersist()
+    stored.unpersist()
     return n
 
 

@@ -94,6 +94,20 @@ def test_merge_idempotency_and_keep_old(spark):
     assert (counts2.matched, counts2.modified, counts2.upserted) == (2, 0, 0)
 
 
+def test_fold_repeated_equals_fold(spark):
+    # repeated ids fold per field (last non-null by scored_at); single ids pass through
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", "x", None, t), ("a", None, "c1", t + dt.timedelta(hours=1)),
+            ("a", "y", None, t + dt.timedelta(hours=2)), ("b", None, "c2", t),
+            ("c", "z", "c3", t), (None, "n", "n", t)]
+    df = spark.createDataFrame(rows, "id string, title string, content string, scored_at timestamp")
+    want = sorted(map(tuple, mg.fold_updates(df).collect()))
+    assert sorted(map(tuple, mg.fold_repeated(df).select(*df.columns).collect())) == want
+    assert ("a", "y", "c1", t + dt.timedelta(hours=2)) in want and ("b", None, "c2", t) in want
+    # beyond the bound on repeated ids: the plain fold
+    assert sorted(map(tuple, mg.fold_repeated(df, max_rows=0).select(*df.columns).collect())) == want
+
+
 def test_insert_new_first_write_wins(spark):
     target = gold_rows(spark, [("a", "s", "Real", 0.9, 0, "Old", "x")])
     ups = gold_rows(spark, [("a", "s", "Fake", 0.5, 5, "Changed", "y"), ("b", "s", "Fake", 0.5, 9, "B2", "y"),
