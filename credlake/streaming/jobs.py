@@ -91,6 +91,22 @@ def _idempotent_append(spark: SparkSession, df: DataFrame, path: str, batch_id:
     lake._touch(spark, marker)
 
 
+def _exactly_once_row_file(spark: SparkSession, df: DataFrame, path: str, batch_id: int) -> None:
+    """Write a tiny per-batch result (a few rows) as one Parquet file named by
+    the batch id.  It is written to a hidden staging folder and appears by a
+    single rename, so a retried batch either finds it (and skips) or
+    rewrites its staging copy: exactly once, unlike write-then-marker."""
+    final = f"{path}/batch-{batch_id:020d}.parquet"
+    if lake.exists(spark, final):
+        return
+    stage = f"{path}/_staging/{batch_id}"
+    df.coalesce(1).write.mode("overwrite").parquet(stage)  # bounded: a summary row
+    part = lake._glob(spark, f"{stage}/part-*.parquet")[0]
+    fs, src = lake._fs(spark, part)
+    fs.rename(src, spark._jvm.org.apache.hadoop.fs.Path(final))
+    lake._delete(spark, stage)
+
+
 def run_score_stream(spark: SparkSession, base: str, ckpt: str, scored_at: ScoredAt | None = None,
                      scorer: Callable[[DataFrame], DataFrame] | None = None,
                      trigger: str | None = None,
@@ -242,7 +258,7 @@ def run_feed_counter(scored: DataFrame, path: str, ckpt: str, trigger: str | Non
         running = previous(batch_id) + row["n"]
         summary = spark.createDataFrame([(batch_id, row["n"], running, row["last_source"])],
                                         FEED_COUNTER_SCHEMA)
-        _idempotent_append(spark, summary, path, batch_id)
+        _exactly_once_row_file(spark, summary, path, batch_id)
         last.update(b=batch_id, n=running)
 
     return (scored.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)

@@ -188,6 +188,17 @@ def test_merge_into_folds_append_chains_size_tiered(spark):
     assert sorted(r.id for r in lake.read_serving(spark, table).collect()) == want
 
 
+def test_feed_counter_rows_are_written_exactly_once(spark):
+    path = work_dir(spark, "fc-once")
+    row = spark.createDataFrame([(0, 5, 5, "s")], jobs.FEED_COUNTER_SCHEMA)
+    # a crashed attempt left a staging copy behind; the retry replaces it
+    row.write.parquet(f"{path}/_staging/0")
+    for _ in range(2):  # the second call is a replay of the same batch id
+        jobs._exactly_once_row_file(spark, row, path, 0)
+    assert jobs.feed_counter_table(spark, path).count() == 1
+    assert lake._glob(spark, f"{path}/_staging/*") == []
+
+
 def test_live_aggregates_and_counter(spark):
     root = work_dir(spark, "sc")
     for i in range(3):
