@@ -167,6 +167,24 @@ def test_merge_into_appends_new_ids_rewrites_moved_and_compacts(spark):
     assert sorted(map(tuple, lake.read_serving(spark, table).collect())) == before
 
 
+def test_merge_into_recovers_from_a_crashed_attempt(spark):
+    table = work_dir(spark, "serving")
+    d0 = T0.date()
+
+    def rows(ids, label="Real"):
+        return spark.createDataFrame([(i, "s", "t", "c", "u", T0, T0, d0, label, 0.6, T0) for i in ids],
+                                     GOLD_SCHEMA)
+
+    lake.merge_into(spark, table, rows(["a", "b"]), "b0")
+    # a crash after writing version 2's files but before its commit marker
+    rows(["junk"]).withColumn("v", F.lit(2)).write.mode("append").partitionBy("date", "v").parquet(table)
+    assert sorted(r.id for r in lake.read_serving(spark, table).collect()) == ["a", "b"]
+    # the retry (any next merge) removes the leftovers and commits version 2 cleanly
+    assert lake.merge_into(spark, table, rows(["a"], "Fake"), "b1") == 2
+    cur = {r.id: r.label for r in lake.read_serving(spark, table).collect()}
+    assert cur == {"a": "Fake", "b": "Real"}
+
+
 def test_merge_into_folds_append_chains_size_tiered(spark):
     table = work_dir(spark, "serving")
     d0 = T0.date()
