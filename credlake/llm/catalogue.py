@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import licences, sharding, sql, token_rollup
+from credlake.llm import decontaminate, licences, sharding, sql, token_rollup
 from credlake.llm.common import saved, table
 from credlake.session import work_dir
 
@@ -47,6 +47,11 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.totals(spark, root)
 
 
+def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of benchmark windows."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards of the bounded-load ring; counts differ by one at most."""
     out = sharding.bounded_ring(table(spark, sf_dir, "documents"), N_SHARDS)
@@ -61,6 +66,7 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_rollup": op4_token_rollup,
+    "op5_prefix_decontamination": op5_prefix_decontamination,
     "op9_ring_shards": op9_ring_shards,
     "op10_licence_digests": op10_licence_digests,
 }

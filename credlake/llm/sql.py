@@ -63,7 +63,28 @@ SELECT w.doc_id, w.digest, k.license_id, coalesce(g.notices, '') AS notices, coa
 FROM w LEFT JOIN k ON k.digest = w.digest AND k.scope = 'text' LEFT JOIN g ON g.rid = w.rid"""
 
 
+def decontamination_sql() -> str:
+    """Exact windows by their words, joined to every run of as many document words."""
+    words = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    return f"""
+WITH b AS (SELECT item_id, {words} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS k FROM (
+         SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+dw AS (SELECT rid, i, n, w[i:i + n - 1] AS k FROM (
+         SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+         FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+o AS (SELECT dw.rid, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS p FROM o) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item_id) AS n_items,
+             string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM o GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
+
+
 ORACLES: dict[str, str] = {
     "op4_token_rollup": token_rollup_sql(),
+    "op5_prefix_decontamination": decontamination_sql(),
     "op10_licence_digests": licence_sql(),
 }
