@@ -6,13 +6,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import decontaminate, licences, sharding, sql, token_rollup
+from credlake.llm import decontaminate, jaccard_join, licences, sharding, sql, token_rollup
 from credlake.llm.common import saved, table
 from credlake.session import work_dir
 
 N_SHARDS = 40
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by five-word shingles at a Jaccard of 0.75 or more."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: every document counted, recounted without its
     repeated lines, short documents deleted, and the second batch replayed."""
@@ -65,6 +70,7 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_rollup": op4_token_rollup,
     "op5_prefix_decontamination": op5_prefix_decontamination,
     "op9_ring_shards": op9_ring_shards,

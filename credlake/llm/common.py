@@ -46,3 +46,37 @@ def ordered_index(df: DataFrame, order: Sequence[Column], name: str, index: str)
     shift = spark.createDataFrame(offsets, "_part int, _shift long")
     return (placed.join(F.broadcast(shift), "_part")
             .withColumn(index, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift"))
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "inner",
+                ways: int = 16) -> DataFrame:
+    """Equi-join whose key may be hot on the ``many`` side.
+
+    Rows of ``many`` are dealt over ``ways`` salts by the columns ``by``; the
+    narrow side ``few`` is repeated once per salt, so no key meets in one task.
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(ways)).cast("int"))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, label) for every node of ``edges`` (a, b): the least node it reaches.
+
+    Labels spread to neighbours and then jump to their own label's label, so
+    the rounds grow with the logarithm of the longest path; every round is a
+    table in the shared folder.
+    """
+    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
+    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), name)
+    while True:
+        near = (spread_join(both, labels.select(F.col("node").alias("b"), "label"), ["b"], ["a"])
+                .groupBy("a").agg(F.min("label").alias("near")))
+        low = saved(labels.join(near, F.col("node") == F.col("a"))
+                    .select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), f"{name}-low")
+        roots = low.select("label").distinct().join(low.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
+        labels = saved(spread_join(low, roots, ["label"], ["node"])
+                       .select("node", "old", F.col("root").alias("label")), name)
+        if labels.filter(F.col("old") != F.col("label")).isEmpty():
+            return labels.select("node", "label")
+        labels = labels.select("node", "label")
