@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import decontaminate, jaccard_join, licences, sharding, sql, token_rollup
+from credlake.llm import decontaminate, jaccard_join, licences, packing, sharding, sql, token_rollup
 from credlake.llm.common import saved, table
 from credlake.session import work_dir
 
@@ -57,6 +57,20 @@ def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Pieces of ``docs`` packed to 2048 tokens of the public byte-level BPE."""
+    import public_tokenizers
+
+    pieces = packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.digested(pieces)
+
+
+def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed to sequences of 2048 tokens."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards of the bounded-load ring; counts differ by one at most."""
     out = sharding.bounded_ring(table(spark, sf_dir, "documents"), N_SHARDS)
@@ -73,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_rollup": op4_token_rollup,
     "op5_prefix_decontamination": op5_prefix_decontamination,
+    "op8_histogram_packing": op8_histogram_packing,
     "op9_ring_shards": op9_ring_shards,
     "op10_licence_digests": op10_licence_digests,
 }
