@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import decontaminate, jaccard_join, licences, packing, sharding, sql, token_rollup
+from credlake.llm import decontaminate, jaccard_join, language, licences, packing, sharding, sql, token_rollup
 from credlake.llm.common import saved, table
 from credlake.session import work_dir
 
@@ -57,6 +57,14 @@ def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, markup, address and host."""
+    model = language.train(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang"))
+    pages = language.page_evidence(table(spark, sf_dir, "pages"))
+    return (language.identify(pages.withColumn("row_id", F.col("page_id").cast("long")), model)
+            .withColumnRenamed("row_id", "page_id"))
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Pieces of ``docs`` packed to 2048 tokens of the public byte-level BPE."""
     import public_tokenizers
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_rollup": op4_token_rollup,
     "op5_prefix_decontamination": op5_prefix_decontamination,
+    "op6_language_fusion": op6_language_fusion,
     "op8_histogram_packing": op8_histogram_packing,
     "op9_ring_shards": op9_ring_shards,
     "op10_licence_digests": op10_licence_digests,
