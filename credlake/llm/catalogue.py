@@ -6,11 +6,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import decontaminate, jaccard_join, language, licences, packing, sharding, sql, token_rollup
+from credlake.llm import decontaminate, jaccard_join, language, licences, packing, sharding, sql, surrogates, token_rollup
 from credlake.llm.common import saved, table
 from credlake.session import work_dir
 
 N_SHARDS = 40
+SURROGATE_KEY = "surrogates-of-this-corpus"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return surrogates.replace_pii(docs, SURROGATE_KEY)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +99,7 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_rollup": op4_token_rollup,
     "op5_prefix_decontamination": op5_prefix_decontamination,
