@@ -80,3 +80,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if labels.filter(F.col("old") != F.col("label")).isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
+
+
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``ids.row_id``; null keys stay.
+
+    Up to BROADCAST_IDS counted ids (8 bytes each) are broadcast, so the texts
+    stay where they are; beyond, both sides are shuffled by the key.
+    """
+    ids = saved(ids.select("row_id").distinct(), "dropped")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    named = docs.withColumn("_key", key)
+    return named.join(ids, F.col("_key") == F.col("row_id"), "left_anti").drop("_key")
