@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import decontaminate, jaccard_join, language, licences, packing, sharding, sql, surrogates, token_rollup
+from credlake.llm import decontaminate, jaccard_join, language, licences, packing, page_diff, sharding, sql, surrogates, token_rollup
 from credlake.llm.common import saved, table
 from credlake.session import work_dir
 
@@ -20,6 +20,11 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_pii(docs, SURROGATE_KEY)
 
 
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_diff.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by five-word shingles at a Jaccard of 0.75 or more."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -100,6 +105,7 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_page_differencing": op2_page_differencing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_rollup": op4_token_rollup,
     "op5_prefix_decontamination": op5_prefix_decontamination,
