@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import decontaminate, jaccard_join, language, licences, packing, page_diff, sharding, sql, surrogates, token_rollup
+from credlake.llm import bloom_sketch, decontaminate, jaccard_join, language, licences, packing, page_diff, sharding, sql, surrogates, token_rollup
 from credlake.llm.common import saved, table
 from credlake.session import work_dir
 
@@ -77,6 +77,11 @@ def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("row_id", "page_id"))
 
 
+def op7_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of every document and its edited text, and their likenesses."""
+    return bloom_sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Pieces of ``docs`` packed to 2048 tokens of the public byte-level BPE."""
     import public_tokenizers
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_rollup": op4_token_rollup,
     "op5_prefix_decontamination": op5_prefix_decontamination,
     "op6_language_fusion": op6_language_fusion,
+    "op7_bloom_fingerprints": op7_bloom_fingerprints,
     "op8_histogram_packing": op8_histogram_packing,
     "op9_ring_shards": op9_ring_shards,
     "op10_licence_digests": op10_licence_digests,
