@@ -91,8 +91,8 @@ def without(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
     Up to BROADCAST_IDS counted ids (8 bytes each) are broadcast, so the texts
     stay where they are; beyond, both sides are shuffled by the key.
     """
-    ids = saved(ids.select("row_id").distinct(), "dropped")
+    ids = saved(ids.select(F.col("row_id").alias("__dropped")).distinct(), "dropped")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    named = docs.withColumn("_key", key)
-    return named.join(ids, F.col("_key") == F.col("row_id"), "left_anti").drop("_key")
+    named = docs.withColumn("__key", key)
+    return named.join(ids, F.col("__key") == F.col("__dropped"), "left_anti").drop("__key")

@@ -158,7 +158,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     seen = {k: F.coalesce(f"{k}_counts", F.array_repeat(F.lit(0).cast("long"), width)) for k in ("declared", "suffix", "domain", "host")}
 
     def without_self(counts: Column) -> Column:
-        return F.transform(counts, lambda n, k: n - F.when(k == own, 1).otherwise(0))
+        return F.transform(counts, lambda n, k: F.greatest(n - F.when(k == own, 1).otherwise(0), F.lit(0)))
 
     def pulled(counts: Column, towards: Column) -> Column:
         n = _all(counts)

@@ -231,7 +231,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     columns = docs.columns
     found = saved(
         docs.filter(has_pii(F.col("text")))
-        .select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row_id"),
+        .select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.monotonically_increasing_id().alias("row_id"),
                 F.split("text", PII, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(PII), F.lit(0)).alias("matches"))
         .withColumn("entities", F.flatten(F.transform("matches", lambda m, i: F.transform(
             _entities(m), lambda e, j: F.struct(i.alias("at"), j.alias("part"), e["kind"].alias("kind"), e["canon"].alias("canon")))))),
