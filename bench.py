@@ -18,6 +18,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -45,7 +46,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session("credlake-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+                        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g"),
+                               "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="credlake-bench-")})
     out: dict[str, float] = {}
 
     gold_path = work_dir(spark, "bench-gold")

@@ -5,6 +5,8 @@ no Arrow hop, so it scales with the executors like any projection.
 """
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,16 +24,6 @@ def digest_byte(hex_digest: Column, i: int) -> Column:
     return F.conv(F.substring(hex_digest, 2 * i + 1, 2), 16, 10).cast("int")
 
 
-def default_confidence(text) -> Column:
-    d = F.md5(F.coalesce(_c(text), F.lit("")))
-    return F.round(F.lit(0.5) + digest_byte(d, 0).cast("double") / F.lit(255.0) * F.lit(0.49), 4)
-
-
-def default_label(text) -> Column:
-    d = F.md5(F.coalesce(_c(text), F.lit("")))
-    return F.when(digest_byte(d, 1) % 2 == 0, F.lit(FAKE)).otherwise(F.lit(REAL))
-
-
 def default_score(text) -> Column:
     """Hash scorer: md5 of the text; confidence = round(0.5 + b0/255*0.49, 4)
     in [0.5, 0.99]; Fake iff byte 1 is even.  Returns struct(label, confidence)."""
@@ -52,29 +44,25 @@ def label_rule(raw) -> Column:
     return F.when(u.contains("FAKE") | (u == "0"), F.lit(FAKE)).otherwise(F.lit(REAL))
 
 
-def normalize_label(raw, mapping: dict[str, str] | None = None) -> Column:
+def normalize_label(raw, mapping: Mapping[str, str] | Column | None = None) -> Column:
     """Model label -> Fake/Real.
 
-    With a mapping: ``mapping[raw]``, or ``raw`` itself when absent.
-    Without: :func:`label_rule` (so ``LABEL_0`` is Real).
+    With a mapping (a dict or a map column): ``mapping[raw]``, or ``raw`` itself
+    when absent.  Without: :func:`label_rule` (so ``LABEL_0`` is Real).
     """
     r = _c(raw)
-    if mapping:
-        m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    if isinstance(mapping, Column) or mapping:
+        m = mapping if isinstance(mapping, Column) else F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
         return F.coalesce(F.try_element_at(m, r), r)
     return F.when(r.isNull(), F.lit(None)).otherwise(label_rule(r))
 
 
-def label_mapping(id2label: dict[int, str]) -> dict[str, str]:
-    """The normalisation table a model directory would carry for its labels."""
-    out = {}
-    for raw in id2label.values():
-        u = raw.upper()
-        out[raw] = FAKE if ("FAKE" in u or u == "0") else REAL
-    return out
+def label_map(names) -> Column:
+    """Map column of raw model labels to Fake/Real, each by :func:`label_rule`."""
+    return F.create_map(*[part for name in sorted(set(names)) for part in (F.lit(name), label_rule(F.lit(name)))])
 
 
-def softmax_argmax(logits, id2label: dict[int, str], mapping: dict[str, str] | None = None) -> Column:
+def softmax_argmax(logits, id2label: dict[int, str], mapping: Mapping[str, str] | Column | None = None) -> Column:
     """Softmax over a logits array, first maximum wins.
 
     Returns struct(label, confidence) where label = normalised ``id2label[argmax]``

@@ -5,7 +5,7 @@ one pass, partial aggregation, nothing collected.  Zero divisions give 0.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASS_NAMES = {0: "Fake", 1: "Real"}
@@ -110,51 +110,67 @@ def fingerprint(corpus: DataFrame) -> DataFrame:
     return b.select(fingerprint_col(F.col("n"), F.col("neg"), F.col("pos")).alias("hash8"))
 
 
-def split_column(text="text", test_fraction: float = 0.1, seed: int = 42,
-                 buckets: int = 1_000_000) -> Column:
-    """M1: deterministic hash split -- a row is ``test`` when md5(text|seed),
-    read as a number, falls in the first ``test_fraction`` of the range.
+SPLIT_BUCKETS_LOG2 = 20
 
-    Per row, no shuffle, independent of partitioning; identical texts always
-    land on the same side (no train/test leakage of copies).  Because the
-    hash ignores the label, each class keeps the ratio in expectation (not an
-    exact ceil(0.1 n) per class, which would need a per-class global rank).
-    """
+
+def split_hash(text="text", seed: int = 42) -> Column:
+    """A row's place in the split order: 48 bits of md5(text|seed)."""
     t = F.col(text) if isinstance(text, str) else text
     h = F.conv(F.substring(F.md5(F.concat(F.coalesce(t, F.lit("")), F.lit(f"|{seed}"))), 1, 12), 16, 10)
-    cut = int(round(test_fraction * buckets))
-    return F.when(h.cast("long") % buckets < cut, F.lit("test")).otherwise(F.lit("train"))
+    return h.cast("long")
 
 
 def stratified_split(corpus: DataFrame, test_fraction: float = 0.1, seed: int = 42) -> DataFrame:
-    return corpus.withColumn("part", split_column("text", test_fraction, seed))
+    """M1: ``part`` = test for exactly ``ceil(test_fraction * n)`` rows of every
+    label, the first in hash order; independent of partitioning.
+
+    Rows are not ranked as a whole.  Counts per label and hash bucket (at most
+    2**20 buckets) give the bucket the cut falls into; rows of other buckets
+    are told by their bucket, and only the cut bucket's rows are ranked.
+    """
+    rows = corpus.withColumn("_h", split_hash("text", seed))
+    rows = rows.withColumn("_bucket", F.shiftright("_h", 48 - SPLIT_BUCKETS_LOG2))
+    counts = rows.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    by_label = Window.partitionBy("label")
+    upto = F.sum("n").over(by_label.orderBy("_bucket"))
+    cut = (counts.select("label", "_bucket", "n", upto.alias("upto"),
+                         F.ceil(F.lit(test_fraction) * F.sum("n").over(by_label)).alias("wanted"))
+           .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+           .select(F.col("label").alias("_label"), F.col("_bucket").alias("_cut"),
+                   (F.col("wanted") - F.col("upto") + F.col("n")).alias("_need")))
+    told = rows.join(F.broadcast(cut), F.col("label").eqNullSafe(F.col("_label")), "left")  # one row per label
+    in_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    side = lambda test: F.when(test, F.lit("test")).otherwise(F.lit("train")).alias("part")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("_h", "text"))
+    ranked = told.where(in_cut).withColumn("_rank", rank)
+    return (told.where(~in_cut).select(*corpus.columns, side(F.col("_bucket") < F.col("_cut")))
+            .unionByName(ranked.select(*corpus.columns, side(F.col("_rank") <= F.col("_need")))))
 
 
 def split_counts(split: DataFrame) -> DataFrame:
-    return split.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per label and part, and a checksum of which rows they are."""
+    return split.groupBy("label", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(split_hash("text") % 1_000_003).alias("place_sum"))
 
 
-def run_summary(corpus: DataFrame, yp: DataFrame, test_fraction: float = 0.1, seed: int = 42) -> DataFrame:
+def run_summary(corpus: DataFrame, yp: DataFrame, test_fraction: float = 0.1) -> DataFrame:
     """M4: n_train, n_eval, dataset fingerprint, accuracy, f1 -- one row.
 
-    Corpus rows and (y, p) pairs go through one aggregate over their union
-    (a kind column tells them apart), so no join of two one-row results.
+    The sizes follow from the class counts (M1 takes ``ceil(fraction * n)`` rows
+    of each class).  Corpus rows and (y, p) pairs go through one aggregate over
+    their union, so no join of two one-row results.
     """
-    part = split_column("text", test_fraction, seed)
-    rows = corpus.select(F.lit(0).alias("kind"), part.alias("part"), F.col("label"),
-                         F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("p")) \
-        .unionByName(yp.select(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("part"),
-                               F.lit(None).cast("int").alias("label"), "y", "p"))
-    k, y, p = F.col("kind"), F.col("y"), F.col("p")
+    none = F.lit(None).cast("int")
+    rows = (corpus.select("label", none.alias("y"), none.alias("p"))
+            .unionByName(yp.select(none.alias("label"), "y", "p")))
+    y, p = F.col("y"), F.col("p")
     agg = rows.agg(
-        F.count_if((k == 0) & (F.col("part") == "train")).alias("n_train"),
-        F.count_if((k == 0) & (F.col("part") == "test")).alias("n_eval"),
-        F.count_if(k == 0).alias("n"), F.count_if((k == 0) & (F.col("label") == 0)).alias("neg"),
-        F.count_if((k == 0) & (F.col("label") == 1)).alias("pos"),
+        F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos"),
         F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 0) & (p == 0)).alias("tn"))
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return agg.select("n_train", "n_eval",
-                      fingerprint_col(F.col("n"), F.col("neg"), F.col("pos")).alias("dataset_hash"),
+    tp, fp, fn, tn, neg, pos = (F.col(x) for x in ("tp", "fp", "fn", "tn", "neg", "pos"))
+    n_eval = F.ceil(F.lit(test_fraction) * neg) + F.ceil(F.lit(test_fraction) * pos)
+    return agg.select((neg + pos - n_eval).alias("n_train"), n_eval.alias("n_eval"),
+                      fingerprint_col(neg + pos, neg, pos).alias("dataset_hash"),
                       _div(tp + tn, tp + fp + fn + tn).alias("accuracy"),
                       _div(2 * tp, 2 * tp + fp + fn).alias("f1"))

@@ -10,9 +10,8 @@ Scale notes
 * The fold is a ``groupBy(id)`` with ``max_by`` -- partially aggregated on
   the map side, so one id carrying a third of all updates is combined
   before the shuffle.
-* When the folded update set is small (checked with a bounded count) the
-  target is streamed through a broadcast left join: the big side is never
-  shuffled.  Above the bound, a shuffled full outer join is used.
+* Every operator is one plan; which side of a join is broadcast, if any, is
+  left to the optimizer and to AQE, by the sizes they see.
 """
 from __future__ import annotations
 
@@ -21,9 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
-
 
 def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
     """Ids that occur more than once (the unique-index audit)."""
@@ -43,100 +39,28 @@ def fold_updates(updates: DataFrame, key: str = "id",
     return updates.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
-def fold_repeated(updates: DataFrame, key: str = "id",
-                  seq_cols: Sequence[str | Column] = ("scored_at",),
-                  max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """:func:`fold_updates`, shuffling whole rows only for repeated ids.
-
-    Ids are counted first (a shuffle of the key column alone).  While the set
-    of repeated ids is bounded it is broadcast: an id seen once passes
-    through as it is (the fold of one row is that row) and only repeated ids
-    are folded -- a batch of new, distinct articles never shuffles its text.
-    Beyond the bound every row is folded.
-    """
-    u = updates.where(F.col(key).isNotNull())
-    rep = (u.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > 1).select(key))
-    if not fits_broadcast(rep, max_rows):
-        return fold_updates(updates, key, seq_cols)
-    rep = F.broadcast(rep)
-    single = u.join(rep, key, "left_anti")
-    multi = fold_updates(u.join(rep, key, "left_semi"), key, seq_cols)
-    return single.unionByName(multi)
-
-
-def row_bytes(df: DataFrame) -> Column:
-    """Approximate payload size of a row: string / binary lengths, 8 bytes per
-    other field (nested values count as their JSON-free fixed part)."""
-    parts = []
-    for f in df.schema.fields:
-        t = f.dataType.typeName()
-        if t in ("string", "binary"):
-            parts.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long"))
-        else:
-            parts.append(F.lit(8).cast("long"))
-    out = F.lit(0).cast("long")
-    for p in parts:
-        out = out + p
-    return out
-
-
-def fits_broadcast(df: DataFrame, max_rows: int,
-                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """Bounded size check before a broadcast: looks at no more than
-    ``max_rows + 1`` rows and needs both their count and their payload bytes
-    within bounds.  The width is computed before the limit, so the limit's
-    single-partition exchange carries one long per row, not the row itself."""
-    r = (df.select(row_bytes(df).alias("_w")).limit(max_rows + 1)
-         .agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("b")).first())
-    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
-
-
 def _columns(target: DataFrame, folded: DataFrame, key: str) -> list[str]:
     cols = [c for c in target.columns if c != key]
     return cols + [c for c in folded.columns if c != key and c not in cols]
 
 
-def merge_folded(target: DataFrame, folded: DataFrame, key: str = "id",
-                 broadcast: bool | None = None,
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Apply already-folded updates to ``target`` (see module doc)."""
+def merge_folded(target: DataFrame, folded: DataFrame, key: str = "id") -> DataFrame:
+    """Apply already-folded updates to ``target``: one full outer join by key."""
     cols = _columns(target, folded, key)
-    tcols = set(target.columns)
-    ucols = set(folded.columns)
 
     def merged(c: str) -> Column:
-        new = F.col(f"u.{c}") if c in ucols else F.lit(None)
-        old = F.col(f"t.{c}") if c in tcols else F.lit(None)
-        return F.coalesce(new, old).alias(c)
-
-    if broadcast is None:
-        broadcast = fits_broadcast(folded, max_broadcast_rows)
-    t = target.alias("t")
-    if broadcast:
-        u = F.broadcast(folded).alias("u")
-        kept = t.join(u, F.col(f"t.{key}") == F.col(f"u.{key}"), "left") \
-                .select(F.col(f"t.{key}").alias(key), *[merged(c) for c in cols])
-        hit = target.select(key).join(F.broadcast(folded.select(key)), key, "left_semi")
-        fresh = folded.join(hit, key, "left_anti").alias("u")
-        inserted = fresh.select(F.col(f"u.{key}").alias(key),
-                                *[(F.col(f"u.{c}") if c in ucols else F.lit(None)).alias(c)
-                                  for c in cols])
-        out = kept.unionByName(inserted)
-    else:
-        u = folded.alias("u")
-        out = t.join(u, F.col(f"t.{key}") == F.col(f"u.{key}"), "full_outer").select(
-            F.coalesce(F.col(f"u.{key}"), F.col(f"t.{key}")).alias(key), *[merged(c) for c in cols])
-    order = [c for c in target.columns] + [c for c in cols if c not in tcols]
-    return out.select(*order)
+        sides = [F.col(f"{s}.{c}") for s, df in (("u", folded), ("t", target)) if c in df.columns]
+        return F.coalesce(*sides).alias(c)
+
+    joined = target.alias("t").join(folded.alias("u"), F.col(f"t.{key}") == F.col(f"u.{key}"), "full_outer")
+    order = [*target.columns, *[c for c in cols if c not in target.columns]]
+    return joined.select(F.coalesce(F.col(f"u.{key}"), F.col(f"t.{key}")).alias(key), *[merged(c) for c in cols]).select(*order)
 
 
 def merge_articles(target: DataFrame, updates: DataFrame, key: str = "id",
-                   seq_cols: Sequence[str | Column] = ("scored_at",), broadcast: bool | None = None,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   seq_cols: Sequence[str | Column] = ("scored_at",)) -> DataFrame:
     """Field-level upsert of ``updates`` into ``target`` keyed on ``key``."""
-    return merge_folded(target, fold_updates(updates, key, seq_cols), key, broadcast,
-                        max_broadcast_rows)
+    return merge_folded(target, fold_updates(updates, key, seq_cols), key)
 
 
 def merge_counts(target: DataFrame, updates: DataFrame, key: str = "id",
@@ -147,12 +71,8 @@ def merge_counts(target: DataFrame, updates: DataFrame, key: str = "id",
     """
     folded = fold_updates(updates, key, seq_cols)
     cols = [c for c in folded.columns if c != key and c in target.columns]
-    # only stored rows of this batch's ids matter: stream the target through a
-    # semi-join against the (size-checked, broadcast) batch keys first
-    keys = folded.select(key)
-    if fits_broadcast(keys, DEFAULT_BROADCAST_ROWS):
-        keys = F.broadcast(keys)
-    stored = target.select(key, *cols).join(keys, key, "left_semi")
+    # only stored rows of this batch's ids matter
+    stored = target.select(key, *cols).join(updates.select(key).distinct(), key, "left_semi")
     j = folded.alias("u").join(stored.withColumn("_hit", F.lit(1)).alias("t"), key, "left")
     present = F.col("_hit").isNotNull()
     changed = F.lit(False)
@@ -174,16 +94,11 @@ def insert_new(target: DataFrame, updates: DataFrame, key: str = "id",
     return target.unionByName(new_only(target, firsts, key).select(*target.columns))
 
 
-def new_only(target: DataFrame, batch: DataFrame, key: str = "id",
-             max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def new_only(target: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """Rows of a (small) batch whose key is not stored yet.
 
-    The stored side is streamed through a semi-join against the broadcast
-    batch keys (when their count is under the bound), so it is never
-    shuffled or broadcast; the anti-join then runs between two small sets.
+    The stored keys are first cut to the batch's own by a semi-join; the
+    anti-join then runs between two small sets.
     """
-    keys = batch.select(key)
-    if fits_broadcast(keys, max_broadcast_rows):
-        keys = F.broadcast(keys)
-    hit = target.select(key).join(keys, key, "left_semi")
+    hit = target.select(key).join(batch.select(key), key, "left_semi")
     return batch.join(hit, key, "left_anti")

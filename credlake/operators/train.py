@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.operators.evaluate import accuracy_f1, split_column
+from credlake.operators.evaluate import accuracy_f1, stratified_split
 
 NUM_FEATURES = 1 << 18
 
@@ -30,9 +30,8 @@ def classifier_pipeline(max_iter: int = 50, reg: float = 0.01) -> Pipeline:
 
 def train_classifier(corpus: DataFrame, test_fraction: float = 0.1, seed: int = 42,
                      max_iter: int = 50) -> tuple[PipelineModel, DataFrame]:
-    """M2: fit on the train part of the hash split; metrics on the test part."""
-    data = corpus.select("text", F.col("label").cast("double").alias("label"),
-                         split_column("text", test_fraction, seed).alias("part"))
+    """M2: fit on the train part of the stratified split; metrics on the test part."""
+    data = stratified_split(corpus.select("text", F.col("label").cast("double").alias("label")), test_fraction, seed)
     model = classifier_pipeline(max_iter).fit(data.where(F.col("part") == "train"))
     pred = model.transform(data.where(F.col("part") == "test"))
     yp = pred.select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from credlake.functions import display as disp
 from credlake.functions.ids import stable_id, title_id
-from credlake.functions.scoring import label_mapping, normalize_label, score_article, softmax_argmax
+from credlake.functions.scoring import label_map, normalize_label, score_article, softmax_argmax
 from credlake.functions.text import normalize_text
 from credlake.functions.times import parse_published, to_iso
 from credlake.operators.clean import build_article, clean
@@ -92,7 +92,7 @@ FROM (SELECT vec_id, ['FAKE', 'fake', '0', '1', 'LABEL_0', 'real', 'Fake News'][
       FROM embeddings)"""))
 def q_label_norm(spark, sf):
     r = fx.raw_labels(spark, sf)
-    mapping = label_mapping(fx.ID2LABEL)
+    mapping = label_map(fx.ID2LABEL.values())
     return r.select("vec_id", "raw", normalize_label("raw").alias("label"),
                     normalize_label("raw", mapping).alias("label_mapped"))
 

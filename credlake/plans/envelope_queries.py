@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from credlake.functions.scoring import score_article  # noqa: F401  (doc link)
 from credlake.plans import oracle as o
 from credlake.plans.oracle import sql
 from credlake.plans.registry import query
@@ -64,7 +63,8 @@ SELECT CASE WHEN doc_id % 79 = 0 THEN NULL ELSE id END AS id,
        CASE WHEN doc_id % 79 = 0 THEN NULL ELSE label END AS label,
        CASE WHEN doc_id % 79 = 0 THEN NULL ELSE confidence END AS confidence,
        CASE WHEN doc_id % 79 = 0 THEN NULL ELSE scored_at END AS scored_at
-FROM f3 WHERE doc_id % 97 <> 0 AND doc_id % 89 <> 0 AND doc_id % 83 <> 0 AND doc_id % 73 <> 0""", "f3"))
+FROM f3 WHERE doc_id % 97 <> 0 AND doc_id % 89 <> 0 AND doc_id % 83 <> 0
+  AND (doc_id % 73 <> 0 OR doc_id % 79 = 0)""", "f3"))
 def q_valid_scored(spark, sf):
     return ev.valid_scored(fx.scored_envelopes(spark, sf))
 
@@ -110,8 +110,8 @@ def _live_sql(newsapi: bool) -> str:
     t = o.strip("coalesce(title, '')")
     u = o.strip("coalesce(url, '')")
     body = o.strip(f"coalesce({BODY}, '')")
-    author = f"nullif({o.strip(chr(39) * 0 + 'coalesce(author, ' + chr(39) * 2 + ')')}, '')" if newsapi \
-        else "NULL::VARCHAR"
+    trimmed = o.strip("coalesce(author, '')")
+    author = f"nullif({trimmed}, '')" if newsapi else "NULL::VARCHAR"
     keep = "ts <> '' AND us <> ''" + (" AND ts <> '[Removed]' AND status_ok" if newsapi else "")
     mt = o.model_text("ts", "body")
     return sql(f"""

@@ -18,14 +18,14 @@ SELECT coalesce(u.id, t.id) AS id, {", ".join(f"coalesce(u.{c}, t.{c}) AS {c}" f
 FROM f3 t FULL OUTER JOIN ({FOLD_SQL}) u ON t.id = u.id""", "f3", "f4")
 
 
-@query("merge", "S12, J5 (broadcast path)", MERGE_SQL)
+@query("merge", "S12, J5", MERGE_SQL)
 def q_merge(spark, sf):
     return mg.merge_articles(fx.articles_scored(spark, sf), fx.updates(spark, sf))
 
 
-@query("merge_shuffled", "S12, J5 (shuffle full-outer path)", MERGE_SQL)
+@query("merge_shuffled", "S12, J5 (updates dealt over many partitions first)", MERGE_SQL)
 def q_merge_shuffled(spark, sf):
-    return mg.merge_articles(fx.articles_scored(spark, sf), fx.updates(spark, sf), broadcast=False)
+    return mg.merge_articles(fx.articles_scored(spark, sf), fx.updates(spark, sf).repartition(7, "scored_at"))
 
 
 CHANGED = " OR ".join(f"(coalesce(u.{c}, t.{c}) IS DISTINCT FROM t.{c})" for c in COLS)

@@ -34,10 +34,8 @@ def _env_stream(spark, root):
 
 def _stage_scored(spark, sf):
     root = work_dir(spark, "scored")
-    sc = fx.articles_scored(spark, sf)
-    (sc.withColumn("part", F.col("doc_id") % 4).select(*GOLD_SCHEMA.fieldNames(), "part")
-     .write.mode("overwrite").partitionBy("part").parquet(root))
-    return root
+    sc = fx.articles_scored(spark, sf).select(*GOLD_SCHEMA.fieldNames())
+    return fx.land_in_time_order(sc, root, "scored_at", ["scored_at", "id"], 4)
 
 
 def _scored_stream(spark, root):
@@ -56,15 +54,21 @@ SELECT id, source, title, content, url, published_at, fetched_at, source AS kafk
        CAST(fetched_at AS TIMESTAMP) AS kafka_ts, CAST(CAST(published_at AS TIMESTAMP) AS DATE) AS date
 FROM f1t WHERE {ENV_OK}""", "f1t")
 
-SILVER_IDS = f"""
-SELECT DISTINCT id, trim(title) AS title, coalesce(trim(content), '') AS content, url
-FROM f1 WHERE {ENV_OK} AND title IS NOT NULL AND length(title) > 0
-  AND regexp_matches(trim(title), '[A-Za-z]')"""
+# the copy of an article that arrives first: messages land in order of (time, doc_id)
+FIRST_SILVER = f"""
+SELECT t.id, t.source, trim(t.title) AS title, coalesce(trim(t.content), '') AS content, t.url, t.published_at, t.fetched_at,
+       t.source AS kafka_key, CAST(t.fetched_at AS TIMESTAMP) AS kafka_ts, 'en' AS lang_guess,
+       CAST(CAST(t.published_at AS TIMESTAMP) AS DATE) AS date
+FROM f1t t WHERE {ENV_OK} AND title IS NOT NULL AND length(title) > 0 AND regexp_matches(trim(title), '[A-Za-z]')
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY CAST(fetched_at AS TIMESTAMP), doc_id) = 1"""
+
+SILVER_SQL = sql(FIRST_SILVER, "f1t")
 
-SCORED_IDS = sql(f"""
-SELECT id, title, content, url, {score_label('mt')} AS label, {score_conf('mt')} AS confidence
-FROM (SELECT *, substr(coalesce(title, '') || '. ' || coalesce(content, ''), 1, 4000) AS mt
-      FROM ({SILVER_IDS}))""", "f1")
+GOLD_SQL = sql(f"""
+SELECT id, source, title, content, url, CAST(published_at AS TIMESTAMP) AS published_at, CAST(fetched_at AS TIMESTAMP) AS fetched_at,
+       date, {score_label('mt')} AS label, {score_conf('mt')} AS confidence,
+       CAST(fetched_at AS TIMESTAMP) + to_seconds(5) AS scored_at
+FROM (SELECT *, substr(coalesce(title, '') || '. ' || coalesce(content, ''), 1, 4000) AS mt FROM ({FIRST_SILVER}))""", "f1t")
 
 
 @query("bronze_stream", "S1, S4, S6, W1, W2, W3", PARSED_SQL)
@@ -77,50 +81,51 @@ def q_bronze_stream(spark, sf):
         "kafka_ts", "date")
 
 
-@query("silver_stream", "S7, C1, D1, W4", sql(f"""
-SELECT id, title, content, url, 'en' AS lang_guess FROM ({SILVER_IDS})""", "f1"))
-def q_silver_stream(spark, sf):
+def _silver(spark, sf, **options):
     root = _stage_envelopes(spark, sf)
     base, ckpt = work_dir(spark, "lake"), work_dir(spark, "ckpt")
-    jobs.run_silver(_env_stream(spark, root), base, ckpt).awaitTermination()
-    return lake.read_layer(spark, f"{base}/silver", "silver").select(
-        "id", "title", "content", "url", "lang_guess")
+    jobs.run_silver(_env_stream(spark, root), base, ckpt, **options).awaitTermination()
+    return base, ckpt
+
+
+@query("silver_stream", "S7, C1, D1, W4", SILVER_SQL)
+def q_silver_stream(spark, sf):
+    base, _ = _silver(spark, sf)
+    return lake.read_layer(spark, f"{base}/silver", "silver")
+
+
+@query("silver_bounded", "S7, C1, D2", SILVER_SQL)
+def q_silver_bounded(spark, sf):
+    base, _ = _silver(spark, sf, dedupe_delay="7 days")
+    return lake.read_layer(spark, f"{base}/silver", "silver")
 
 
-@query("score_stream", "S8, S9, S10, S11, W5, P14-default", SCORED_IDS)
+@query("score_stream", "S8, S9, S10, S11, W5, P14-default", GOLD_SQL)
 def q_score_stream(spark, sf):
-    root = _stage_envelopes(spark, sf)
-    base, ckpt = work_dir(spark, "lake"), work_dir(spark, "ckpt")
-    jobs.run_silver(_env_stream(spark, root), base, ckpt).awaitTermination()
+    base, ckpt = _silver(spark, sf)
     jobs.run_score_stream(spark, base, ckpt, scored_at=_scored_at).awaitTermination()
-    return lake.read_layer(spark, f"{base}/gold", "gold").select(
-        "id", "title", "content", "url", "label", "confidence")
+    return lake.read_layer(spark, f"{base}/gold", "gold")
 
 
-@query("lake_chain", "W9, S12 (serving table)", SCORED_IDS)
-def q_lake_chain(spark, sf):
-    root = _stage_envelopes(spark, sf)
+def _chain(spark, root, serving):
+    """One full pass from the raw messages, with layers and checkpoints of its own."""
     base, ckpt = work_dir(spark, "lake"), work_dir(spark, "ckpt")
-    serving = f"{base}/serving"
     jobs.run_chain(spark, lambda: _env_stream(spark, root), base, ckpt, serving, _scored_at)
-    return lake.read_serving(spark, serving).select("id", "title", "content", "url", "label",
-                                                    "confidence")
 
 
-@query("lake_chain_replay", "W9 replay: a second full pass leaves the merged table unchanged", SCORED_IDS)
+@query("lake_chain", "W9, S12 (serving table)", GOLD_SQL)
+def q_lake_chain(spark, sf):
+    serving = work_dir(spark, "serving")
+    _chain(spark, _stage_envelopes(spark, sf), serving)
+    return lake.read_serving(spark, serving)
+
+
+@query("lake_chain_replay", "W9 replay: a second pass from raw leaves the merged table unchanged", GOLD_SQL)
 def q_lake_chain_replay(spark, sf):
-    root = _stage_envelopes(spark, sf)
-    base, ckpt = work_dir(spark, "lake"), work_dir(spark, "ckpt")
-    serving = f"{base}/serving"
-    jobs.run_chain(spark, lambda: _env_stream(spark, root), base, ckpt, serving, _scored_at)
-    # replay the score and publish stages through fresh checkpoints into the same
-    # gold layer and serving table: the gold sink skips batches its log holds,
-    # and every gold row is merged a second time
-    replay = work_dir(spark, "ckpt-replay")
-    jobs.run_score_stream(spark, base, replay, scored_at=_scored_at).awaitTermination()
-    jobs.run_publish(spark, base, replay, serving=serving).awaitTermination()
-    return lake.read_serving(spark, serving).select("id", "title", "content", "url", "label",
-                                                    "confidence")
+    root, serving = _stage_envelopes(spark, sf), work_dir(spark, "serving")
+    for _ in range(2):
+        _chain(spark, root, serving)
+    return lake.read_serving(spark, serving)
 
 
 @query("timeline_stream", "W6", sql("""
@@ -132,7 +137,7 @@ def q_timeline_stream(spark, sf):
     root = _stage_scored(spark, sf)
     out, ckpt = work_dir(spark, "timeline"), work_dir(spark, "ckpt")
     jobs.run_timeline_stream(_scored_stream(spark, root), out, ckpt).awaitTermination()
-    return spark.read.parquet(out)
+    return jobs.latest_rows(spark, out, "hour")
 
 
 @query("breakdown_stream", "W7", sql("""
@@ -143,10 +148,14 @@ def q_breakdown_stream(spark, sf):
     root = _stage_scored(spark, sf)
     out, ckpt = work_dir(spark, "breakdown"), work_dir(spark, "ckpt")
     jobs.run_breakdown_stream(_scored_stream(spark, root), out, ckpt).awaitTermination()
-    return spark.read.parquet(out)
+    return jobs.latest_rows(spark, out, "source")
 
 
-@query("feed_counter", "W8")
+@query("feed_counter", "W8", sql("""
+SELECT row_number() OVER (ORDER BY part) - 1 AS batch_id, n, CAST(sum(n) OVER (ORDER BY part) AS BIGINT) AS running_n, last_source
+FROM (SELECT part, count(*) AS n, last(source ORDER BY scored_at, id) AS last_source
+      FROM (SELECT source, scored_at, id, floor((s - min(s) OVER ()) * 4 / (max(s) OVER () - min(s) OVER () + 1)) AS part
+            FROM (SELECT *, floor(epoch(scored_at)) AS s FROM f3)) GROUP BY part)""", "f3"))
 def q_feed_counter(spark, sf):
     root = _stage_scored(spark, sf)
     out, ckpt = work_dir(spark, "counter"), work_dir(spark, "ckpt")
@@ -162,9 +171,13 @@ def q_stream_dedupe_bounded(spark, sf):
     return spark.read.parquet(out).select("id")
 
 
-@query("layer_inventory", "S18")
+@query("layer_inventory", "S18", sql(f"""
+SELECT 'bronze' AS tier, true AS exists, count(*) AS rows FROM f1t WHERE {ENV_OK}
+UNION ALL SELECT t.tier, true, s.n FROM (VALUES ('silver'), ('gold')) t(tier), (SELECT count(*) AS n FROM ({FIRST_SILVER})) s""", "f1t"))
 def q_layer_inventory(spark, sf):
     root = _stage_envelopes(spark, sf)
     base, ckpt = work_dir(spark, "lake"), work_dir(spark, "ckpt")
-    jobs.run_chain(spark, lambda: _env_stream(spark, root), base, ckpt, f"{base}/serving", _scored_at)
-    return lake.layer_inventory(spark, base)
+    for q in jobs.run_clean(lambda: _env_stream(spark, root), base, ckpt):
+        q.awaitTermination()
+    jobs.run_score_stream(spark, base, ckpt, scored_at=_scored_at).awaitTermination()
+    return lake.layer_inventory(spark, base).select("tier", "exists", "rows")

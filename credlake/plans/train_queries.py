@@ -74,11 +74,16 @@ def q_fingerprint(spark, sf):
     return ev.fingerprint(_corpus(spark, sf))
 
 
-SPLIT_SQL = "CASE WHEN ('0x' || substr(md5(coalesce(text, '') || '|42'), 1, 12))::BIGINT % 1000000 < 100000 THEN 'test' ELSE 'train' END"
+PLACE_SQL = "('0x' || substr(md5(coalesce(text, '') || '|42'), 1, 12))::BIGINT"
 
 
 @query("split", "M1", sql(f"""
-SELECT label, {SPLIT_SQL} AS part, count(*) AS n FROM ({CORPUS_SQL}) GROUP BY 1, 2""", "f1"))
+SELECT label, CASE WHEN k <= wanted THEN 'test' ELSE 'train' END AS part, count(*) AS n,
+       CAST(sum(h % 1000003) AS BIGINT) AS place_sum
+FROM (SELECT label, h, row_number() OVER (PARTITION BY label ORDER BY h, text) AS k,
+             ceil(0.1::DOUBLE * count(*) OVER (PARTITION BY label)) AS wanted
+      FROM (SELECT *, {PLACE_SQL} AS h FROM ({CORPUS_SQL})))
+GROUP BY 1, 2""", "f1"))
 def q_split(spark, sf):
     return ev.split_counts(ev.stratified_split(_corpus(spark, sf), 0.1, 42))
 
@@ -156,20 +161,42 @@ def q_gate(spark, sf):
 
 @query("run_summary", "M4", sql(f"""
 SELECT s.n_train, s.n_eval, s.dataset_hash, m.accuracy, m.f1
-FROM (SELECT count(*) FILTER (WHERE {SPLIT_SQL} = 'train') AS n_train,
-             count(*) FILTER (WHERE {SPLIT_SQL} = 'test') AS n_eval, {FP_SQL} AS dataset_hash
-      FROM ({CORPUS_SQL})) s,
+FROM (SELECT n - n_eval AS n_train, n_eval, dataset_hash
+      FROM (SELECT count(*) AS n, CAST(ceil(0.1::DOUBLE * count(*) FILTER (WHERE label = 0))
+                   + ceil(0.1::DOUBLE * count(*) FILTER (WHERE label = 1)) AS BIGINT) AS n_eval, {FP_SQL} AS dataset_hash
+            FROM ({CORPUS_SQL}))) s,
      (SELECT {_div('tp + tn', 'n')} AS accuracy, {_div('2 * tp', '2 * tp + fp + fn')} AS f1
       FROM (SELECT {CELLS} FROM ({YP_SQL}))) m""", "f1", "f3"))
 def q_run_summary(spark, sf):
     return ev.run_summary(_corpus(spark, sf), _yp(spark, sf))
 
 
-@query("batch_model", "P14, F1 (pandas UDF, default model)", sql(f"""
-SELECT doc_id, {o.score_label('mt')} AS label, {o.score_conf('mt')} AS confidence
+def load_length_model():
+    """A model for the catalogue: the class follows the text's length, with raw labels."""
+    import pandas as pd
+
+    def predict(texts):
+        n = texts.str.len()
+        return pd.DataFrame({"label": ("LABEL_" + (n % 2).astype(str)).to_numpy(), "confidence": (0.5 + (n % 50) / 100.0).to_numpy()})
+    return predict
+
+
+@query("batch_model", "P14, F1 (Arrow iterator UDF, a loaded model and its label map)", sql(f"""
+SELECT doc_id, CASE WHEN length(mt) % 2 = 0 THEN 'Fake' ELSE 'Real' END AS label,
+       0.5::DOUBLE + (length(mt) % 50)::DOUBLE / 100.0::DOUBLE AS confidence
 FROM (SELECT doc_id, {o.model_text()} AS mt FROM f1)""", "f1"))
 def q_batch_model(spark, sf):
-    return score_with(fx.articles_raw(spark, sf)).select("doc_id", "label", "confidence")
+    labels = {"LABEL_0": "Fake", "LABEL_1": "Real"}
+    return score_with(fx.articles_raw(spark, sf), load_length_model, "length", labels).select("doc_id", "label", "confidence")
+
+
+@query("batch_model_fallback", "P14 (a model that cannot be loaded: hash scorer)", sql(f"""
+SELECT doc_id, {o.score_label('mt')} AS label, {o.score_conf('mt')} AS confidence
+FROM (SELECT doc_id, {o.model_text()} AS mt FROM f1)""", "f1"))
+def q_batch_model_fallback(spark, sf):
+    def missing():
+        raise FileNotFoundError("no model here")
+    return score_with(fx.articles_raw(spark, sf), missing, "missing").select("doc_id", "label", "confidence")
 
 
 def _labelled(spark, sf):
@@ -178,14 +205,25 @@ def _labelled(spark, sf):
     return d.join(lab, "doc_id").where(F.col("label").isNotNull())
 
 
-@query("train", "M2")
+LABELLED_SQL = """
+SELECT count(*) AS n, CAST(ceil(0.1::DOUBLE * count(*) FILTER (WHERE l.quality = 0))
+       + ceil(0.1::DOUBLE * count(*) FILTER (WHERE l.quality = 1)) AS BIGINT) AS n_eval
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL"""
+
+
+@query("train", "M2", f"""
+SELECT n - n_eval AS n_train, n_eval, true AS accuracy_in_bounds, true AS f1_in_bounds FROM ({LABELLED_SQL})""")
 def q_train(spark, sf):
+    """Split sizes of the training run, and that its metrics are defined."""
     _, metrics = train_classifier(_labelled(spark, sf))
-    return metrics
+    return metrics.select("n_train", "n_eval", F.col("accuracy").between(0.0, 1.0).alias("accuracy_in_bounds"),
+                          F.col("f1").between(0.0, 1.0).alias("f1_in_bounds"))
 
 
-@query("classifier_score", "M3")
+@query("classifier_score", "M3", sql("""
+SELECT doc_id, true AS label_known, true AS confidence_in_bounds FROM f1""", "f1"))
 def q_classifier_score(spark, sf):
     model, _ = train_classifier(_labelled(spark, sf))
     art = fx.articles_raw(spark, sf).select("doc_id", F.concat_ws(". ", "title", "content").alias("text"))
-    return model_score(art, model).select("doc_id", "label", "confidence")
+    return model_score(art, model).select("doc_id", F.col("label").isin("Fake", "Real").alias("label_known"),
+                                          F.col("confidence").between(0.5, 1.0).alias("confidence_in_bounds"))

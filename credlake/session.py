@@ -1,7 +1,7 @@
 """Session construction and shared-folder helpers."""
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -48,14 +48,17 @@ def get_session(app: str = "credlake", master: str | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it (a path every executor can reach); only when it is
-    unset -- as in local tests -- do we create one of our own.
+    A cluster names it (a path every executor can reach).  Where it is unset, a
+    local master gets a folder of its own, as in tests; on a cluster, where no
+    folder of this machine would do, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             root = jdir.get()
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="credlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -75,10 +78,3 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def ensure_utc(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

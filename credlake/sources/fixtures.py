@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 
 from credlake.functions.ids import stable_id
 from credlake.functions.times import to_iso
+from credlake.sources.corpus import FNN_FILES, LIAR_FAKE, LIAR_REAL
 
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
 PUBLISH_STEP_S = 7 * 60
 PAYLOAD_BLOCK = 20
 
-# The six LIAR rulings (plus one unknown) picked by doc_id % 7.
-LIAR_RULINGS = ["pants-fire", "false", "barely-true", "half-true", "mostly-true", "true", "unknown"]
-# FakeNewsNet file names picked by doc_id % 4, with their labels.
-FNN_FILES = [("politifact_fake.csv", 0), ("politifact_real.csv", 1),
-             ("gossipcop_fake.csv", 0), ("gossipcop_real.csv", 1)]
+LIAR_RULINGS = [*LIAR_FAKE, *LIAR_REAL, "unknown"]  # picked by doc_id % 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +65,24 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_envelopes(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> str:
-    """Land F2 as ``files`` Parquet files split by doc_id % files (multi-batch input)."""
-    # one pass, no shuffle: each input task writes its share of every part
-    # (one file per part here; at scale, files as many as input splits)
-    (envelopes(spark, sf_dir).withColumn("part", F.col("doc_id") % files).drop("doc_id")
-     .write.mode("overwrite").partitionBy("part").parquet(path))
+    """Land F2 as ``files`` Parquet files in order of time (multi-batch input).
+
+    Within a file rows follow the message time, so which copy of an article
+    arrives first is defined: the one with the least (timestamp, doc_id).
+    """
+    return land_in_time_order(envelopes(spark, sf_dir), path, "timestamp", ["timestamp", "doc_id"], files, drop=["doc_id"])
+
+
+def land_in_time_order(df: DataFrame, path: str, time: str, order: list[str], files: int, drop=()) -> str:
+    """Write ``df`` to ``path/part=0 ..``, equal spans of time one after the other,
+    so that a file stream takes them in that order."""
+    bounds = df.agg(F.min(F.unix_timestamp(time)).alias("lo"), F.max(F.unix_timestamp(time)).alias("hi")).first()
+    if bounds["lo"] is None:
+        return path
+    part = F.floor((F.unix_timestamp(time) - bounds["lo"]) * files / (bounds["hi"] - bounds["lo"] + 1)).cast("int")
+    for k in range(files):
+        span = df.where(part == k).repartitionByRange(*order).sortWithinPartitions(*order).drop(*drop)
+        span.write.mode("overwrite").parquet(f"{path}/part={k}")
     return path
 
 
@@ -117,8 +127,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: block, fetched_at (timestamp), payload (JSON text).
     """
     art = articles_text(articles_raw(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"))
-    a = art.join(docs, "doc_id")
+    a = art.withColumn("name", F.expr("substr(source, instr(source, ':') + 1)"))
     item = F.struct(
         # to_json omits null fields: name is absent from the JSON when doc_id % 41 = 0
         F.struct(F.when(F.col("doc_id") % 41 != 0, F.col("name")).alias("name")).alias("source"),
@@ -181,7 +190,7 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
          .option("sep", "\t").option("header", "false")
          .csv(f"{path}/liar/{part}.tsv"))
     body = F.regexp_replace(F.col("content"), "[\r\n\"]+", " ")
-    for i, (name, _label) in enumerate(FNN_FILES):
+    for i, name in enumerate(FNN_FILES):  # picked by doc_id % 4
         cols = ("Title", "Content") if i == 3 else ("title", "text")
         (art.where(F.col("doc_id") % 4 == i)
          .select(clean_title.alias(cols[0]), body.alias(cols[1]), F.col("doc_id").alias("news_id"))

@@ -9,40 +9,24 @@ Layout decisions
 * Layers are always read with their fixed schema: partition values such as
   ``007`` or ``""`` would otherwise be re-typed on read.
 
-Serving table (keyed upserts on plain Parquet)
-----------------------------------------------
-Plain Parquet has no MERGE (no table-format jar in this image; with one, this
-would be ``MERGE INTO``).  The serving table keeps one directory per date and
-version, ``date=D/v=N``, plus a commit log ``_log/v=N.b=<batch>``:
-
-* a merge rewrites only the dates that hold stored copies of the batch's ids
-  (the old and new date of every updated id) into full ``v=N+1`` folders
-  (marker ``_full``); rows of ids not stored yet go into *append* folders
-  (no marker) of their dates, so a stream of new articles never rewrites a partition;
-  long append chains are compacted by the next merge that writes the date;
-* files are never changed in place; the commit marker is written last, so a
-  crashed attempt leaves only uncommitted ``v=N+1`` folders, removed before
-  the retry;
-* a batch id that is already committed is a no-op, so a replayed
-  micro-batch cannot apply twice;
-* readers take, per date, the newest committed full version and the append
-  versions after it; ``vacuum`` deletes what no reader needs any more.
+Serving table
+-------------
+One row per id, partitioned by date.  A merge rewrites the dates it touches
+with Spark's dynamic partition overwrite (see :func:`merge_into`).
 """
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from credlake.schemas import BRONZE_SCHEMA, GOLD_SCHEMA, SILVER_SCHEMA
 
+NULL_DATE = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for a null partition value
 LAYER_SCHEMAS = {"bronze": BRONZE_SCHEMA, "silver": SILVER_SCHEMA, "gold": GOLD_SCHEMA}
 LAYER_PARTITIONS = {"bronze": ("date",), "silver": ("date",), "gold": ("date", "label")}
 SCORE_FILES_PER_TRIGGER = 16
-TARGET_FILE_BYTES = 128 * 1024 * 1024
 PUBLISH_BYTES_PER_TRIGGER = 8 * 1024 ** 3  # one publish micro-batch merges at most this much gold
 
 
@@ -51,9 +35,21 @@ def trigger_args(trigger: str | None) -> dict:
     return {"availableNow": True} if trigger in (None, "availableNow") else {"processingTime": trigger}
 
 
+def refuse_fresh_checkpoint(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Raise when a layer's sink log is ahead of the query's checkpoint.
+
+    The file sink skips batch ids that its log holds; a new checkpoint starts
+    again at batch 0, so its first batches would be dropped without a word.
+    """
+    if _glob(spark, f"{path}/_spark_metadata/*") and not _glob(spark, f"{checkpoint}/offsets/*"):
+        raise ValueError(f"{path} was written under another checkpoint than {checkpoint}; "
+                         "go on with that checkpoint, or write to a new layer folder")
+
+
 def write_layer(df: DataFrame, path: str, checkpoint: str, partition_by=("date",),
                 trigger: str | None = None, query_name: str | None = None) -> StreamingQuery:
     """Append a stream to a Parquet layer with its own checkpoint."""
+    refuse_fresh_checkpoint(df.sparkSession, path, checkpoint)
     w = (df.writeStream.format("parquet").option("path", path)
          .option("checkpointLocation", checkpoint).partitionBy(*partition_by)
          .outputMode("append").trigger(**trigger_args(trigger)))
@@ -123,11 +119,6 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
     return [] if st is None else [s.getPath().toString() for s in st]
 
 
-def _touch(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.create(p, True).close()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     if fs.exists(p):
@@ -143,9 +134,9 @@ def layer_inventory(spark: SparkSession, base: str, tiers=("bronze", "silver", "
         path = f"{base}/{t}"
         if exists(spark, path) and _glob(spark, f"{path}/*"):
             df = read_layer(spark, path, t) if t in LAYER_SCHEMAS else spark.read.parquet(path)
-            frames.append(df.select(F.col("_metadata.file_path").alias("f")).agg(
-                F.count_distinct("f").alias("files"), F.count(F.lit(1)).alias("rows"))
-                .select(F.lit(t).alias("tier"), F.lit(True).alias("exists"), "files", "rows"))
+            per_file = df.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+            frames.append(per_file.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+                          .select(F.lit(t).alias("tier"), F.lit(True).alias("exists"), "files", "rows"))
         else:
             frames.append(spark.range(1).select(F.lit(t).alias("tier"), F.lit(False).alias("exists"),
                                                 F.lit(0).cast("long").alias("files"),
@@ -158,246 +149,51 @@ def layer_inventory(spark: SparkSession, base: str, tiers=("bronze", "silver", "
 
 # -- serving table -----------------------------------------------------------
 
-_LOG = re.compile(r"v=(\d+)\.b=(.+)$")
-_VER = re.compile(r"/date=([^/]+)/v=(\d+)$")
-_MARK = re.compile(r"/date=([^/]+)/v=(\d+)/_(full|empty|after\.\d+)$")
-NULL_DATE = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for a null partition value
-MAX_APPENDS = 16  # append versions a date may pile up before a merge compacts it
-
-
-def _date_dir(d) -> str:
-    return NULL_DATE if d is None else str(d)
-
-
-def committed(spark: SparkSession, table: str) -> list[tuple[int, str]]:
-    out = []
-    for p in _glob(spark, f"{table}/_log/v=*"):
-        m = _LOG.search(p)
-        if m:
-            out.append((int(m.group(1)), m.group(2)))
-    return sorted(out)
-
-
-def _versions(spark: SparkSession, table: str):
-    """Committed version folders per date (newest first) and their markers."""
-    log = committed(spark, table)
-    cur = log[-1][0] if log else 0
-    marks: dict[tuple[str, int], str] = {}
-    for p in _glob(spark, f"{table}/date=*/v=*/_*"):
-        m = _MARK.search(p)
-        if m:
-            marks[(m.group(1), int(m.group(2)))] = m.group(3)
-    by_date: dict[str, list[tuple[int, str]]] = {}
-    for p in _glob(spark, f"{table}/date=*/v=*"):
-        m = _VER.search(p)
-        if m and int(m.group(2)) <= cur:
-            by_date.setdefault(m.group(1), []).append((int(m.group(2)), p))
-    return {d: sorted(vs, reverse=True) for d, vs in by_date.items()}, marks
-
-
-def _walk(d: str, versions: list[tuple[int, str]], marks) -> tuple[list[tuple[int, str]], set[int]]:
-    """A date's live chain (newest first) and every version a reader needs kept."""
-    chain: list[tuple[int, str]] = []
-    keep: set[int] = set()
-    floor = None
-    for v, p in versions:
-        if floor is not None and v > floor:
-            continue  # folded into a compacted append folder
-        kind = marks.get((d, v))
-        keep.add(v)
-        if kind == "empty":
-            break
-        chain.append((v, p))
-        if kind == "full":
-            break
-        if kind is not None:  # after.B: replaces the appends between B and itself
-            floor = int(kind.split(".", 1)[1])
-    return chain, keep
-
-
-def live_versions(spark: SparkSession, table: str) -> dict[str, list[tuple[int, str]]]:
-    """Per date folder, the committed version folders holding its current rows.
-
-    A version folder is an *append* (no marker: rows of ids that were not
-    stored yet, on top of the versions before it), *full* (marker ``_full``:
-    the date's whole content, written by a rewrite), *empty* (marker
-    ``_empty``: a rewrite left the date without rows) or a *compacted append*
-    (marker ``_after.B``: the rows of every append between version ``B`` and
-    itself, which it replaces; ``B`` and what lies under it stay live).
-    Appends are the common case and carry no marker, so a merge of new rows
-    touches no extra files.  The live chain of a date is read newest first
-    down to its newest full or empty version (a date's first version is the
-    base of its chain); empty versions hold no data and are left out.  Three
-    listings, no data read.
-    """
-    by_date, marks = _versions(spark, table)
-    return {d: _walk(d, vs, marks)[0] for d, vs in by_date.items()}
-
-
-def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHEMA,
-                 live: dict[str, list[tuple[int, str]]] | None = None) -> DataFrame:
-    """Current state: per date, its live chain of committed version folders."""
-    if live is None:
-        live = live_versions(spark, table)
-    return _read_paths(spark, table, [p for chain in live.values() for _, p in chain], schema)
-
-
-def _read_paths(spark: SparkSession, table: str, paths: list[str], schema: StructType) -> DataFrame:
-    if not paths:
+def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHEMA) -> DataFrame:
+    """The merged table (empty before its first merge)."""
+    if not exists(spark, table):
         return spark.createDataFrame([], schema)
-    full = StructType(list(schema.fields) + [StructField("v", IntegerType())])
-    return spark.read.schema(full).option("basePath", table).parquet(*paths).drop("v") \
-        .select(*schema.fieldNames())
-
+    return spark.read.schema(schema).parquet(table).select(*schema.fieldNames())
 
-def _bytes(spark: SparkSession, paths) -> int:
-    """Stored bytes under ``paths`` (driver-side listing, no data read)."""
-    total = 0
-    for path in paths:
-        fs, p = _fs(spark, path)
-        total += fs.getContentSummary(p).getLength()
-    return total
 
+def _in_dates(dates) -> Column:
+    known = [d for d in dates if d is not None]
+    return F.col("date").isin(known) | (F.col("date").isNull() if None in dates else F.lit(False))
 
-def _profile(folded: DataFrame, max_rows: int) -> tuple[int, int, list]:
-    """Rows (up to ``max_rows + 1``), payload bytes and dates of a folded batch:
-    one bounded aggregate; the per-row width is computed before the limit."""
-    from credlake.operators.merge import row_bytes
 
-    r = (folded.select(row_bytes(folded).alias("_w"), "date").limit(max_rows + 1)
-         .agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("b"),
-              F.collect_set("date").alias("d"), F.max(F.col("date").isNull()).alias("z")).first())
-    if r["n"] > max_rows:  # big batch: its dates come from their own (small) distinct
-        return r["n"], r["b"] or 0, [x[0] for x in folded.select("date").distinct().collect()]
-    return r["n"], r["b"] or 0, list(r["d"]) + ([None] if r["z"] else [])
+def merge_into(spark: SparkSession, table: str, updates: DataFrame, key: str = "id",
+               seq_cols=("scored_at",), schema: StructType = GOLD_SCHEMA) -> list:
+    """S12 on storage: field-level upsert of ``updates``; returns the dates rewritten.
 
+    The touched dates are the dates of the updates and of the stored copies of
+    their ids (an article may move).  Their rows are merged with the updates
+    and written back with Spark's dynamic partition overwrite; a touched date
+    left without rows is removed afterwards.
 
-def _in_dates(dates) -> Column:
-    vals = [d for d in dates if d is not None]
-    cond = F.col("date").isin(vals) if vals else F.lit(False)
-    return cond | F.col("date").isNull() if any(d is None for d in dates) else cond
-
-
-def merge_into(spark: SparkSession, table: str, updates: DataFrame, batch_id: str | int,
-               key: str = "id", seq_cols=("scored_at",), schema: StructType = GOLD_SCHEMA,
-               locate_moved: bool = True, max_appends: int = MAX_APPENDS) -> int:
-    """S12 on storage: fold ``updates`` into the serving table; returns the version.
-
-    Replay-safe: a batch id already in the commit log changes nothing.
-
-    Work per call:
-
-    * one bounded profile of the folded batch (rows, bytes, dates) decides
-      the broadcasts;
-    * one narrow scan of ``(id, date)`` against the broadcast batch ids finds
-      the dates ``H`` where stored copies of the batch ids live (with
-      ``locate_moved=False`` only the batch's own dates are scanned -- exact
-      as long as an id keeps its date);
-    * dates in ``H`` are rewritten (partition-pruned read, full new version);
-      every other date the batch writes to only gets an *append* version with
-      its new rows -- nothing stored is read or rewritten there.  A stream of
-      new articles therefore never rewrites today's partition; a date whose
-      append chain grows past ``max_appends`` folds its newest run of
-      folders (size-tiered, never the base) into one compacted folder, so a
-      row is re-written about log2(appends) times.
+    The upsert is idempotent, so a retried batch leaves the table unchanged,
+    also after a crash between write and removal: stored rows take part in the
+    fold, oldest first, so a copy left under the old date is merged, not kept.
+    The commit is per date, not across dates, and every touched date is
+    rewritten whole; with a table format at hand this is ``MERGE INTO``.
     """
-    from credlake.operators.merge import (DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS,
-                                          fold_repeated, merge_folded)
-
-    batch = str(batch_id)
-    if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
-        raise ValueError(f"batch id must be a plain token: {batch!r}")
-    log = committed(spark, table)
-    if any(b == batch for _, b in log):
-        return log[-1][0]
-    n = (log[-1][0] if log else 0) + 1
-    for p in _glob(spark, f"{table}/date=*/v={n}"):  # leftovers of a failed attempt
-        _delete(spark, p)
-
-    live = live_versions(spark, table)
-    target = read_serving(spark, table, schema, live)
-    folded = fold_repeated(updates.select(*[c for c in schema.fieldNames() if c in updates.columns]),
-                           key, seq_cols).persist()
-    rows, nbytes, wdates = _profile(folded, DEFAULT_BROADCAST_ROWS)
-    small = rows <= DEFAULT_BROADCAST_ROWS and nbytes <= DEFAULT_BROADCAST_BYTES
-    # keys alone (24-char ids) stay broadcastable while the row count is bounded
-    ids = F.broadcast(folded.select(key)) if rows <= DEFAULT_BROADCAST_ROWS else folded.select(key)
-    scope = target if locate_moved else target.where(_in_dates(wdates))
-    # stored copies of the batch's ids (narrow): their dates are rewritten
-    stored = scope.select(key, "date").join(ids, key, "left_semi").persist()
-    per_date = stored.groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per date
-    hdates = {r["date"] for r in per_date}
-    sk = stored.select(key)
-    if sum(r["n"] for r in per_date) <= DEFAULT_BROADCAST_ROWS:
-        sk = F.broadcast(sk)
-    # compaction, size-tiered: a date this batch only appends to, whose chain
-    # has grown past max_appends, folds its newest run of folders into this
-    # version's folder -- the run grows while the next older folder is no
-    # bigger than the run so far (10% slack for file overhead; at least two
-    # folders).  Like a binary
-    # counter, a row is re-written about log2(appends) times; the date's base
-    # is rewritten only when stored ids change.
-    compact: dict = {}
-    for d in wdates:
-        chain = live.get(_date_dir(d), [])
-        if d in hdates or len(chain) <= max_appends or len(chain) < 3:
-            continue
-        sizes = [_bytes(spark, [p]) for _, p in chain[:-1]]
-        run, total = 1, sizes[0]
-        while run < len(sizes) and sizes[run] <= total * 1.1:  # equal tiers merge
-            total += sizes[run]
-            run += 1
-        run = max(run, 2)
-        compact[d] = (chain[:run], chain[run][0])  # folded folders, version left below them
-    folded_paths = [p for run, _ in compact.values() for _, p in run]
-    # The batch splits on the stored ids (usually few): rows of new ids are
-    # written as they are -- never joined or broadcast -- and only updates of
-    # stored ids meet their stored copies.
-    fresh = folded.join(sk, key, "left_anti").select(*[
-        F.col(c) if c in folded.columns else F.lit(None).cast(schema[c].dataType).alias(c)
-        for c in schema.fieldNames()])
-    upd = folded.join(sk, key, "left_semi")
-    part = target.where(_in_dates(hdates))  # partition-pruned read of the rewritten dates
-    hit = part.join(sk, key, "left_semi")
-    merged = merge_folded(hit, upd, key, broadcast=small).select(*schema.fieldNames())
-    keep = part.join(sk, key, "left_anti")
-    # Writers sized by the bytes written (~TARGET_FILE_BYTES per file); range
-    # partitions are contiguous in (date, id): a quiet date is one file, a hot
-    # one splits across several writers -- about writers + dates files instead
-    # of tasks x dates.  Rows are sorted by id inside each file, so row-group
-    # statistics serve point lookups.
-    rewritten = _bytes(spark, [p for d in hdates for _, p in live.get(_date_dir(d), [])]
-                       + folded_paths)
-    writers = 1 + (rewritten + nbytes) // TARGET_FILE_BYTES
-    rows = keep.unionByName(merged).unionByName(fresh)
-    if folded_paths:
-        rows = rows.unionByName(_read_paths(spark, table, folded_paths, schema))
-    out = (rows.repartitionByRange(int(writers), "date", key)
-           .withColumn("v", F.lit(n)).sortWithinPartitions("date", "v", key))
-    out.write.mode("append").partitionBy("date", "v").parquet(table)
-    for d in hdates:  # rewritten dates end their chains; appends need no marker
-        folder = f"{table}/date={_date_dir(d)}/v={n}"
-        # a rewritten date without rows: every row moved away
-        _touch(spark, f"{folder}/_full" if exists(spark, folder) else f"{folder}/_empty")
-    for d, (_, floor) in compact.items():
-        _touch(spark, f"{table}/date={_date_dir(d)}/v={n}/_after.{floor}")
-    _touch(spark, f"{table}/_log/v={n}.b={batch}")
-    folded.unpersist()
-    stored.unpersist()
-    return n
-
-
-def vacuum(spark: SparkSession, table: str) -> int:
-    """Delete committed version folders no live chain needs (superseded by a
-    newer full, empty or compacted version of the same date).  Uncommitted
-    folders are left to the merge that owns them.  Run it as maintenance,
-    when no reader still holds an older listing of the table."""
-    by_date, marks = _versions(spark, table)
-    removed = 0
-    for d, vs in by_date.items():
-        _, keep = _walk(d, vs, marks)
-        for v, p in vs:
-            if v not in keep:
-                _delete(spark, p)
-                removed += 1
-    return removed
+    from credlake.operators.merge import fold_updates
+
+    columns = schema.fieldNames()
+    target = read_serving(spark, table, schema)
+    batch = updates.select(*[c for c in columns if c in updates.columns]).where(F.col(key).isNotNull())
+    moved_from = target.select(key, "date").join(batch.select(key).distinct(), key, "left_semi").select("date")
+    dates = [r[0] for r in moved_from.union(batch.select("date")).distinct().collect()]  # one row per date
+    if not dates:
+        return []
+    stored = target.where(_in_dates(dates)).withColumn("_later", F.lit(0))
+    ids = batch.select(key).distinct()
+    touched = stored.join(ids, key, "left_semi").unionByName(batch.withColumn("_later", F.lit(1)), allowMissingColumns=True)
+    merged = (stored.join(ids, key, "left_anti").select(*columns)
+              .unionByName(fold_updates(touched, key, ("_later", *seq_cols)).select(*columns)))
+    alive = {r[0] for r in merged.select("date").distinct().collect()}
+    (merged.hint("rebalance", "date").sortWithinPartitions("date", key).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic")
+     .option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("date").parquet(table))
+    for d in set(dates) - alive:  # every row moved away
+        _delete(spark, f"{table}/date={NULL_DATE if d is None else d}")
+    return dates

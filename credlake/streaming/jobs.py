@@ -29,46 +29,37 @@ from credlake.sources.lake import trigger_args
 ScoredAt = Callable[[DataFrame], Column]
 
 
-LAYER_WRITERS = 8
+def by_date(df: DataFrame, *also: str) -> DataFrame:
+    """Deal a micro-batch to its writers by (date, id salt) before a date-partitioned write.
 
+    Without it every upstream task writes one file into every date it holds.
+    The number of writers is the session's (AQE merges small ones), and hash
+    partitioning samples nothing, so a stateful operator below runs once.  The
+    salt splits a date that holds most rows over ``DATE_SPLITS`` writers.
+    """
+    return df.repartition("date", *also, F.pmod(F.xxhash64("id"), F.lit(DATE_SPLITS)))
 
-def by_date_writers(df: DataFrame, writers: int = LAYER_WRITERS) -> DataFrame:
-    """Range-partition a micro-batch by (date, id) before a date-partitioned write.
 
-    Without it every upstream task writes one file into every date it holds
-    (tasks x dates small files per batch).  Range partitions are contiguous
-    in date: quiet dates share a writer, while a hot date (today's news) is
-    split by id across several -- about ``writers + dates`` files per batch.
-    """
-    if writers <= 0:
-        return df
-    return df.repartitionByRange(writers, "date", "id")
+DATE_SPLITS = 4
 
 
-def run_bronze(src: DataFrame, base: str, ckpt: str, trigger: str | None = None,
-               writers: int = LAYER_WRITERS) -> StreamingQuery:
+def run_bronze(src: DataFrame, base: str, ckpt: str, trigger: str | None = None) -> StreamingQuery:
     """S1 -> S4 -> S6: verbatim parsed envelopes, partitioned by date."""
-    parsed = by_date_writers(parse_envelopes(src), writers)
-    return lake.write_layer(parsed, f"{base}/bronze", f"{ckpt}/bronze", ("date",), trigger)
+    return lake.write_layer(by_date(parse_envelopes(src)), f"{base}/bronze", f"{ckpt}/bronze", ("date",), trigger)
 
 
 def run_silver(src: DataFrame, base: str, ckpt: str, trigger: str | None = None,
-               writers: int = LAYER_WRITERS, dedupe_delay: str | None = None) -> StreamingQuery:
+               dedupe_delay: str | None = None) -> StreamingQuery:
     """S1 -> S4 -> C1 -> S7.
 
     By default D1: whole-history first-arrival dedupe, as the reference does --
     the state keeps every id ever seen.  ``dedupe_delay`` (e.g. ``"7 days"``)
-    switches to D2: an id is remembered for that long past the ``kafka_ts``
-    watermark and then evicted, so the state stays bounded by the delay.
+    switches to D2: an id is remembered for that long after it arrived and then
+    evicted, so the state stays bounded by the delay.
     """
     parsed = parse_envelopes(src)
-    if dedupe_delay:
-        filtered = silver_filter(parsed).withColumn("kafka_ts", F.col("kafka_ts").cast("timestamp"))
-        silver = dedupe_within(filtered, "id", "kafka_ts", dedupe_delay)
-    else:
-        silver = clean(parsed)
-    silver = by_date_writers(silver.select(*SILVER_SCHEMA.fieldNames()), writers)
-    return lake.write_layer(silver, f"{base}/silver", f"{ckpt}/silver", ("date",), trigger)
+    silver = dedupe_within(silver_filter(parsed), "id", dedupe_delay) if dedupe_delay else clean(parsed)
+    return lake.write_layer(by_date(silver.select(*SILVER_SCHEMA.fieldNames())), f"{base}/silver", f"{ckpt}/silver", ("date",), trigger)
 
 
 def run_clean(src_factory: Callable[[], DataFrame], base: str, ckpt: str,
@@ -78,40 +69,10 @@ def run_clean(src_factory: Callable[[], DataFrame], base: str, ckpt: str,
             run_silver(src_factory(), base, ckpt, trigger, dedupe_delay=dedupe_delay)]
 
 
-def _idempotent_append(spark: SparkSession, df: DataFrame, path: str, batch_id: int,
-                       partition_by=()) -> None:
-    """Append one micro-batch once: a marker per batch id makes retries no-ops."""
-    marker = f"{path}/_batches/{batch_id}"
-    if lake.exists(spark, marker):
-        return
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    lake._touch(spark, marker)
-
-
-def _exactly_once_row_file(spark: SparkSession, df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a tiny per-batch result (a few rows) as one Parquet file named by
-    the batch id.  It is written to a hidden staging folder and appears by a
-    single rename, so a retried batch either finds it (and skips) or
-    rewrites its staging copy: exactly once, unlike write-then-marker."""
-    final = f"{path}/batch-{batch_id:020d}.parquet"
-    if lake.exists(spark, final):
-        return
-    stage = f"{path}/_staging/{batch_id}"
-    df.coalesce(1).write.mode("overwrite").parquet(stage)  # bounded: a summary row
-    part = lake._glob(spark, f"{stage}/part-*.parquet")[0]
-    fs, src = lake._fs(spark, part)
-    fs.rename(src, spark._jvm.org.apache.hadoop.fs.Path(final))
-    lake._delete(spark, stage)
-
-
 def run_score_stream(spark: SparkSession, base: str, ckpt: str, scored_at: ScoredAt | None = None,
                      scorer: Callable[[DataFrame], DataFrame] | None = None,
                      trigger: str | None = None,
-                     max_files_per_trigger: int = lake.SCORE_FILES_PER_TRIGGER,
-                     writers: int = LAYER_WRITERS) -> StreamingQuery:
+                     max_files_per_trigger: int | None = lake.SCORE_FILES_PER_TRIGGER) -> StreamingQuery:
     """S8 -> score -> S9: the silver file stream, scored once, appended to gold.
 
     Gold is written by Spark's file sink: a micro-batch's files become
@@ -126,45 +87,34 @@ def run_score_stream(spark: SparkSession, base: str, ckpt: str, scored_at: Score
                              max_files_per_trigger=max_files_per_trigger)
     at = scored_at(silver) if scored_at is not None else None
     scored = score_default(silver, at) if scorer is None else scorer(silver)
-    gold = scored.select(*GOLD_COLUMNS)
-    if writers > 0:  # about writers + dates x labels files per batch (see by_date_writers)
-        gold = gold.repartitionByRange(writers, "date", "label", "id")
+    gold = by_date(scored.select(*GOLD_COLUMNS), "label")
     return lake.write_layer(gold, f"{base}/gold", f"{ckpt}/score", ("date", "label"), trigger)
 
 
 def run_publish(spark: SparkSession, base: str, ckpt: str, serving: str | None = None,
                 trigger: str | None = None,
-                max_bytes_per_trigger: int | None = lake.PUBLISH_BYTES_PER_TRIGGER,
-                locate_moved: bool = True) -> StreamingQuery:
+                max_bytes_per_trigger: int | None = lake.PUBLISH_BYTES_PER_TRIGGER) -> StreamingQuery:
     """S10 + S12 (S11's second half): the gold stream published as scored
     envelopes and merged into the serving table, in one ``foreachBatch``.
 
-    The merge is replay-safe (its commit log is keyed by this query's
-    checkpoint and batch id); the envelope folder stands in for a Kafka topic
-    and, like one, is at-least-once (a per-batch marker skips a batch that
-    completed; consumers such as the merge are idempotent by id).
+    Both halves may run twice for one batch, and both stand it: the envelopes
+    of a batch are a folder of their own, which a retry overwrites, and the
+    merge is an upsert by id.
 
     Each micro-batch takes at most ``max_bytes_per_trigger`` of gold files, so
     a backlog (a restart after an outage, a replay) is merged in bounded
     steps instead of one batch holding all of it.
-
-    ``locate_moved=True`` (exact) looks up every batch id across the whole
-    serving table (a narrow ``(id, date)`` scan per batch).  A deployment whose
-    articles never change date (ids hash url and title, the date comes from
-    ``published_at``) can pass ``False``: the lookup then covers only the
-    batch's own dates, so a batch costs a day's ids, not the table's.
     """
     gold = lake.read_layer(spark, f"{base}/gold", "gold", stream=True, max_files_per_trigger=None,
                            max_bytes_per_trigger=max_bytes_per_trigger)
-    # merge batches are keyed by (this query's checkpoint, batch id)
-    query_token = hashlib.sha1(ckpt.encode()).hexdigest()[:12]
+    query = hashlib.sha1(ckpt.encode()).hexdigest()[:12]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*GOLD_COLUMNS).persist()
-        _idempotent_append(spark, to_scored_envelope(rows), f"{base}/scored_topic", batch_id)
+        (to_scored_envelope(rows).write.mode("overwrite")
+         .parquet(f"{base}/scored_topic/query={query}/batch={batch_id}"))
         if serving:
-            lake.merge_into(spark, serving, rows, f"{query_token}-{batch_id}",
-                            locate_moved=locate_moved)
+            lake.merge_into(spark, serving, rows)
         rows.unpersist()
 
     return (gold.writeStream.foreachBatch(sink).option("checkpointLocation", f"{ckpt}/publish")
@@ -172,41 +122,60 @@ def run_publish(spark: SparkSession, base: str, ckpt: str, serving: str | None =
 
 
 def run_score_job(spark: SparkSession, base: str, ckpt: str, serving: str | None = None,
-                  scored_at: ScoredAt | None = None, trigger: str = "30 seconds") -> list[StreamingQuery]:
+                  scored_at: ScoredAt | None = None, trigger: str = "30 seconds",
+                  max_files_per_trigger: int | None = lake.SCORE_FILES_PER_TRIGGER) -> list[StreamingQuery]:
     """The score job as deployed: scoring and publishing run side by side,
     each on its own processing-time trigger and checkpoint."""
-    return [run_score_stream(spark, base, ckpt, scored_at=scored_at, trigger=trigger),
+    return [run_score_stream(spark, base, ckpt, scored_at=scored_at, trigger=trigger,
+                             max_files_per_trigger=max_files_per_trigger),
             run_publish(spark, base, ckpt, serving=serving, trigger=trigger)]
 
 
 def run_chain(spark: SparkSession, src_factory: Callable[[], DataFrame], base: str, ckpt: str,
-              serving: str, scored_at: ScoredAt | None = None, locate_moved: bool = True) -> None:
+              serving: str, scored_at: ScoredAt | None = None,
+              max_files_per_trigger: int | None = lake.SCORE_FILES_PER_TRIGGER) -> None:
     """Raw -> bronze + silver -> gold -> envelopes + merge, as chained
     availableNow runs (each stage drains what the previous one committed)."""
     for q in run_clean(src_factory, base, ckpt):
         q.awaitTermination()
-    run_score_stream(spark, base, ckpt, scored_at=scored_at).awaitTermination()
-    run_publish(spark, base, ckpt, serving=serving, locate_moved=locate_moved).awaitTermination()
+    run_score_stream(spark, base, ckpt, scored_at=scored_at,
+                     max_files_per_trigger=max_files_per_trigger).awaitTermination()
+    run_publish(spark, base, ckpt, serving=serving).awaitTermination()
 
 
 # -- live aggregates ---------------------------------------------------------
 
-def _complete_to_table(agg: DataFrame, path: str, ckpt: str, trigger: str | None) -> StreamingQuery:
-    """Complete-mode result kept as a Parquet table (rewritten each batch).
-    Results are bounded by their keys (hours, sources), not by rows."""
+def _keyed_rows(agg: DataFrame, path: str, ckpt: str, trigger: str | None) -> StreamingQuery:
+    """Update-mode aggregate kept as keyed rows: each batch writes the keys it
+    changed to a folder of its own (a retry overwrites it); :func:`latest_rows`
+    reads the newest row of each key, so a reader never meets a half-written
+    result."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (agg.writeStream.outputMode("complete").foreachBatch(sink)
+    return (agg.writeStream.outputMode("update").foreachBatch(sink)
             .option("checkpointLocation", ckpt).trigger(**trigger_args(trigger)).start())
 
 
-def timeline_agg(scored: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Hourly Fake/Real counts as a stream (tumbling 1-hour windows)."""
+def latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The newest row per key of a :func:`_keyed_rows` result."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    values = [c for c in rows.columns if c not in (key, "batch_id")]
+    return (rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+            .select(key, *[F.col(f"v.{c}").alias(c) for c in values]))
+
+
+def timeline_agg(scored: DataFrame, delay: str | None = None) -> DataFrame:
+    """Hourly Fake/Real counts as a stream (tumbling 1-hour windows).
+
+    With ``delay`` (e.g. ``"2 hours"``) an hour's state is dropped once the
+    stream is that far past it, and rows later than that are left out; without
+    it every hour stays open and every row counts."""
     s = scored.withColumn("scored_at", F.col("scored_at").cast("timestamp"))
-    return (s.withWatermark("scored_at", delay)
-            .groupBy(F.window("scored_at", "1 hour").alias("w"))
+    if delay:
+        s = s.withWatermark("scored_at", delay)
+    return (s.groupBy(F.window("scored_at", "1 hour").alias("w"))
             .agg(F.count_if(F.col("label") == "Fake").alias("fake"),
                  F.count_if(F.col("label") == "Real").alias("real"))
             .select(F.date_format("w.start", "yyyy-MM-dd'T'HH:00").alias("hour"), "fake", "real",
@@ -214,7 +183,7 @@ def timeline_agg(scored: DataFrame, delay: str = "2 hours") -> DataFrame:
 
 
 def run_timeline_stream(scored: DataFrame, path: str, ckpt: str, trigger: str | None = None):
-    return _complete_to_table(timeline_agg(scored), path, ckpt, trigger)
+    return _keyed_rows(timeline_agg(scored), path, ckpt, trigger)
 
 
 def breakdown_agg(scored: DataFrame) -> DataFrame:
@@ -226,7 +195,7 @@ def breakdown_agg(scored: DataFrame) -> DataFrame:
 
 
 def run_breakdown_stream(scored: DataFrame, path: str, ckpt: str, trigger: str | None = None):
-    return _complete_to_table(breakdown_agg(scored), path, ckpt, trigger)
+    return _keyed_rows(breakdown_agg(scored), path, ckpt, trigger)
 
 
 FEED_COUNTER_SCHEMA = "batch_id long, n long, running_n long, last_source string"
@@ -248,7 +217,7 @@ def run_feed_counter(scored: DataFrame, path: str, ckpt: str, trigger: str | Non
             return last["n"]
         if batch_id == 0 or not lake.exists(spark, path):
             return 0
-        r = (spark.read.schema(FEED_COUNTER_SCHEMA).parquet(path)
+        r = (spark.read.schema(FEED_COUNTER_SCHEMA).option("basePath", path).parquet(path)
              .where(F.col("batch_id") == batch_id - 1).select("running_n").first())
         return r[0] if r else 0
 
@@ -256,9 +225,9 @@ def run_feed_counter(scored: DataFrame, path: str, ckpt: str, trigger: str | Non
         row = batch.agg(F.count(F.lit(1)).alias("n"),
                         F.max_by("source", F.struct("scored_at", "id")).alias("last_source")).first()
         running = previous(batch_id) + row["n"]
-        summary = spark.createDataFrame([(batch_id, row["n"], running, row["last_source"])],
-                                        FEED_COUNTER_SCHEMA)
-        _exactly_once_row_file(spark, summary, path, batch_id)
+        summary = spark.createDataFrame([(row["n"], running, row["last_source"])],
+                                        "n long, running_n long, last_source string")
+        summary.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")  # one row
         last.update(b=batch_id, n=running)
 
     return (scored.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
@@ -267,14 +236,13 @@ def run_feed_counter(scored: DataFrame, path: str, ckpt: str, trigger: str | Non
 
 def feed_counter_table(spark: SparkSession, path: str) -> DataFrame:
     """Summary rows of the non-empty micro-batches (running total included)."""
-    return (spark.read.schema(FEED_COUNTER_SCHEMA).parquet(path).where(F.col("n") > 0)
+    return (spark.read.schema(FEED_COUNTER_SCHEMA).option("basePath", path).parquet(path).where(F.col("n") > 0)
             .select("batch_id", "n", "running_n", "last_source"))
 
 
 def run_bounded_dedupe(src: DataFrame, path: str, ckpt: str, delay: str = "30 days",
                        trigger: str | None = None) -> StreamingQuery:
-    """Parsed envelopes deduped on id within a watermark delay."""
-    parsed = parse_envelopes(src).withColumn("kafka_ts", F.col("kafka_ts").cast("timestamp"))
-    d = dedupe_within(parsed, "id", "kafka_ts", delay)
+    """Parsed envelopes deduped on id within a delay after arrival."""
+    d = dedupe_within(parse_envelopes(src), "id", delay)
     return (d.writeStream.format("parquet").option("path", path).option("checkpointLocation", ckpt)
             .outputMode("append").trigger(**trigger_args(trigger)).start())

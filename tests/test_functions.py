@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from credlake.functions import display as disp
 from credlake.functions.ids import stable_id, title_id
-from credlake.functions.scoring import label_mapping, normalize_label, score_article, softmax_argmax
+from credlake.functions.scoring import label_map, normalize_label, score_article, softmax_argmax
 from credlake.functions.text import lang_guess, model_text, normalize_text, strip_ws, truncate
 from credlake.functions.times import parse_published, to_iso
 
@@ -97,8 +97,9 @@ def test_label_rule(spark, raw, rule):
     assert mapped == {"FAKE": "Fake", "REAL": "Real"}.get(raw, raw)
 
 
-def test_label_mapping_from_id2label():
-    assert label_mapping({0: "FAKE", 1: "REAL", 2: "LABEL_0"}) == {"FAKE": "Fake", "REAL": "Real", "LABEL_0": "Real"}
+def test_label_map_names_every_raw_label(spark):
+    got = spark.range(1).select(label_map(["FAKE", "REAL", "LABEL_0"])).first()[0]
+    assert got == {"FAKE": "Fake", "REAL": "Real", "LABEL_0": "Real"}
 
 
 def test_softmax_argmax_matches_numpy(spark):

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from credlake.operators import evaluate as ev
@@ -79,11 +80,10 @@ def test_merge_idempotency_and_keep_old(spark):
         ("abc123", "s", "T3", None, None, None, None, None, "Fake", 0.7, ts + dt.timedelta(seconds=2)),
         ("zzz", "s", "New", "n", "https://n", None, None, None, "Real", 0.5, ts),
     ], GOLD_SCHEMA)
-    for bc in (True, False):
-        out = {r.id: r for r in mg.merge_articles(target, ups, broadcast=bc).collect()}
-        assert out["abc123"].label == "Fake" and out["abc123"].confidence == 0.7
-        assert out["abc123"].title == "T3" and out["abc123"].content == "keep me"
-        assert out["zzz"].title == "New" and len(out) == 2
+    out = {r.id: r for r in mg.merge_articles(target, ups).collect()}
+    assert out["abc123"].label == "Fake" and out["abc123"].confidence == 0.7
+    assert out["abc123"].title == "T3" and out["abc123"].content == "keep me"
+    assert out["zzz"].title == "New" and len(out) == 2
     # re-applying the same batch changes nothing
     once = mg.merge_articles(target, ups)
     twice = mg.merge_articles(once, ups)
@@ -94,18 +94,14 @@ def test_merge_idempotency_and_keep_old(spark):
     assert (counts2.matched, counts2.modified, counts2.upserted) == (2, 0, 0)
 
 
-def test_fold_repeated_equals_fold(spark):
-    # repeated ids fold per field (last non-null by scored_at); single ids pass through
+def test_fold_takes_the_last_non_null_per_field(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [("a", "x", None, t), ("a", None, "c1", t + dt.timedelta(hours=1)),
             ("a", "y", None, t + dt.timedelta(hours=2)), ("b", None, "c2", t),
             ("c", "z", "c3", t), (None, "n", "n", t)]
     df = spark.createDataFrame(rows, "id string, title string, content string, scored_at timestamp")
-    want = sorted(map(tuple, mg.fold_updates(df).collect()))
-    assert sorted(map(tuple, mg.fold_repeated(df).select(*df.columns).collect())) == want
-    assert ("a", "y", "c1", t + dt.timedelta(hours=2)) in want and ("b", None, "c2", t) in want
-    # beyond the bound on repeated ids: the plain fold
-    assert sorted(map(tuple, mg.fold_repeated(df, max_rows=0).select(*df.columns).collect())) == want
+    got = sorted(map(tuple, mg.fold_updates(df).collect()))
+    assert got == [("a", "y", "c1", t + dt.timedelta(hours=2)), ("b", None, "c2", t), ("c", "z", "c3", t)]
 
 
 def test_insert_new_first_write_wins(spark):
@@ -209,11 +205,64 @@ def test_fingerprint_matches_python(spark):
     assert ev.fingerprint(corpus).first().hash8 == exp
 
 
-def test_split_is_deterministic_and_keeps_copies_together(spark):
-    corpus = spark.range(3000).select((F.col("id") % 1500).cast("string").alias("text"),
-                                      (F.col("id") % 2).cast("int").alias("label"))
-    s1 = {(r.text, r.part) for r in ev.stratified_split(corpus).collect()}
-    s2 = {(r.text, r.part) for r in ev.stratified_split(corpus.repartition(7)).collect()}
-    assert s1 == s2 and len({t for t, _ in s1}) == 1500  # each text on exactly one side
-    frac = sum(1 for _, p in s1 if p == "test") / len(s1)
-    assert 0.05 < frac < 0.15
+def test_split_takes_the_exact_share_of_every_class(spark):
+    import math
+    corpus = spark.range(3003).select((F.col("id") % 1500).cast("string").alias("text"),
+                                      F.when(F.col("id") % 7 == 0, 0).otherwise(1).alias("label"))
+    s1 = sorted((r.label, r.text, r.part) for r in ev.stratified_split(corpus).collect())
+    s2 = sorted((r.label, r.text, r.part) for r in ev.stratified_split(corpus.repartition(7)).collect())
+    assert s1 == s2 and len(s1) == 3003
+    for label in (0, 1):
+        parts = [p for x, _, p in s1 if x == label]
+        assert parts.count("test") == math.ceil(0.1 * len(parts))
+    assert ev.stratified_split(corpus.limit(0)).count() == 0
+    alike = corpus.withColumn("text", F.lit("same"))  # all rows in the cut bucket
+    assert ev.stratified_split(alike).where("part = 'test'").count() == math.ceil(0.1 * 429) + math.ceil(0.1 * 2574)
+
+
+def test_model_scoring_loads_once_and_falls_back(spark):
+    import os
+    import tempfile
+
+    from credlake.operators.score import score_default, score_with
+    marks = tempfile.mkdtemp()
+    art = spark.range(200).select(F.col("id"), F.concat(F.lit("t"), "id").alias("title"), F.lit("c").alias("content")).repartition(12)
+
+    def load():
+        import pandas as pd
+        with open(f"{marks}/{os.getpid()}", "a") as f:
+            f.write("x")
+        return lambda texts: pd.DataFrame({"label": ["NEG"] * len(texts), "confidence": [0.75] * len(texts)})
+
+    out = score_with(art, load, "once", {"NEG": "Fake"}).collect()
+    assert {(r.label, r.confidence) for r in out} == {("Fake", 0.75)} and len(out) == 200
+    assert all(len(open(f"{marks}/{f}").read()) == 1 for f in os.listdir(marks)) and os.listdir(marks)
+
+    def broken():
+        raise OSError("gone")
+
+    hashed = {(r.id, r.label, r.confidence) for r in score_default(
+        art.withColumn("published_at", F.lit(None).cast("timestamp")).withColumn("fetched_at", F.lit(None).cast("timestamp"))).collect()}
+    for loader in (None, broken):
+        assert {(r.id, r.label, r.confidence) for r in score_with(art, loader, "broken").collect()} == hashed
+    with pytest.raises(ValueError):
+        score_with(art, None, fallback=False)
+    with pytest.raises(Exception, match="gone"):
+        score_with(art, broken, "broken", fallback=False).collect()
+
+
+def test_checkpoint_root_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from credlake.session import checkpoint_root
+
+    def session(master, value):
+        jvm = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+        conf = {"spark.checkpoint.dir": value} if value else {}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__),
+                               sparkContext=SimpleNamespace(master=master, _jsc=jvm, setCheckpointDir=lambda d: None))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(session("spark://host:7077", None))
+    assert checkpoint_root(session("spark://host:7077", "/shared/x/")) == "/shared/x"
+    assert checkpoint_root(session("local[4]", None))

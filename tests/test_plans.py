@@ -53,11 +53,22 @@ def test_timeline_bound_reaches_the_scan(spark, gold):
     assert "GreaterThanOrEqual(scored_at," in p
 
 
-def test_merge_broadcasts_only_the_update_side(spark, gold):
+def test_merge_is_one_join(spark, gold):
     from credlake.operators.merge import merge_articles
-    upd = gold.limit(10).withColumn("label", F.lit("Fake"))
-    p = plan(merge_articles(gold, upd, broadcast=True))
-    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    p = plan(merge_articles(gold, gold.limit(10).withColumn("label", F.lit("Fake"))))
+    assert p.count("FullOuter") == 1 and "LeftAnti" not in p
+
+
+def test_layer_writers_follow_the_session_and_sample_nothing(spark):
+    from credlake.streaming.jobs import by_date
+    p = plan(by_date(fx.articles_scored(spark, SF)))
+    assert "Exchange hashpartitioning(date" in p and "rangepartitioning" not in p
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = by_date(fx.articles_scored(spark, SF)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert n == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_batch_layer_write_rebalances_on_partition_columns(spark):
@@ -66,14 +77,6 @@ def test_batch_layer_write_rebalances_on_partition_columns(spark):
     assert "Exchange hashpartitioning(date" in p  # hot dates split by AQE, not one task
 
 
-def test_size_check_moves_one_long_per_row(spark, gold):
-    from credlake.operators.merge import fits_broadcast, row_bytes
-    assert fits_broadcast(gold, 10_000) and not fits_broadcast(gold, 10)
-    assert not fits_broadcast(gold, 10_000, max_bytes=100)
-    probe = gold.select(row_bytes(gold).alias("_w")).limit(11)
-    assert probe.schema.fieldNames() == ["_w"]
-
-
 def test_dedupe_reduces_hot_keys_before_the_shuffle(spark):
     # one id holding a third of the rows: the pick is pre-aggregated per map task
     from credlake.operators.clean import first_per_key

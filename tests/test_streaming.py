@@ -2,8 +2,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from credlake.operators.clean import clean
@@ -75,17 +75,9 @@ def test_score_stream_and_serving_replay(spark):
     assert len(first) == 3
     gold = lake.read_layer(spark, f"{base}/gold", "gold")
     assert gold.count() == 3 and spark.read.parquet(f"{base}/scored_topic").count() == 3
-    # replay the whole silver layer through a fresh checkpoint: same merged table
-    c2 = work_dir(spark, "c2")
-    jobs.run_score_stream(spark, base, c2, scored_at=at).awaitTermination()
-    # the gold sink skips batch ids its log already holds (fresh read: new file index)
-    assert lake.read_layer(spark, f"{base}/gold", "gold").count() == 3
-    jobs.run_publish(spark, base, c2, serving=serving).awaitTermination()
+    # a replay from raw, scored again into a layer of its own: same merged table
+    jobs.run_chain(spark, src, work_dir(spark, "l2"), work_dir(spark, "c2"), serving, at)
     assert sorted(map(tuple, lake.read_serving(spark, serving).collect())) == first
-    # the date-scoped lookup builds the same table when no article changes date
-    s2 = f"{base}/serving2"
-    jobs.run_publish(spark, base, work_dir(spark, "c3"), serving=s2, locate_moved=False).awaitTermination()
-    assert sorted(map(tuple, lake.read_serving(spark, s2).collect())) == first
     # a byte-bounded publish takes the backlog in several micro-batches, same table
     s3 = f"{base}/serving3"
     q = jobs.run_publish(spark, base, work_dir(spark, "c4"), serving=s3, max_bytes_per_trigger=1)
@@ -94,127 +86,80 @@ def test_score_stream_and_serving_replay(spark):
     assert sorted(map(tuple, lake.read_serving(spark, s3).collect())) == first
 
 
-def test_merge_into_batch_id_is_noop_on_retry(spark):
-    table = work_dir(spark, "serving")
-    rows = [(f"i{k}", "s", "t", "c", "u", T0, T0, T0.date() + dt.timedelta(days=k % 3), "Real", 0.6, T0)
-            for k in range(9)]
-    base = spark.createDataFrame(rows, GOLD_SCHEMA)
-    assert lake.merge_into(spark, table, base, "b0") == 1
-    moved = spark.createDataFrame([("i0", None, None, None, None, None, None, dt.date(2024, 2, 1), "Fake",
-                                    None, T0 + dt.timedelta(days=1))], GOLD_SCHEMA)
-    assert lake.merge_into(spark, table, moved, "b1") == 2
-    assert lake.merge_into(spark, table, moved.withColumn("label", F.lit("Real")), "b1") == 2  # no-op
-    cur = {r.id: r for r in lake.read_serving(spark, table).collect()}
-    assert len(cur) == 9 and cur["i0"].label == "Fake" and cur["i0"].date == dt.date(2024, 2, 1)
-    assert cur["i0"].title == "t"  # untouched fields kept
-    lake.vacuum(spark, table)
-    assert len(lake.read_serving(spark, table).collect()) == 9
-
-
-def test_merge_into_appends_new_ids_rewrites_moved_and_compacts(spark):
-    table = work_dir(spark, "serving")
-    d0, d1, d2 = (T0.date() + dt.timedelta(days=k) for k in range(3))
+def test_fresh_checkpoint_on_a_written_layer_is_refused(spark):
+    root, base = work_dir(spark, "e"), work_dir(spark, "l")
+    land_envelopes(spark, root, BATCHES[:1])
+    src = lambda: read_envelopes(spark, fmt="parquet", path=f"{root}/part=*")
+    ckpt = work_dir(spark, "c")
+    jobs.run_silver(src(), base, ckpt).awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        jobs.run_silver(src(), base, work_dir(spark, "c2"))
+    jobs.run_silver(src(), base, ckpt).awaitTermination()  # its own goes on
 
-    def art(i, d, label="Real", title="t"):
-        return (i, "s", title, "c", "u", T0, T0, d, label, 0.6, T0)
-
-    def rows():
-        return {r.id: r for r in lake.read_serving(spark, table).collect()}
-
-    def marks(kind):
-        return sorted(p.rsplit("/", 3)[-3] + "/" + p.rsplit("/", 3)[-2]
-                      for p in lake._glob(spark, f"{table}/date=*/v=*/_{kind}"))
-
-    base = [art(f"i{k}", (d0, d1, d2)[k % 3]) for k in range(9)]
-    lake.merge_into(spark, table, spark.createDataFrame(base, GOLD_SCHEMA), "b0")
-    # only new ids: an append version on d0, nothing stored is rewritten
-    lake.merge_into(spark, table, spark.createDataFrame([art("n1", d0), art("n2", d0)], GOLD_SCHEMA), "b1")
-    assert marks("full") == []
-    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [2, 1]
-    assert len(rows()) == 11
-    # i0 moves from d0 to a new date: d0 is rewritten (full), the new date appended to nothing
-    moved = [("i0", None, None, None, None, None, None, dt.date(2024, 2, 1), "Fake", None,
-              T0 + dt.timedelta(days=1))]
-    lake.merge_into(spark, table, spark.createDataFrame(moved, GOLD_SCHEMA), "b2")
-    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [3]
-    assert marks("full") == [f"date={d0}/v=3"]
-    cur = rows()
-    assert len(cur) == 11 and cur["i0"].date == dt.date(2024, 2, 1) and cur["i0"].title == "t"
-    # every row of d1 moves to d2: d1 becomes an empty version
-    lake.merge_into(spark, table, spark.createDataFrame(
-        [art(f"i{k}", d2, "Fake") for k in (1, 4, 7)], GOLD_SCHEMA), "b3")
-    assert marks("empty") == [f"date={d1}/v=4"] and lake.live_versions(spark, table)[str(d1)] == []
-    cur = rows()
-    assert len(cur) == 11 and {cur[f"i{k}"].date for k in (1, 4, 7)} == {d2}
-    # a long append chain: its appends (not the base) are folded by the next merge
-    for b in range(3):
-        lake.merge_into(spark, table, spark.createDataFrame([art(f"c{b}", d0)], GOLD_SCHEMA),
-                        f"c{b}", max_appends=2)
-    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [7, 3]
-    assert marks("after.3") == [f"date={d0}/v=7"]
-    # and again on top of the folded chain
-    for b in range(3, 6):
-        lake.merge_into(spark, table, spark.createDataFrame([art(f"c{b}", d0)], GOLD_SCHEMA),
-                        f"c{b}", max_appends=2)
-    # c3 appends v8, c4 folds v8 and v7 into v9, c5 appends v10
-    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [10, 9, 3]
-    assert marks("after.3") == [f"date={d0}/v=7", f"date={d0}/v=9"]
-    assert {r.id for r in rows().values() if r.date == d0} == \
-        {"i3", "i6", "n1", "n2"} | {f"c{b}" for b in range(6)}
-    before = sorted(map(tuple, lake.read_serving(spark, table).collect()))
-    assert len(before) == 17
-    assert lake.vacuum(spark, table) > 0
-    assert sorted(map(tuple, lake.read_serving(spark, table).collect())) == before
-
-
-def test_merge_into_recovers_from_a_crashed_attempt(spark):
-    table = work_dir(spark, "serving")
-    d0 = T0.date()
 
-    def rows(ids, label="Real"):
-        return spark.createDataFrame([(i, "s", "t", "c", "u", T0, T0, d0, label, 0.6, T0) for i in ids],
-                                     GOLD_SCHEMA)
+def test_silver_state_is_updated_once_per_new_id(spark):
+    root, base, ckpt = work_dir(spark, "e"), work_dir(spark, "l"), work_dir(spark, "c")
+    land_envelopes(spark, root, BATCHES)
+    q = jobs.run_silver(read_envelopes(spark, fmt="parquet", path=f"{root}/part=*", max_files_per_trigger=1), base, ckpt)
+    q.awaitTermination()
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    assert updated == [2, 1, 0]  # ids 1 and 2, then 4 (3 has no English title), then none
 
-    lake.merge_into(spark, table, rows(["a", "b"]), "b0")
-    # a crash after writing version 2's files but before its commit marker
-    rows(["junk"]).withColumn("v", F.lit(2)).write.mode("append").partitionBy("date", "v").parquet(table)
-    assert sorted(r.id for r in lake.read_serving(spark, table).collect()) == ["a", "b"]
-    # the retry (any next merge) removes the leftovers and commits version 2 cleanly
-    assert lake.merge_into(spark, table, rows(["a"], "Fake"), "b1") == 2
-    cur = {r.id: r.label for r in lake.read_serving(spark, table).collect()}
-    assert cur == {"a": "Fake", "b": "Real"}
+
+def test_bounded_dedupe_keeps_first_copies_of_old_rows(spark):
+    # event times run backwards by months: nothing may count as late; state is dropped meanwhile
+    root, base, ckpt = work_dir(spark, "e"), work_dir(spark, "l"), work_dir(spark, "c")
+    batches = [[env(10 * b + k, "Title", 1440 - 200 * b) for k in range(3)] for b in range(5)]
+    land_envelopes(spark, root, [[(key, value, T0 - dt.timedelta(days=60 * i)) for key, value, _ in rows]
+                                 for i, rows in enumerate(batches)])
+    src = read_envelopes(spark, fmt="parquet", path=f"{root}/part=*", max_files_per_trigger=1)
+    q = jobs.run_silver(src, base, ckpt, dedupe_delay="1 milliseconds")
+    q.awaitTermination()
+    silver = lake.read_layer(spark, f"{base}/silver", "silver")
+    assert sorted(r.id for r in silver.collect()) == sorted(f"id{10 * b + k}" for b in range(5) for k in range(3))
+    assert sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress) > 0
+
+
+def art(i, d, label="Real", title="t"):
+    return (i, "s", title, "c", "u", T0, T0, d, label, 0.6, T0)
+
+
+def test_merge_into_is_idempotent_and_moves_rows_between_dates(spark):
+    table = work_dir(spark, "serving")
+    d0, d1, d2 = (T0.date() + dt.timedelta(days=k) for k in range(3))
+    frame = lambda rows: spark.createDataFrame(rows, GOLD_SCHEMA)
+    rows = lambda: {r.id: r for r in lake.read_serving(spark, table).collect()}
+    lake.merge_into(spark, table, frame([art(f"i{k}", (d0, d1, d2)[k % 3]) for k in range(9)]))
+    untouched = lake._glob(spark, f"{table}/date={d2}/*.parquet")
+    moved = frame([("i0", None, None, None, None, None, None, dt.date(2024, 2, 1), "Fake", None, T0 + dt.timedelta(days=1)),
+                   (None, *art("x", d2)[1:])])
+    for _ in range(2):  # a retried batch changes nothing
+        lake.merge_into(spark, table, moved)
+        cur = rows()
+        assert len(cur) == 9 == lake.read_serving(spark, table).count()
+        assert cur["i0"].label == "Fake" and cur["i0"].date == dt.date(2024, 2, 1) and cur["i0"].title == "t"
+    # every row of d1 moves to d2: d1 is cleared
+    lake.merge_into(spark, table, frame([art(f"i{k}", d2, "Fake") for k in (1, 4, 7)] + [art("n1", None)]))
+    cur = rows()
+    assert len(cur) == 10 and {cur[f"i{k}"].date for k in (1, 4, 7)} == {d2} and cur["n1"].date is None
+    assert lake._glob(spark, f"{table}/date={d1}") == []
+    # dates a batch does not touch keep their files
+    before = lake._glob(spark, f"{table}/date={d2}/*.parquet")
+    assert before != untouched
+    lake.merge_into(spark, table, frame([art("i3", d0, "Fake")]))
+    assert lake._glob(spark, f"{table}/date={d2}/*.parquet") == before
+    assert lake.merge_into(spark, table, frame([])) == []
 
 
-def test_merge_into_folds_append_chains_size_tiered(spark):
+def test_merge_into_after_a_crash_before_the_old_date_was_cleared(spark):
     table = work_dir(spark, "serving")
-    d0 = T0.date()
-
-    def rows(ids):  # hex content: poorly compressible, so bytes follow rows
-        return spark.createDataFrame([(i, "s", "t", hashlib.sha256(i.encode()).hexdigest() * 4, "u",
-                                       T0, T0, d0, "Real", 0.6, T0) for i in ids], GOLD_SCHEMA)
-
-    lake.merge_into(spark, table, rows(["base"]), "b0", max_appends=4)             # v1
-    lake.merge_into(spark, table, rows([f"big{k}" for k in range(3000)]), "b1", max_appends=4)  # v2
-    for k in range(2, 7):                                                          # v3..v7
-        lake.merge_into(spark, table, rows([f"a{k}"]), f"b{k}", max_appends=4)
-    # the fold at v6 took the small v5, v4, v3 and stopped above the big v2
-    assert [p.rsplit("/", 2)[-2] for p in lake._glob(spark, f"{table}/date=*/v=*/_after.2")] == ["v=6"]
-    assert [v for v, _ in lake.live_versions(spark, table)[str(d0)]] == [7, 6, 2, 1]
-    want = sorted(["base"] + [f"big{k}" for k in range(3000)] + [f"a{k}" for k in range(2, 7)])
-    assert sorted(r.id for r in lake.read_serving(spark, table).collect()) == want
-    assert lake.vacuum(spark, table) == 3  # v3, v4, v5
-    assert sorted(r.id for r in lake.read_serving(spark, table).collect()) == want
-
-
-def test_feed_counter_rows_are_written_exactly_once(spark):
-    path = work_dir(spark, "fc-once")
-    row = spark.createDataFrame([(0, 5, 5, "s")], jobs.FEED_COUNTER_SCHEMA)
-    # a crashed attempt left a staging copy behind; the retry replaces it
-    row.write.parquet(f"{path}/_staging/0")
-    for _ in range(2):  # the second call is a replay of the same batch id
-        jobs._exactly_once_row_file(spark, row, path, 0)
-    assert jobs.feed_counter_table(spark, path).count() == 1
-    assert lake._glob(spark, f"{path}/_staging/*") == []
+    d0, d1 = T0.date(), T0.date() + dt.timedelta(days=1)
+    lake.merge_into(spark, table, spark.createDataFrame([art("a", d0)], GOLD_SCHEMA))
+    later = spark.createDataFrame([art("a", d1, "Fake")[:10] + (T0 + dt.timedelta(hours=1),)], GOLD_SCHEMA)
+    later.write.mode("append").partitionBy("date").parquet(table)  # the new copy is there, the old one still too
+    assert lake.read_serving(spark, table).count() == 2
+    lake.merge_into(spark, table, later)
+    assert [(r.id, r.date, r.label) for r in lake.read_serving(spark, table).collect()] == [("a", d1, "Fake")]
 
 
 def test_live_aggregates_and_counter(spark):
@@ -226,11 +171,11 @@ def test_live_aggregates_and_counter(spark):
     stream = lambda: spark.readStream.schema(GOLD_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{root}/part=*")
     out, ck = work_dir(spark, "tl"), work_dir(spark, "c")
     jobs.run_timeline_stream(stream(), out, ck).awaitTermination()
-    tl = {r.hour: (r.fake, r.real, r.total) for r in spark.read.parquet(out).collect()}
+    tl = {r.hour: (r.fake, r.real, r.total) for r in jobs.latest_rows(spark, out, "hour").collect()}
     assert tl == {"2024-01-01T00:00": (8, 4, 12), "2024-01-01T01:00": (4, 2, 6)}
     out2, ck2 = work_dir(spark, "bd"), work_dir(spark, "c")
     jobs.run_breakdown_stream(stream(), out2, ck2).awaitTermination()
-    assert {r.source: r.total for r in spark.read.parquet(out2).collect()} == {"src0": 9, "src1": 9}
+    assert {r.source: r.total for r in jobs.latest_rows(spark, out2, "source").collect()} == {"src0": 9, "src1": 9}
     out3, ck3 = work_dir(spark, "fc"), work_dir(spark, "c")
     jobs.run_feed_counter(stream(), out3, ck3).awaitTermination()
     fc = jobs.feed_counter_table(spark, out3).orderBy("batch_id").collect()
