@@ -5,6 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MODEL_TEXT_CHARS = 4000
+WS = r"[\s\x1C-\x1F]"
 
 
 def _c(x) -> Column:
@@ -14,16 +15,17 @@ def _c(x) -> Column:
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends.
 
-    ``F.trim`` removes spaces only; ``(?U)`` makes ``\\s`` Unicode-aware.
+    ``F.trim`` removes spaces only; ``(?U)`` makes ``\\s`` Unicode-aware, and the
+    four separators U+001C to U+001F are white space to Python alone.
     """
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(col), rf"(?U)^{WS}+|{WS}+$", "")
 
 
 def normalize_text(col) -> Column:
     """Control whitespace runs -> one space, collapse runs of 2+ whitespace,
     strip; empty -> null; null -> null."""
     c = F.regexp_replace(_c(col), r"[\r\n\t]+", " ")
-    c = F.regexp_replace(c, r"(?U)\s{2,}", " ")
+    c = F.regexp_replace(c, rf"(?U){WS}{{2,}}", " ")
     c = strip_ws(c)
     return F.nullif(c, F.lit(""))
 

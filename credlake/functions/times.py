@@ -30,11 +30,6 @@ def parse_published(text, fallback) -> Column:
     return F.coalesce(parsed, _c(fallback))
 
 
-def to_date_utc(ts) -> Column:
-    """``date`` partition value of a timestamp (UTC session)."""
-    return F.to_date(_c(ts))
-
-
 def try_date(text) -> Column:
     """Date of ISO text; null when unparsable (never raises)."""
     t = _c(text)

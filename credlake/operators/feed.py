@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from credlake.functions.display import iso_columns
 
+DEEPEST_ROW = 100_000
 TIME_COLUMNS = ("published_at", "fetched_at", "scored_at")
 
 
@@ -36,9 +37,15 @@ def _filtered(sc: DataFrame, label: str, source: str | None, match: str) -> Data
 
 def page(sc: DataFrame, label: str = "all", source: str | None = None, match: str = "prefix",
          page_no: int = 1, size: int = 20) -> DataFrame:
-    """One page, newest fetch first (id breaks ties); size 1..100."""
+    """One page, newest fetch first (id breaks ties); size 1..100.
+
+    A page is a top-k of all rows up to its end, so its cost grows with its
+    depth; beyond ``DEEPEST_ROW`` the keyset form is required.
+    """
     if page_no < 1 or not 1 <= size <= 100:
         raise ValueError("page >= 1 and 1 <= page_size <= 100")
+    if page_no * size > DEEPEST_ROW:
+        raise ValueError(f"pages end at row {DEEPEST_ROW}; go on from a cursor with page_after")
     f = _filtered(sc, label, source, match)
     ordered = f.orderBy(F.col("fetched_at").desc(), F.col("id").asc())
     skip = (page_no - 1) * size

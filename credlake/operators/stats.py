@@ -78,18 +78,6 @@ def breakdown(sc: DataFrame, k: int = 10, real_mode: str = "label",
             .orderBy(F.col("total").desc(), F.col("source").asc_nulls_first()).limit(k))
 
 
-def stats_bundle(sc: DataFrame, k: int = 10) -> dict[str, DataFrame]:
-    """The whole stats call: one scan + one per-source aggregate, cached and
-    shared by A1-A4 (bounded by the number of sources, not articles)."""
-    summary = source_summary(sc).cache()
-    return {
-        "totals": totals(sc, summary),
-        "top_sources": top_sources(sc, k, summary),
-        "fake_rate_by_source": fake_rate(sc, 3, None, k, summary),
-        "source_breakdown": breakdown(sc, k, "label", summary),
-    }
-
-
 def as_of_max(sc: DataFrame, col: str = "scored_at") -> Column:
     """Scalar subquery ``(select max(col) from sc)`` -- planned once, no join."""
     return sc.select(F.max(col)).scalar()

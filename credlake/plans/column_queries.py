@@ -101,7 +101,9 @@ def q_label_norm(spark, sf):
 SELECT vec_id,
        CASE WHEN l IS NULL THEN NULL WHEN list_position(l, list_max(l)) = 1 THEN 'Fake' ELSE 'Real' END AS label,
        round(1.0 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) AS confidence
-FROM (SELECT vec_id, CAST(embedding[1:2] AS DOUBLE[]) AS l FROM embeddings)"""))
+FROM (SELECT vec_id, [list_reduce(list_filter(x, lambda v, i: i % 2 = 1), lambda a, v: a + v, 0.0::DOUBLE),
+                      list_reduce(list_filter(x, lambda v, i: i % 2 = 0), lambda a, v: a + v, 0.0::DOUBLE)] AS l
+      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings))"""))
 def q_logits_to_label(spark, sf):
     lg = fx.logits(spark, sf)
     p = softmax_argmax("logits", fx.ID2LABEL)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from credlake.operators import feed as fd
 from credlake.operators.clean import new_articles, retain
+from credlake.operators.stats import as_of_literal
 from credlake.plans import oracle as o
 from credlake.plans.oracle import sql
 from credlake.plans.registry import query
@@ -73,14 +74,14 @@ FROM (SELECT *, {nxt} AS next_cursor
 @query("feed", "T3, P26", _feed_sql(True))
 def q_feed(spark, sf):
     sc = fx.articles_scored(spark, sf)
-    since = sc.select(F.max("scored_at")).scalar() - F.make_dt_interval(F.lit(0), F.lit(6))
+    since = as_of_literal(sc) - F.make_dt_interval(F.lit(0), F.lit(6))  # a constant, as a client sends it
     return fd.feed(sc, since, 10, newest_first=True)
 
 
 @query("feed_next", "T3b, P26", _feed_sql(False))
 def q_feed_next(spark, sf):
     sc = fx.articles_scored(spark, sf)
-    since = sc.select(F.max("scored_at")).scalar() - F.make_dt_interval(F.lit(0), F.lit(6))
+    since = as_of_literal(sc) - F.make_dt_interval(F.lit(0), F.lit(6))  # a constant, as a client sends it
     return fd.feed(sc, since, 10, newest_first=False)
 
 

@@ -155,9 +155,14 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """two-class logits from the first two embedding components."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.slice("embedding", 1, 2).cast("array<double>").alias("logits"))
+    """two-class logits from all embedding components: the sums of the
+    even and of the odd places."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+    def total(odd: int):
+        kept = F.filter("x", lambda v, i: i % 2 == odd)
+        return F.when(F.col("x").isNotNull(), F.aggregate(kept, F.lit(0.0), lambda a, v: a + v))
+    return e.select("vec_id", F.array(total(0), total(1)).alias("logits"))
 
 
 ID2LABEL = {0: "FAKE", 1: "REAL"}

@@ -33,14 +33,13 @@ def by_date(df: DataFrame, *also: str) -> DataFrame:
     """Deal a micro-batch to its writers by (date, id salt) before a date-partitioned write.
 
     Without it every upstream task writes one file into every date it holds.
-    The number of writers is the session's (AQE merges small ones), and hash
-    partitioning samples nothing, so a stateful operator below runs once.  The
-    salt splits a date that holds most rows over ``DATE_SPLITS`` writers.
+    The number of writers is the session's number of shuffle partitions, and
+    hash partitioning samples nothing, so a stateful operator below runs once.
+    The salt lets a date that holds all rows of a batch (today's news) use an
+    eighth of the writers.
     """
-    return df.repartition("date", *also, F.pmod(F.xxhash64("id"), F.lit(DATE_SPLITS)))
-
-
-DATE_SPLITS = 4
+    splits = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return df.repartition("date", *also, F.pmod(F.xxhash64("id"), F.lit(splits)))
 
 
 def run_bronze(src: DataFrame, base: str, ckpt: str, trigger: str | None = None) -> StreamingQuery:
