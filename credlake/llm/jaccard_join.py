@@ -16,9 +16,11 @@ start; the join runs on classes:
    count and position bounds is then probed against the long lists by binary
    search, with an early stop once T is out of reach.
 4. Merging would emit all pairs of a list.  Instead every member of a list is
-   first probed against the list's least member; linked members form
-   components; then only pairs of *different* components are probed.  Pairs
-   left out join documents that are connected already, so components are exact.
+   first probed against one member, the one with the fewest shingles of its
+   own; linked members form components; members outside a list's largest
+   component are probed against a few of it; and at last all pairs of members
+   in *different* components are probed.  Pairs left out join documents that
+   are connected already, so components are exact.
 
 Shingles are 64-bit hashes.  Hot lists are salted; sets travel once per probe.
 
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ from credlake.llm.common import components, saved, spread_join
 from credlake.llm.words import NON_SPACE, WordHasher, groups, mix, shingles, signed
 
 BUCKET_SHINGLES = 3_000_000
+SPEAKERS = 8              # members of a component that strangers are probed against first
 _LOW = (1 << 48) - 1
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -76,8 +80,9 @@ def _classes(size: int):
 def _deal(size: int, buckets: int):
     """Shingles dealt to buckets: one row per bucket and group of documents."""
     def run(batches):
-        for _, sets in _document_sets(batches, size):
-            counts = np.array([len(s) for s in sets])
+        task = TaskContext.get().partitionId() << 32
+        for number, (_, sets) in enumerate(_document_sets(batches, size)):
+            counts = np.array([len(s) for s in sets], dtype=np.int64)
             tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             keys = np.array([_key(s) for s in sets], dtype=np.int64)
             owner = np.repeat(np.arange(len(sets)), counts)
@@ -91,61 +96,88 @@ def _deal(size: int, buckets: int):
                 lo, hi = edges[b], edges[b + 1]
                 who, many = np.unique(owner[lo:hi], return_counts=True)
                 low = tokens[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6]
-                out.append((keys[who].tobytes(), many.astype(np.uint32).tobytes(), low.tobytes()))
+                out.append((keys[who].tobytes(), counts[who].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), low.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(3))],
-                ["bucket", "keys", "counts", "tokens"])
+                [pa.array(used, pa.int32()), pa.array([task + number] * len(used), pa.int64()),
+                 *(pa.array([r[k] for r in out], pa.binary()) for k in range(4))],
+                ["bucket", "part", "keys", "sizes", "counts", "tokens"])
     return run
 
 
+def _read(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    if not len(sorted_values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+    return begins, np.r_[begins[1:], len(sorted_values)]
+
+
 def _shared(table: pa.Table) -> pa.Table:
-    """Invert one bucket; per class, its shingles of two classes or more and their frequency."""
+    """Invert one bucket.  Back to each group of documents: its classes' shingles
+    that two classes or more hold, and how many hold them.
+
+    Copies of a class hold the same shingles; the class counts once, for the
+    first of its groups.
+    """
     bucket = table.column("bucket")[0].as_py()
-    read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    keys, counts = read("keys", np.int64), read("counts", np.uint32)
-    raw = read("tokens", np.uint8).reshape(-1, 6)
+    keys, sizes, counts = _read(table, "keys", np.int64), _read(table, "sizes", np.uint32), _read(table, "counts", np.uint32)
+    parts = table.column("part").to_numpy()
+    part = np.repeat(parts, [len(k) // 8 for k in table.column("keys").to_pylist()])
+    raw = _read(table, "tokens", np.uint8).reshape(-1, 6)
     tokens = np.zeros((len(raw), 8), np.uint8)
     tokens[:, :6] = raw
     tokens = tokens.view(np.uint64).ravel()
-    classes, at = np.unique(keys, return_index=True)
+    order = np.lexsort((part, keys))
+    first = order[_runs(keys[order])[0]]
     alone = np.zeros(len(keys), bool)
-    alone[at] = True  # copies of a class hold the same shingles
+    alone[first] = True
     keep = np.repeat(alone, counts)
-    owner = np.repeat(keys, counts)[keep]
+    owner = np.repeat(np.arange(len(keys)), counts)[keep]
     tokens = tokens[keep]
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
-    begins = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
-    lengths = np.diff(np.r_[begins, len(tokens)])
-    frequency = np.repeat(lengths, lengths)
+    begins, ends = _runs(tokens)
+    frequency = np.repeat(ends - begins, ends - begins)
     common = frequency > 1
     tokens, owner, frequency = tokens[common], owner[common], frequency[common].astype(np.uint32)
-    order = np.argsort(owner, kind="stable")
-    tokens, owner, frequency = mix(tokens[order] ^ (np.uint64(bucket + 1) * _ODD)), owner[order], frequency[order]
-    heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    ends = np.r_[heads[1:], len(owner)]
-    return pa.table({
-        "key": pa.array(owner[heads], pa.int64()),
-        "shared": pa.array((ends - heads) if len(heads) else heads, pa.int64()),
-        "tokens": pa.array([tokens[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
-        "frequency": pa.array([frequency[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())})
-
-
-def _by_rarity(num: int, den: int):
-    """A class's shared shingles from rare to frequent, and the short part of its lists."""
-    def run(batches):
-        for batch in batches:
-            sets, short = [], []
-            for n, parts in zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist()):
-                tokens = np.frombuffer(b"".join(p["tokens"] for p in parts), np.uint64)
-                frequency = np.frombuffer(b"".join(p["frequency"] for p in parts), np.uint32)
-                tokens = tokens[np.lexsort((tokens, frequency))]
-                sets.append(tokens.tobytes())
-                short.append(signed(tokens[:len(tokens) - -(-num * n // den) + 1]).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("n"), pa.array([len(s) // 8 for s in sets], pa.int64()),
-                 pa.array(sets, pa.binary()), pa.array(short, pa.list_(pa.int64()))],
-                ["key", "n", "shared", "tokens", "short"])
+    tokens = mix(tokens ^ (np.uint64(bucket + 1) * _ODD))
+    order = np.lexsort((owner, part[owner]))
+    tokens, owner, frequency = tokens[order], owner[order], frequency[order]
+    out = []
+    for lo, hi in zip(*_runs(part[owner])):
+        begins, ends = _runs(owner[lo:hi])
+        who = owner[lo:hi][begins]
+        out.append((part[who[0]], keys[who].tobytes(), sizes[who].tobytes(), (ends - begins).astype(np.uint32).tobytes(),
+                    tokens[lo:hi].tobytes(), frequency[lo:hi].tobytes()))
+    types = [pa.int64()] + [pa.binary()] * 5
+    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
+                    ["part", "keys", "sizes", "counts", "tokens", "frequency"])
+
+
+def _candidates(num: int, den: int):
+    """Of one group of documents, the classes that share enough shingles: their
+    shared shingles from rare to frequent, and the short part of their lists."""
+    def run(table: pa.Table) -> pa.Table:
+        keys, sizes, counts = _read(table, "keys", np.int64), _read(table, "sizes", np.uint32), _read(table, "counts", np.uint32)
+        owner = np.repeat(keys, counts)
+        tokens, frequency = _read(table, "tokens", np.uint64), _read(table, "frequency", np.uint32)
+        order = np.lexsort((tokens, frequency, owner))
+        owner, tokens = owner[order], tokens[order]
+        size_of = dict(zip(keys.tolist(), sizes.tolist()))
+        out = []
+        for lo, hi in zip(*_runs(owner)):
+            key = int(owner[lo])
+            needed = -(-num * size_of[key] // den)
+            if hi - lo >= needed:
+                mine = tokens[lo:hi]
+                out.append((key, size_of[key], hi - lo, mine.tobytes(), signed(mine[:len(mine) - needed + 1]).tolist()))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
+                        ["key", "n", "shared", "tokens", "short"])
     return run
 
 
@@ -179,12 +211,12 @@ def _probe(num: int, den: int):
     return run
 
 
-def _possible(a: str, b: str, num: int, den: int) -> Column:
-    """Length, count and position bounds for two entries of one list."""
+def _possible(a: str, b: str, num: int, den: int, places: bool = True) -> Column:
+    """Length and count bounds of two classes; of two entries of one list, the position bound."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(F.col(f"{a}.shared") - F.col(f"{a}.at"), F.col(f"{b}.shared") - F.col(f"{b}.at"))
+    rest = [F.col(f"{s}.shared") - (F.col(f"{s}.at") if places else 0) for s in (a, b)]
     return ((n_a * den >= n_b * num) & (n_b * den >= n_a * num)
-            & (rest * (num + den) >= (n_a + n_b) * num))
+            & (F.least(*rest) * (num + den) >= (n_a + n_b) * num))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
@@ -196,6 +228,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str)
                  .mapInArrow(_probe(num, den), "a long, b long, linked boolean"), name)
 
 
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of lists that hold several components: token, e, comp, and
+    the list's largest component."""
+    placed = saved(lists.select("token", "e", F.col("e.key").alias("node")).join(labels, "node", "left")
+                   .select("token", "e", F.coalesce("label", "node").alias("comp")), "placed-lists")
+    mains = (placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
+             .groupBy("token").agg(F.max(F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+             .filter("comps > 1").select("token", F.col("main.comp").alias("main")))
+    return spread_join(placed, mains, ["token"], ["e"])
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row."""
     num, den = threshold, 100
@@ -207,13 +250,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_SHINGLES))
     dealt = texts.select("text").mapInArrow(
-        _deal(size, buckets), "bucket int, keys binary, counts binary, tokens binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared, "key long, shared long, tokens binary, frequency binary")
-    sets = saved(
-        shared.groupBy("key").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("tokens", "frequency")).alias("parts"))
-        .join(classes.select("key", "n"), "key").filter(F.col("shared") * den >= F.col("n") * num)
-        .select("key", "n", "parts")
-        .mapInArrow(_by_rarity(num, den), "key long, n long, shared long, tokens binary, short array<long>"), "candidate-sets")
+        _deal(size, buckets), "bucket int, part long, keys binary, sizes binary, counts binary, tokens binary")
+    shared = dealt.groupBy("bucket").applyInArrow(
+        _shared, "part long, keys binary, sizes binary, counts binary, tokens binary, frequency binary")
+    sets = saved(shared.groupBy("part").applyInArrow(
+        _candidates(num, den), "key long, n long, shared long, tokens binary, short array<long>"), "candidate-sets")
 
     entry = F.struct("key", "n", "shared", "at")
     lists = sets.select("key", "n", "shared", F.posexplode("short").alias("at", "token")).select("token", entry.alias("e"))
