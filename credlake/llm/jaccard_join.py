@@ -256,7 +256,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     sets = saved(shared.groupBy("part").applyInArrow(
         _candidates(num, den), "key long, n long, shared long, tokens binary, short array<long>"), "candidate-sets")
 
-    entry = F.struct("key", "n", "shared", "at")
+    # every member of a list against the member with the fewest shingles of its own
+    entry = F.struct((F.col("n") - F.col("shared")).alias("own"), "key", "n", "shared", "at")
     lists = sets.select("key", "n", "shared", F.posexplode("short").alias("at", "token")).select("token", entry.alias("e"))
     least = lists.groupBy("token").agg(F.min("e").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     lists = saved(spread_join(lists, least, ["token"], ["e"]), "short-lists")
@@ -265,20 +266,28 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     tried = _verified(stars, sets, num, den, "star-pairs")
     links = tried.filter("linked").select("a", "b")
 
-    # what the stars have not connected: pairs over different components of a list
-    near = components(links, "stars")
-    placed = (lists.select("token", "e", F.col("e.key").alias("node")).join(near, "node", "left")
-              .select("token", "e", F.coalesce("label", "node").alias("comp")))
-    placed = saved(placed, "placed-lists")
-    mains = (placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-             .groupBy("token").agg(F.max(F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-             .filter("comps > 1").select("token", F.col("main.comp").alias("main")))
-    mixed = spread_join(placed, mains, ["token"], ["e"])
+    # members of other components than their list's largest, against a few of the latter
+    labels = components(links, "stars")
+    own = (F.col("n") - F.col("shared")).alias("own")
+    few = (sets.join(labels, F.col("key") == F.col("node"))
+           .groupBy(F.col("label").alias("main"), F.pmod(F.xxhash64("key"), F.lit(SPEAKERS)).alias("seat"))
+           .agg(F.min(F.struct(own, "key", "n", "shared")).alias("r")).drop("seat"))
+    asking = _mixed(lists, labels).filter("comp <> main").select("e.key", "e.n", "e.shared", "main").distinct()
+    asked = (spread_join(asking.select(F.struct("key", "n", "shared").alias("e"), "main", "key"), few, ["main"], ["key"])
+             .filter(_possible("e", "r", num, den, places=False))
+             .select(F.col("e.key").alias("a"), F.col("r.key").alias("b")).distinct()
+             .join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    tried = tried.union(_verified(asked, sets, num, den, "speaker-pairs"))
+    links = tried.filter("linked").select("a", "b")
+
+    # all pairs that are still in different components
+    mixed = _mixed(lists, components(links, "speakers"))
     others = mixed.filter("comp <> main").select("token", F.col("e").alias("o"), F.col("comp").alias("o_comp"))
+    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = (spread_join(mixed, others, ["token"], ["e"])
             .filter((F.col("comp") != F.col("o_comp")) & _possible("e", "o", num, den))
             .select(F.greatest("e.key", "o.key").alias("a"), F.least("e.key", "o.key").alias("b")).distinct()
-            .join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            .join(known, ["a", "b"], "left_anti"))
     more = _verified(rest, sets, num, den, "cross-pairs").filter("linked").select("a", "b")
 
     final = components(links.union(more), "links")
