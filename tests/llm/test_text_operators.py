@@ -52,6 +52,18 @@ def test_surrogates_types_layout_and_coreference(spark):
     assert surrogates.replace_pii(frame.limit(0), "k1").count() == 0
 
 
+def test_neighbouring_entities_keep_apart(spark):
+    values = ["+1 (269) 555-3296", "45.196.222.209", "4524132264652876", "a.b12@mail3.example.com", "4111 1111 1111 1111"]
+    rows = [(10 * i + j, f"{a} {b} {a}") for i, a in enumerate(values) for j, b in enumerate(values)]
+    out = {r["doc_id"]: r for r in surrogates.replace_pii(spark.createDataFrame(rows, DOCS), "k").collect()}
+    new = {}
+    for i, a in enumerate(values):
+        for j, b in enumerate(values):
+            got, n = out[10 * i + j], len(a)
+            assert got["n_entities"] == 3 and len(got["text"]) == 2 * n + len(b) + 2
+            assert new.setdefault(a, got["text"][:n]) == got["text"][:n] == got["text"][-n:] != a
+
+
 def test_surrogates_stay_distinct_when_the_space_is_crowded(spark):
     cards = [f"4{i:012d}" for i in range(300)]
     ips = [f"{a}.{b}.{c}.{d}" for a in (1, 2, 3) for b in (1, 2) for c in (5, 6, 7) for d in range(1, 10)]
