@@ -44,6 +44,8 @@ BOILER_NAMES = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "adv
                 "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related",
                 "recommended", "recommendations", "comment", "comments", "reply", "replies", "respond", "disqus", "widget",
                 "pagination", "pager", "toolbar", "copyright", "skip", "hidden"}
+#: names that begin so tell a wrapper's state, not what it is
+STATE_WORDS = {"has", "no", "with", "without", "is", "js"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "tr", "thead",
           "tbody", "tfoot", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "address", "hr", "body",
           "html", "details", "summary", "center", "hgroup"} | BOILER
@@ -55,6 +57,12 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 BOILER_ZONE, OTHER_ZONE, MAIN_ZONE, ARTICLE_ZONE = 0, 1, 2, 3
 
 
+def _names_boilerplate(name: str) -> bool:
+    """A class or id that is, or has as a part, a name of boilerplate ("no-sidebar" has not)."""
+    parts = name.split("-")
+    return parts[0] not in STATE_WORDS and any(p in BOILER_NAMES for p in parts)
+
+
 class _Lines(HTMLParser):
     """Collects (text, zone) of the text blocks of one page."""
 
@@ -86,7 +94,7 @@ class _Lines(HTMLParser):
             return BOILER_ZONE
         if tag not in ("html", "body"):
             names = (attrs.get("class", "") + " " + attrs.get("id", "")).lower().replace("_", "-").split()
-            if any(n in BOILER_NAMES or any(p in BOILER_NAMES for p in n.split("-")) for n in names) and tag not in ("article", "main"):
+            if tag not in ("article", "main") and any(_names_boilerplate(n) for n in names):
                 return BOILER_ZONE
         if tag == "article" or role == "article" or attrs.get("itemprop", "") == "articleBody":
             return ARTICLE_ZONE
