@@ -88,7 +88,7 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
     pieces = packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"),
                             public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return packing.digested(pieces)
+    return pieces.drop("ids")
 
 
 def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,12 @@ the tokenizer's own default; an empty table gives no rows.
 """
 from __future__ import annotations
 
+import json
 import os
 import re
+import zlib
+from array import array
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from credlake.llm.common import ordered_index, saved
 
 CAPACITY = 2048
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 CACHED_CHARS = 48
 
 
@@ -49,20 +53,26 @@ class CachedEncoder:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(json_path)
-        if self.whole.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
-        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.by_whole = re.compile("|".join(["[\x1c-\x1f]", *special]))
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        self.by_whole = re.compile("|".join(["[\x1c-\x1f]", *(re.escape(t["content"]) for t in added)]))
         self.uneven = re.compile(r"^\s|\s$|\s\s")
         self.chunks = re.compile(r"\s*\S+|\s+")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ordinary = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids must fit 16 bits")
         self.spaced, self.plain = _Cache(self.ordinary, " "), _Cache(self.ordinary, "")
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded for the few texts that need it."""
+        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.json_path)
+
     def __call__(self, text: str) -> bytes:
         if self.by_whole.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -75,14 +85,20 @@ class CachedEncoder:
 
 
 class _Cache(dict):
+    """Ids by chunk, in two generations: a full young one becomes the old one,
+    and what is still in use moves back as it is met."""
+
     def __init__(self, encode, prefix: str) -> None:
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode, self.prefix, self.old = encode, prefix, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(self.prefix + chunk), dtype="<u2").tobytes()
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = array("H", self.encode(self.prefix + chunk)).tobytes()
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -93,6 +109,7 @@ _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
 
 def _pieces(json_path: str, ranks_path: str, pattern: str, closing_id: int, capacity: int):
     def run(batches):
+        from credlake.llm.packing import _ENCODERS  # the worker's own, not a copy sent along
         encoder = _ENCODERS.get((json_path, ranks_path))
         if encoder is None:
             encoder = _ENCODERS[json_path, ranks_path] = CachedEncoder(json_path, ranks_path, pattern)
@@ -104,12 +121,14 @@ def _pieces(json_path: str, ranks_path: str, pattern: str, closing_id: int, capa
                 for row, doc, text in zip(*(part.column(c).to_pylist() for c in ("row_id", "doc_id", "text"))):
                     ids = encoder(text or "") + end
                     n = len(ids) // 2
-                    out += [(row, doc, at, min(capacity, n - at), n, ids[2 * at:2 * (at + capacity)])
-                            for at in range(0, n, capacity)]
-                types = [pa.int64()] * 5 + [pa.binary()]
+                    for at in range(0, n, capacity):
+                        piece = ids[2 * at:2 * (at + capacity)]
+                        crc = zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes())
+                        out.append((row, doc, at, len(piece) // 2, n, crc, piece))
+                types = [pa.int64()] * 6 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
-                    ["row_id", "doc_id", "start", "length", "doc_tokens", "ids"])
+                    ["row_id", "doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"])
     return run
 
 
@@ -155,12 +174,13 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]], counts: dict[int, int]):
 def packed(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, closing_id: int = 1,
            capacity: int = CAPACITY) -> DataFrame:
     """Pieces with their place and ids: doc_id, start, length, doc_tokens,
-    sequence_id, offset, ids (little-endian 16-bit)."""
+    sequence_id, offset, ids (little-endian 16-bit) and ids_crc32 (of the ids as
+    little-endian 32-bit).  A reader that leaves the ids out never moves them."""
     pieces = saved(
         docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
                     F.col("text").cast("string").alias("text"))
         .mapInArrow(_pieces(json_path, ranks_path, pattern, closing_id, capacity),
-                    "row_id long, doc_id long, start long, length long, doc_tokens long, ids binary"), "pieces")
+                    "row_id long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     begins, shifts, offsets = slots(pack_histogram(counts, capacity), counts)
 
@@ -174,7 +194,7 @@ def packed(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, closi
     placed = ordered_index(pieces.select("length", "row_id", "start"), order, "piece-order", "piece_index")
     placed = placed.withColumn("_to", place("piece_index")).select("row_id", "start", "_to.sequence_id", "_to.offset")
     return pieces.join(placed, ["row_id", "start"]).select(
-        "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
+        "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids")
 
 
 def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
@@ -192,14 +212,3 @@ def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> D
 
     return (pieces.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "length", "ids")).alias("parts"))
             .mapInArrow(rows, "sequence_id long, ids array<int>"))
-
-
-def digested(pieces: DataFrame) -> DataFrame:
-    """``packed`` with ids_crc32 (over 32-bit little-endian ids) for the ids."""
-    import zlib
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids], dtype="int64")
-
-    return pieces.withColumn("ids_crc32", crc("ids")).drop("ids")
