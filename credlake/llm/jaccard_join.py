@@ -127,10 +127,7 @@ def _shared(table: pa.Table) -> pa.Table:
     keys, sizes, counts = _read(table, "keys", np.int64), _read(table, "sizes", np.uint32), _read(table, "counts", np.uint32)
     parts = table.column("part").to_numpy()
     part = np.repeat(parts, [len(k) // 8 for k in table.column("keys").to_pylist()])
-    raw = _read(table, "tokens", np.uint8).reshape(-1, 6)
-    tokens = np.zeros((len(raw), 8), np.uint8)
-    tokens[:, :6] = raw
-    tokens = tokens.view(np.uint64).ravel()
+    tokens = _widened(_read(table, "tokens", np.uint8))
     order = np.lexsort((part, keys))
     first = order[_runs(keys[order])[0]]
     alone = np.zeros(len(keys), bool)
@@ -143,19 +140,26 @@ def _shared(table: pa.Table) -> pa.Table:
     begins, ends = _runs(tokens)
     frequency = np.repeat(ends - begins, ends - begins)
     common = frequency > 1
-    tokens, owner, frequency = tokens[common], owner[common], frequency[common].astype(np.uint32)
-    tokens = mix(tokens ^ (np.uint64(bucket + 1) * _ODD))
+    tokens, owner = tokens[common], owner[common]
+    frequency = np.minimum(frequency[common], 255).astype(np.uint8)  # only orders shingles by rarity
     order = np.lexsort((owner, part[owner]))
     tokens, owner, frequency = tokens[order], owner[order], frequency[order]
     out = []
     for lo, hi in zip(*_runs(part[owner])):
         begins, ends = _runs(owner[lo:hi])
         who = owner[lo:hi][begins]
-        out.append((part[who[0]], keys[who].tobytes(), sizes[who].tobytes(), (ends - begins).astype(np.uint32).tobytes(),
-                    tokens[lo:hi].tobytes(), frequency[lo:hi].tobytes()))
-    types = [pa.int64()] + [pa.binary()] * 5
+        out.append((bucket, part[who[0]], keys[who].tobytes(), sizes[who].tobytes(), (ends - begins).astype(np.uint32).tobytes(),
+                    tokens[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), frequency[lo:hi].tobytes()))
+    types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
     return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
-                    ["part", "keys", "sizes", "counts", "tokens", "frequency"])
+                    ["bucket", "part", "keys", "sizes", "counts", "tokens", "frequency"])
+
+
+def _widened(raw: np.ndarray) -> np.ndarray:
+    """48-bit integers of six bytes each as 64-bit ones."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def _candidates(num: int, den: int):
@@ -164,7 +168,9 @@ def _candidates(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         keys, sizes, counts = _read(table, "keys", np.int64), _read(table, "sizes", np.uint32), _read(table, "counts", np.uint32)
         owner = np.repeat(keys, counts)
-        tokens, frequency = _read(table, "tokens", np.uint64), _read(table, "frequency", np.uint32)
+        frequency = _read(table, "frequency", np.uint8)
+        bucket = np.repeat(table.column("bucket").to_numpy(), [len(f) for f in table.column("frequency").to_pylist()])
+        tokens = mix(_widened(_read(table, "tokens", np.uint8)) ^ ((bucket + 1).astype(np.uint64) * _ODD))
         order = np.lexsort((tokens, frequency, owner))
         owner, tokens = owner[order], tokens[order]
         size_of = dict(zip(keys.tolist(), sizes.tolist()))
@@ -252,7 +258,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     dealt = texts.select("text").mapInArrow(
         _deal(size, buckets), "bucket int, part long, keys binary, sizes binary, counts binary, tokens binary")
     shared = dealt.groupBy("bucket").applyInArrow(
-        _shared, "part long, keys binary, sizes binary, counts binary, tokens binary, frequency binary")
+        _shared, "bucket int, part long, keys binary, sizes binary, counts binary, tokens binary, frequency binary")
     sets = saved(shared.groupBy("part").applyInArrow(
         _candidates(num, den), "key long, n long, shared long, tokens binary, short array<long>"), "candidate-sets")
 
