@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from credlake.llm.common import components, saved, spread_join
 from credlake.llm.words import NON_SPACE, WordHasher, groups, mix, shingles, signed
 
-BUCKET_SHINGLES = 3_000_000
+BUCKET_SHINGLES = 1_500_000
+LIST_WAYS = 4             # salts of a list in joins by token; AQE splits what is still skewed
 SPEAKERS = 8              # members of a component that strangers are probed against first
 _LOW = (1 << 48) - 1
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -242,7 +243,7 @@ def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     mains = (placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
              .groupBy("token").agg(F.max(F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
              .filter("comps > 1").select("token", F.col("main.comp").alias("main")))
-    return spread_join(placed, mains, ["token"], ["e"])
+    return spread_join(placed, mains, ["token"], ["e"], ways=LIST_WAYS)
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> DataFrame:
@@ -266,7 +267,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     entry = F.struct((F.col("n") - F.col("shared")).alias("own"), "key", "n", "shared", "at")
     lists = sets.select("key", "n", "shared", F.posexplode("short").alias("at", "token")).select("token", entry.alias("e"))
     least = lists.groupBy("token").agg(F.min("e").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    lists = saved(spread_join(lists, least, ["token"], ["e"]), "short-lists")
+    lists = saved(spread_join(lists, least, ["token"], ["e"], ways=LIST_WAYS), "short-lists")
     stars = (lists.filter((F.col("e.key") != F.col("hub.key")) & _possible("e", "hub", num, den))
              .select(F.col("e.key").alias("a"), F.col("hub.key").alias("b")).distinct())
     tried = _verified(stars, sets, num, den, "star-pairs")
@@ -290,7 +291,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     mixed = _mixed(lists, components(links, "speakers"))
     others = mixed.filter("comp <> main").select("token", F.col("e").alias("o"), F.col("comp").alias("o_comp"))
     known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = (spread_join(mixed, others, ["token"], ["e"])
+    rest = (spread_join(mixed, others, ["token"], ["e"], ways=LIST_WAYS)
             .filter((F.col("comp") != F.col("o_comp")) & _possible("e", "o", num, den))
             .select(F.greatest("e.key", "o.key").alias("a"), F.least("e.key", "o.key").alias("b")).distinct()
             .join(known, ["a", "b"], "left_anti"))
