@@ -196,34 +196,40 @@ def _line_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _parse(batches):
+def _hash_lines(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
-            pages = [page_lines(h) for h in part.column("html").to_pylist()]
-            columns = [part.column("row_id")]
-            columns.append(pa.array([[t for t, _ in p] for p in pages], pa.list_(pa.string())))
-            columns.append(pa.array([[z for _, z in p] for p in pages], pa.list_(pa.int32())))
-            columns.append(pa.array([[_line_hash(t) for t, _ in p] for p in pages], pa.list_(pa.int64())))
+            hashes = [[_line_hash(t) for t, _ in page_lines(h)] for h in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [columns[0], part.column("page_id"), part.column("url"), *columns[1:]],
-                ["row_id", "page_id", "url", "lines", "zones", "hashes"])
+                [part.column("row_id"), part.column("url"), pa.array(hashes, pa.list_(pa.int64()))], ["row_id", "url", "hashes"])
 
 
-def _difference(batches):
+def _align(batches):
+    """Places of each page's lines on the longest common subsequence with its partner's."""
     for batch in batches:
-        text, shared, deleted = [], [], []
-        for lines, zones, hashes, other in zip(*(batch.column(c).to_pylist() for c in ("lines", "zones", "hashes", "other"))):
-            common = shared_lines(hashes, other) if other is not None and other != hashes else [False] * len(lines)
-            best = max(zones, default=OTHER_ZONE)
-            kept = [t for t, z, c in zip(lines, zones, common) if z == best > BOILER_ZONE and not (c and z == OTHER_ZONE)]
-            text.append("\n\n".join(kept))
-            shared.append(sum(common))
-            deleted.append(len(lines) - len(kept))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()),
-             pa.array(shared, pa.int64()), pa.array(deleted, pa.int64())],
-            ["page_id", "url", "text", "n_shared", "n_deleted"])
+        places = []
+        for mine, theirs in zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist()):
+            common = shared_lines(mine, theirs) if mine != theirs else []
+            places.append([k for k, c in enumerate(common) if c])
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(places, pa.list_(pa.int32()))], ["row_id", "shared"])
+
+
+def _without_shared(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            text, deleted = [], []
+            for html, shared in zip(part.column("html").to_pylist(), part.column("shared").to_pylist()):
+                lines, gone = page_lines(html), set(shared or ())
+                best = max((z for _, z in lines), default=OTHER_ZONE)
+                kept = [t for k, (t, z) in enumerate(lines) if z == best > BOILER_ZONE and not (z == OTHER_ZONE and k in gone)]
+                text.append("\n\n".join(kept))
+                deleted.append(len(lines) - len(kept))
+            shared = pa.array([len(x or ()) for x in part.column("shared").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(text, pa.string()), shared, pa.array(deleted, pa.int64())],
+                ["page_id", "url", "text", "n_shared", "n_deleted"])
 
 
 def nearest_pages(pages: DataFrame) -> DataFrame:
@@ -250,14 +256,20 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared, n_deleted of every row of ``pages``."""
-    parsed = saved(pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"),
-                                F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-                   .mapInArrow(_parse, "row_id long, page_id long, url string, lines array<string>, zones array<int>, "
-                                       "hashes array<long>"), "page-lines")
-    pairs = nearest_pages(parsed.select("row_id", "url"))
-    others = (pairs.join(parsed.select(F.col("row_id").alias("partner"), F.col("hashes").alias("other")), "partner")
-              .select("row_id", "other"))
-    done = (parsed.join(others, "row_id", "left").select("page_id", "url", "lines", "zones", "hashes", "other")
-            .mapInArrow(_difference, "page_id long, url string, text string, n_shared long, n_deleted long"))
+    """page_id, url, text, n_chars, n_shared, n_deleted of every row of ``pages``.
+
+    Alignment works on line hashes; the pages themselves are moved once, to meet
+    the places of their shared lines, and parsed again there.  Rows are known by
+    a hash of all they hold, so equal rows share one alignment.
+    """
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        F.col("html").cast("string").alias("html")).withColumn("row_id", F.xxhash64("page_id", "url", "html"))
+    hashed = saved(rows.select("row_id", "url", "html").mapInArrow(
+        _hash_lines, "row_id long, url string, hashes array<long>").dropDuplicates(["row_id"]), "page-lines")
+    pairs = nearest_pages(hashed.select("row_id", "url"))
+    mine, theirs = (hashed.select(F.col("row_id").alias(i), F.col("hashes").alias(h)) for i, h in (("row_id", "hashes"), ("partner", "other")))
+    shared = (pairs.join(theirs, "partner").join(mine, "row_id").select("row_id", "hashes", "other")
+              .mapInArrow(_align, "row_id long, shared array<int>").filter(F.size("shared") > 0))
+    done = (rows.join(saved(shared, "page-shared"), "row_id", "left").select("page_id", "url", "html", "shared")
+            .mapInArrow(_without_shared, "page_id long, url string, text string, n_shared long, n_deleted long"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")
