@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from credlake.session import work_dir
 
 
+#: rows of an Arrow batch: whole texts travel in batches of a few MB, on both sides
+TEXT_BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +25,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     costs its running tasks, never the work of earlier steps.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
     path = work_dir(spark, f"llm-{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
