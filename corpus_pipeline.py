@@ -25,7 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents whose evidence names no language: text like none of the
     trained languages, or no text and nothing else to go by.
 
-    The lang column is what the source declares; the source is the host.
+    The lang column is what the source declares; the source is the host.  A text
+    whose declared language had too few rows to train stays: nothing here can
+    tell against it.
     """
     model = language.train(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
     if not model.languages:
@@ -34,7 +36,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.select(row.alias("row_id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"),
                        F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"))
     judged = language.identify(rows, model)
-    rejected = judged.filter((F.col("lang") == language.UND) | (F.col("probability") < LEAST_PROBABILITY) | ~F.col("has_text"))
+    trained = F.col("declared").isin([name.lower() for name in model.languages])
+    unheard = language.names_a_language(F.col("declared")) & ~F.coalesce(trained, F.lit(False))
+    unlike = (F.col("lang") == language.UND) | (F.col("probability") < LEAST_PROBABILITY)
+    rejected = judged.filter(unlike & ~unheard | ~F.col("has_text"))
     return without(docs, rejected.select("row_id"), row)
 
 

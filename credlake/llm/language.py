@@ -3,8 +3,9 @@
 Four pieces of evidence meet in one posterior per row:
 
 * the text: byte-trigram likelihoods, trained on a bounded sample of labelled
-  rows (``SAMPLE_ROWS``, the rows with the least id hash; every other number
-  here is counted over all rows), against a flat model for no language (und);
+  rows of every language (about ``SAMPLE_ROWS`` each, those below a hash
+  threshold set by the language's own count; every other number here is counted
+  over all rows), against a flat model for no language (und);
 * the language the markup declares, weighed by how often declarations of that
   value meet each text language over the whole table;
 * the address suffix, weighed the same way;
@@ -32,14 +33,23 @@ from pyspark.sql import functions as F
 from credlake.llm.common import saved, spread_join
 from credlake.llm.words import SLICE, groups, mix
 
-SAMPLE_ROWS = 4000        # labelled rows the text model is fitted on, at most
+SAMPLE_ROWS = 4000        # labelled rows of each language the text model is fitted on, about
 BINS_LOG2 = 16            # hashed trigram bins
-LEAST_LABELLED = 5        # a language needs so many sampled rows
+LEAST_LABELLED = 5        # a language needs so many labelled rows
 TEMPER = 0.25             # trigrams overlap; their evidence counts this much each
 CERTAIN = 60.0            # log odds beyond which text evidence grows no further
 PULL = 8.0                # pseudo-rows a host takes from its domain, a domain from all
 UND = "und"
 
+# ---- fixed values: the two-letter language codes of ISO 639-1 ----
+CODES = set("""
+    aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu
+    fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn
+    ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os
+    pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg sh si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt
+    tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu""".split())
+# ---- end of fixed values ----
+
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[0x41:0x5B] += 32
 
@@ -60,59 +70,63 @@ def _bins(data: np.ndarray, lo: int, hi: int, offsets: np.ndarray) -> tuple[np.n
 @dataclass
 class TextModel:
     languages: list[str]
-    weights: np.ndarray  # [bins, languages + und] log probabilities
+    weights: np.ndarray  # [languages + und, bins] log probabilities
 
 
 def _language_bins(languages: list[str]):
     place = {name: k for k, name in enumerate(languages)}
 
     def run(batches):
-        counts = np.zeros((len(languages), 1 << BINS_LOG2), dtype=np.int64)
+        counts = np.zeros(len(languages) << BINS_LOG2, dtype=np.int64)
         for part, data, offsets in groups(batches, "text"):
             of = np.array([place[x] for x in part.column("lang").to_pylist()])
             for lo in range(0, len(data), SLICE):
                 bins, row = _bins(data, lo, min(len(data), lo + SLICE), offsets)
-                counts += np.bincount(of[row] * (1 << BINS_LOG2) + bins, minlength=counts.size).reshape(counts.shape)
-        k, b = np.nonzero(counts)
+                cells, n = np.unique(of[row] << BINS_LOG2 | bins, return_counts=True)
+                counts[cells] += n
+        used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[k, b], pa.int64())], ["k", "bin", "n"])
+            [pa.array(used >> BINS_LOG2, pa.int32()), pa.array(used & (1 << BINS_LOG2) - 1, pa.int32()),
+             pa.array(counts[used], pa.int64())], ["k", "bin", "n"])
     return run
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Text model from (id, text, lang) rows; nulls and empty labels are left out."""
-    labelled = labelled.filter("text is not null and lang is not null and lang <> ''").select(
-        "text", "lang", F.xxhash64("id").alias("h"))
-    last = labelled.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return TextModel([], np.zeros((1 << BINS_LOG2, 1)))
-    sample = labelled.filter(F.col("h") <= last)
-    names = sorted(r["lang"] for r in sample.groupBy("lang").count().filter(F.col("count") >= LEAST_LABELLED)
-                   .orderBy(F.desc("count"), "lang").limit(64).collect())
-    if not names:
-        return TextModel([], np.zeros((1 << BINS_LOG2, 1)))
-    counted = (sample.filter(F.col("lang").isin(names)).select("text", "lang")
+    """Text model from (id, text, lang) rows, about ``sample_rows`` of each language.
+
+    Nulls, empty labels and texts without a trigram are left out.
+    """
+    labelled = labelled.filter("lang is not null and lang <> '' and octet_length(text) >= 3").select(
+        "text", "lang", F.xxhash64("id", "text").alias("h"))
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).filter(
+        F.col("n") >= LEAST_LABELLED).collect()
+    if not found:
+        return TextModel([], np.zeros((1, 1 << BINS_LOG2)))
+    names = sorted(r["lang"] for r in found)
+    top = (1 << 63) - 1
+    last = [(r["lang"], top if r["n"] <= sample_rows else max(r["least"], (sample_rows << 64) // r["n"] - top - 1)) for r in found]
+    last = labelled.sparkSession.createDataFrame(last, "lang string, last long")
+    counted = (labelled.join(F.broadcast(last), "lang").filter("h <= last").select("text", "lang")
                .mapInArrow(_language_bins(names), "k int, bin int, n long")
                .groupBy("k", "bin").agg(F.sum("n").alias("n")).toArrow())  # bins x languages at most
-    counts = np.zeros((1 << BINS_LOG2, len(names)))
-    counts[counted["bin"].to_numpy(), counted["k"].to_numpy()] = counted["n"].to_numpy()
+    counts = np.zeros((len(names), 1 << BINS_LOG2))
+    counts[counted["k"].to_numpy(), counted["bin"].to_numpy()] = counted["n"].to_numpy()
     flat = 1.0 / (1 << BINS_LOG2)
-    share = (counts + 0.05) / (counts + 0.05).sum(axis=0)
-    weights = np.log(np.c_[share, np.full(1 << BINS_LOG2, flat)])
+    share = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
+    weights = np.log(np.r_[share, np.full((1, 1 << BINS_LOG2), flat)])
     return TextModel(names, weights.astype(np.float32))
 
 
 def _score(model: TextModel):
-    width = model.weights.shape[1]
+    width = model.weights.shape[0]
 
     def run(batches):
         for part, data, offsets in groups(batches, "text"):
             total = np.zeros((part.num_rows, width))
             for lo in range(0, len(data), SLICE):
                 bins, row = _bins(data, lo, min(len(data), lo + SLICE), offsets)
-                found = model.weights[bins]
                 for k in range(width):
-                    total[:, k] += np.bincount(row, weights=found[:, k], minlength=part.num_rows)
+                    total[:, k] += np.bincount(row, weights=model.weights[k][bins], minlength=part.num_rows)
             total = TEMPER * (total - total.max(axis=1, keepdims=True))
             total = np.maximum(total, -CERTAIN)
             best = total.argmax(axis=1)
@@ -185,6 +199,14 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
         (1.0 / weight).alias("probability"))
 
 
+def names_a_language(label: Column) -> Column:
+    """Whether a label's first part is a language's code or name: two letters
+    in use, or more but not one of the codes for none, many or private ones."""
+    first = F.regexp_extract(F.lower(label), "^([a-z]{2,})(?:[-_].*)?$", 1)
+    special = first.rlike("^(und|zxx|mis|mul|q[a-t][a-z])$")
+    return F.coalesce(first.isin(sorted(CODES)) | ((F.length(first) > 2) & ~special), F.lit(False))
+
+
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Evidence rows of web pages (page_id, url, html): markup taken off, the
     declared language, and the parts of the address."""

@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from credlake.llm import bloom_sketch, catalogue, language, licences, page_diff, surrogates
 from tests.llm.helpers import DOCS, rows_of
 
@@ -174,6 +175,35 @@ def test_language_evidence_moves_an_ambiguous_text(spark):
     assert got[1] == "de" and got[2] == "es"
 
 
+def many_languages():
+    """70 invented languages of their own letters, 6 rows each, beside 6000 rows of two others."""
+    def text(k, i):
+        return "".join(chr(0x4E00 + 60 * k + (7 * i + j * j) % 50) for j in range(60))
+    rows = [(i, text(90 + i % 2, i), ("en", "de")[i % 2], "s", 60) for i in range(6000)]
+    return rows + [(10_000 + 100 * k + i, text(k, i), f"x{chr(97 + k // 26)}{chr(97 + k % 26)}", "s", 60) for k in range(70) for i in range(6)]
+
+
+def test_every_labelled_language_is_trained(spark):
+    rows = many_languages()
+    frame = spark.createDataFrame(rows, "id long, text string, lang string, source string, n_chars long")
+    model = language.train(frame)
+    assert model.languages == sorted({r[2] for r in rows}) and len(model.languages) == 72
+    bare = frame.selectExpr("id as row_id", "text", "string(null) as declared", "string(null) as suffix", "string(null) as host", "string(null) as domain")
+    truth = {r[0]: r[2] for r in rows}
+    assert all(truth[r["row_id"]] == r["lang"] for r in language.identify(bare.filter("id >= 9000"), model).collect())
+    few = language.train(frame.filter("id < 6000"), sample_rows=100)
+    assert few.languages == ["de", "en"]
+
+
+def test_pipeline_keeps_texts_of_languages_too_rare_to_train(spark):
+    rare = [(20_001, "ქართული ენა " * 9, "ka", "s", 108), (20_002, "", "ka", "s", 0), (20_003, "አማርኛ ቋንቋ " * 9, "amh-Ethi", "s", 90),
+            (20_004, "一丁丂" * 50, "zz", "s", 150), (20_005, "一丁丂" * 50, "und", "s", 150)]
+    docs = spark.createDataFrame([(i, f"the cat and the dog went to number {i}", "en", "s", 9) for i in range(40)] + rare,
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
+    assert kept == {*range(40), 20_001, 20_003}
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://m.News.example.co.uk:80/a?b", "<!-- x --><HTML class=a lang='EN-gb'><p>hi"), (2, None, None)],
                                   "page_id long, url string, html string")
