@@ -4,10 +4,13 @@ A document is the set of its distinct word shingles.  Two documents link when
 ``100 * |A & B| >= threshold * |A | B|``.  Equal sets are one class from the
 start; the join runs on classes:
 
-1. Every class's shingles are dealt to buckets of the hash space, and each
-   bucket (a few million shingles, however large the corpus) is inverted: a
-   shingle's list length is its document frequency.  Shingles of one class
-   alone can be in no intersection and go no further.
+1. Classes are dealt to parts by their key, each task sending the first text it
+   meets of a class, so a hot class is one row per task.  A part counts its
+   classes by shingle and deals the counts to buckets of the hash space: a
+   shingle in a third of all documents is one entry per part.  A bucket adds
+   the counts up and answers each part with the frequencies of its shingles;
+   no list of a shingle's classes is made.  Shingles of one class alone can be
+   in no intersection and go no further.
 2. A partner must share at least T = ceil(threshold * n) of a class's n
    shingles, so classes with fewer shared shingles have no link.
 3. DivideSkip: of a class's inverted lists, taken from short to long, the last
@@ -34,7 +37,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ from credlake.llm.common import components, saved, spread_join
 from credlake.llm.words import NON_SPACE, WordHasher, groups, mix, shingles, signed
 
 BUCKET_SHINGLES = 1_500_000
+PART_SHINGLES = 500_000   # of the classes that are counted together before the shuffle
 LIST_WAYS = 4             # salts of a list in joins by token; AQE splits what is still skewed
 SPEAKERS = 8              # members of a component that strangers are probed against first
 _LOW = (1 << 48) - 1
@@ -78,30 +81,50 @@ def _classes(size: int):
     return run
 
 
-def _deal(size: int, buckets: int):
-    """Shingles dealt to buckets: one row per bucket and group of documents."""
+def _firsts(size: int, parts: int):
+    """The first text of every class a task meets, and the part of the class."""
     def run(batches):
-        task = TaskContext.get().partitionId() << 32
-        for number, (_, sets) in enumerate(_document_sets(batches, size)):
-            counts = np.array([len(s) for s in sets], dtype=np.int64)
-            tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            keys = np.array([_key(s) for s in sets], dtype=np.int64)
-            owner = np.repeat(np.arange(len(sets)), counts)
-            bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(edges))
-            out = []
-            for b in used:
-                lo, hi = edges[b], edges[b + 1]
-                who, many = np.unique(owner[lo:hi], return_counts=True)
-                low = tokens[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6]
-                out.append((keys[who].tobytes(), counts[who].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), low.tobytes()))
+        seen = set()
+        for group, sets in _document_sets(batches, size):
+            rows, keys = [], []
+            for row, found in enumerate(sets):
+                if len(found) and (key := _key(found)) not in seen:
+                    seen.add(key)
+                    rows.append(row)
+                    keys.append(key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([task + number] * len(used), pa.int64()),
-                 *(pa.array([r[k] for r in out], pa.binary()) for k in range(4))],
-                ["bucket", "part", "keys", "sizes", "counts", "tokens"])
+                [pa.array([key % parts for key in keys], pa.int32()), pa.array(keys, pa.int64()),
+                 group.column("text").take(pa.array(rows, pa.int64()))], ["part", "key", "text"])
+    return run
+
+
+def _part_sets(table: pa.Table, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys and shingles of the classes of a part, each class once, by key."""
+    keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
+    batches = table.select(["text"]).take(pa.array(first)).to_batches()
+    return keys, [found for _, sets in _document_sets(batches, size) for found in sets]
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return numbers.astype(np.min_scalar_type(numbers.max())).tobytes()
+
+
+def _unpacked(table: pa.Table, column: str) -> np.ndarray:
+    """The packed numbers of all rows; column n has how many a row holds."""
+    return np.concatenate([np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
+                           for raw, n in zip(table.column(column).to_pylist(), table.column("n").to_pylist())])
+
+
+def _deal(size: int, buckets: int):
+    """A part's distinct shingles dealt to buckets, with how many of its classes hold them."""
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        tokens, counts = np.unique(np.concatenate(_part_sets(table, size)[1]), return_counts=True)
+        bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending
+        out = [(bucket[lo], part, hi - lo, tokens[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), _packed(counts[lo:hi]))
+               for lo, hi in zip(*_runs(bucket))]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["bucket", "part", "n", "tokens", "counts"])
     return run
 
 
@@ -118,42 +141,12 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Invert one bucket.  Back to each group of documents: its classes' shingles
-    that two classes or more hold, and how many hold them.
-
-    Copies of a class hold the same shingles; the class counts once, for the
-    first of its groups.
-    """
-    bucket = table.column("bucket")[0].as_py()
-    keys, sizes, counts = _read(table, "keys", np.int64), _read(table, "sizes", np.uint32), _read(table, "counts", np.uint32)
-    parts = table.column("part").to_numpy()
-    part = np.repeat(parts, [len(k) // 8 for k in table.column("keys").to_pylist()])
-    tokens = _widened(_read(table, "tokens", np.uint8))
-    order = np.lexsort((part, keys))
-    first = order[_runs(keys[order])[0]]
-    alone = np.zeros(len(keys), bool)
-    alone[first] = True
-    keep = np.repeat(alone, counts)
-    owner = np.repeat(np.arange(len(keys)), counts)[keep]
-    tokens = tokens[keep]
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    begins, ends = _runs(tokens)
-    frequency = np.repeat(ends - begins, ends - begins)
-    common = frequency > 1
-    tokens, owner = tokens[common], owner[common]
-    frequency = np.minimum(frequency[common], 255).astype(np.uint8)  # only orders shingles by rarity
-    order = np.lexsort((owner, part[owner]))
-    tokens, owner, frequency = tokens[order], owner[order], frequency[order]
-    out = []
-    for lo, hi in zip(*_runs(part[owner])):
-        begins, ends = _runs(owner[lo:hi])
-        who = owner[lo:hi][begins]
-        out.append((bucket, part[who[0]], keys[who].tobytes(), sizes[who].tobytes(), (ends - begins).astype(np.uint32).tobytes(),
-                    tokens[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), frequency[lo:hi].tobytes()))
-    types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
-    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
-                    ["bucket", "part", "keys", "sizes", "counts", "tokens", "frequency"])
+    """How many classes hold each shingle of a bucket, to each part in its own order."""
+    _, place = np.unique(_widened(_read(table, "tokens", np.uint8)), return_inverse=True)
+    frequency = np.bincount(place, weights=_unpacked(table, "counts")).astype(np.int64)[place]
+    ends = np.cumsum(table.column("n").to_numpy())
+    packed = [_packed(frequency[lo:hi]) for lo, hi in zip(np.r_[0, ends[:-1]], ends)]
+    return table.select(["bucket", "part", "n"]).append_column("frequency", pa.array(packed, pa.binary()))
 
 
 def _widened(raw: np.ndarray) -> np.ndarray:
@@ -163,25 +156,21 @@ def _widened(raw: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _candidates(num: int, den: int):
-    """Of one group of documents, the classes that share enough shingles: their
-    shared shingles from rare to frequent, and the short part of their lists."""
-    def run(table: pa.Table) -> pa.Table:
-        keys, sizes, counts = _read(table, "keys", np.int64), _read(table, "sizes", np.uint32), _read(table, "counts", np.uint32)
-        owner = np.repeat(keys, counts)
-        frequency = _read(table, "frequency", np.uint8)
-        bucket = np.repeat(table.column("bucket").to_numpy(), [len(f) for f in table.column("frequency").to_pylist()])
-        tokens = mix(_widened(_read(table, "tokens", np.uint8)) ^ ((bucket + 1).astype(np.uint64) * _ODD))
-        order = np.lexsort((tokens, frequency, owner))
-        owner, tokens = owner[order], tokens[order]
-        size_of = dict(zip(keys.tolist(), sizes.tolist()))
+def _candidates(size: int, num: int, den: int):
+    """Of one part, the classes that share enough shingles: their shared
+    shingles from rare to frequent, and the short part of their lists."""
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, sets = _part_sets(table, size)
+        tokens = np.unique(np.concatenate(sets))
+        frequency = _unpacked(answers.sort_by("bucket"), "frequency")  # buckets and shingles ascend together
         out = []
-        for lo, hi in zip(*_runs(owner)):
-            key = int(owner[lo])
-            needed = -(-num * size_of[key] // den)
-            if hi - lo >= needed:
-                mine = tokens[lo:hi]
-                out.append((key, size_of[key], hi - lo, mine.tobytes(), signed(mine[:len(mine) - needed + 1]).tolist()))
+        for key, mine in zip(keys.tolist(), sets):
+            n, needed = len(mine), -(-num * len(mine) // den)
+            often = frequency[np.searchsorted(tokens, mine)]
+            mine, often = mine[often > 1], often[often > 1]
+            if len(mine) >= needed:
+                mine = mine[np.lexsort((mine, often))]
+                out.append((key, n, len(mine), mine.tobytes(), signed(mine[:len(mine) - needed + 1]).tolist()))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
                         ["key", "n", "shared", "tokens", "short"])
@@ -254,14 +243,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 75) -> D
     classes = saved(rows.filter("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "shingle-classes")
 
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_SHINGLES))
-    dealt = texts.select("text").mapInArrow(
-        _deal(size, buckets), "bucket int, part long, keys binary, sizes binary, counts binary, tokens binary")
-    shared = dealt.groupBy("bucket").applyInArrow(
-        _shared, "bucket int, part long, keys binary, sizes binary, counts binary, tokens binary, frequency binary")
-    sets = saved(shared.groupBy("part").applyInArrow(
-        _candidates(num, den), "key long, n long, shared long, tokens binary, short array<long>"), "candidate-sets")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets, parts = max(1, -(-total // BUCKET_SHINGLES)), max(1, -(-total // PART_SHINGLES))
+    owned = texts.select("text").mapInArrow(_firsts(size, parts), "part int, key long, text string")
+    dealt = owned.groupBy("part").applyInArrow(_deal(size, buckets), "bucket int, part int, n long, tokens binary, counts binary")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "bucket int, part int, n long, frequency binary")
+    sets = saved(owned.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
+        _candidates(size, num, den), "key long, n long, shared long, tokens binary, short array<long>"), "candidate-sets")
 
     # every member of a list against the member with the fewest shingles of its own
     entry = F.struct((F.col("n") - F.col("shared")).alias("own"), "key", "n", "shared", "at")

@@ -77,6 +77,22 @@ def test_jaccard_small_buckets_repeats_and_empty(spark, monkeypatch):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_jaccard_hot_shingles_and_copies_do_not_meet_in_one_bucket(spark, monkeypatch):
+    shared, most = jaccard_join._shared, 900
+
+    def bounded(table):
+        entries = sum(len(t) // 6 for t in table.column("tokens").to_pylist())
+        assert entries <= most, entries
+        return shared(table)
+
+    monkeypatch.setattr(jaccard_join, "_shared", bounded)
+    monkeypatch.setattr(jaccard_join, "BUCKET_SHINGLES", 500)
+    rows = [(i, "one passage of every text here " + " ".join(f"w{i}x{j}" for j in range(3))) for i in range(1200)]
+    rows += [(5000 + i, "the very same text given again and again") for i in range(1200)]
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == helpers.jaccard_components(rows)
+
+
 def test_overlap_stops_early_but_is_exact_when_reached():
     draw = np.random.default_rng(1)
     for _ in range(200):
