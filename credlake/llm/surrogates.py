@@ -12,7 +12,12 @@ written; names are replaced word by word, so "Mr X" and "Mr Y X" agree on X.
 Collision check: the distinct entities are proposed surrogates; where two
 entities of a type get the same, or one gets another entity's real value, all
 but the first are proposed again with a higher attempt number, until none
-collide.  Attempts widen the name forms, so their space does not run out.
+collide.  Attempts widen names, e-mails, settings and keys, so their space does
+not run out.  The other kinds have a fixed width: where a form is so crowded
+that entities still collide after ``RING_AFTER`` attempts (the real values fill
+a large part of all there are), those entities stand in a keyed ring by kind
+and form, and each takes the real value of the next.  Only there is a
+surrogate another entity's real value; it is never its own, and still distinct.
 
 Only the documents that hold entities are exploded and joined; the join to the
 surrogates is salted, since one entity may stand in a third of all documents.
@@ -23,10 +28,16 @@ every column of the input but the text is carried along untouched.
 """
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import saved, spread_join
+from credlake.llm.common import ordered_index, saved, spread_join
+
+RING_AFTER = 30           # attempts after which crowded entities of a fixed width take each other's values
+WIDEN_AFTER = 3           # attempts after which e-mails, settings and keys grow by a letter each
+FIXED_WIDTH = ("ipv4", "ipv6", "iban", "ssn", "card", "phone")
 
 # ---- fixed values: forms of personal data ----
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
@@ -108,19 +119,27 @@ def _card(digits: Column, seed: Column) -> Column:
     drawn = _digits_like(digits, seed, 1)
     payload = F.left(drawn, F.length(drawn) - 1)
     check = _check_digit(payload)
-    valid = F.right(digits, F.lit(1)).cast("int") == _check_digit(F.left(digits, F.length(digits) - 1))
     other = F.pmod(check + 1 + _draw(seed, "last", 9), F.lit(10))
-    return F.concat(payload, F.when(valid, check).otherwise(other).cast("string"))
+    return F.concat(payload, F.when(_luhn(digits), check).otherwise(other).cast("string"))
 
 
-def _iban(value: Column, seed: Column) -> Column:
-    """Same country and length, redrawn account, valid check digits (mod 97)."""
-    country, account = F.left(value, F.lit(2)), _like(F.substr(value, F.lit(5)), seed)
+def _luhn(digits: Column) -> Column:
+    return F.right(digits, F.lit(1)).cast("int") == _check_digit(F.left(digits, F.length(digits) - 1))
+
+
+def _iban_check(country: Column, account: Column) -> Column:
+    """The check digits (mod 97) of an account."""
     number = F.concat(account, country, F.lit("00"))
     rest = F.aggregate(F.split(number, ""), F.lit(0), lambda a, c: F.when(
         c.rlike("[0-9]"), F.pmod(a * 10 + F.try_to_number(c, F.lit("9")).cast("int"), F.lit(97))).otherwise(
         F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))))
-    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
+def _iban(value: Column, seed: Column) -> Column:
+    """Same country and length, redrawn account, valid check digits."""
+    country, account = F.left(value, F.lit(2)), _like(F.substr(value, F.lit(5)), seed)
+    return F.concat(country, _iban_check(country, account), account)
 
 
 def _octets(value: Column, seed: Column) -> Column:
@@ -174,34 +193,74 @@ def _entities(match: Column) -> Column:
             .otherwise(F.array(entity(F.lit("family"), F.get(words, F.lit(0))))))
 
 
+def _wider(seed: Column, attempt: Column) -> Column:
+    """Letters that late attempts put before a value."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(attempt - WIDEN_AFTER, F.lit(0))), lambda i: F.when(i == 0, "").otherwise(
+        F.substr(F.lit(LOWER), _draw(seed, F.concat(F.lit("w"), i.cast("string")), 26) + 1, F.lit(1)))), "")
+
+
 def _proposal(key: str) -> Column:
     """Canonical surrogate of the columns kind, canon, attempt."""
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon), 256)
     prefix = F.regexp_extract(canon, "^(AKIA|gh[pousr]_|sk-|xox[abpr]-)", 1)
-    return (F.when(kind == "email", _email(canon, seed))
-            .when(kind == "key", F.concat(prefix, _like(F.substr(canon, F.length(prefix) + 1), seed)))
+    wider = _wider(seed, attempt)
+    return (F.when(kind == "email", F.concat(wider, _email(canon, seed)))
+            .when(kind == "key", F.concat(prefix, wider, _like(F.substr(canon, F.length(prefix) + 1), seed)))
             .when(kind == "ipv4", _octets(canon, seed)).when(kind == "iban", _iban(canon, seed))
             .when(kind == "ssn", _digits_like(canon, seed, 0)).when(kind == "card", _card(canon, seed))
-            .when(kind == "phone", _digits_like(canon, seed, 2))
-            .when(kind.isin("setting", "ipv6"), _like(canon, seed))
+            .when(kind == "phone", _digits_like(canon, seed, 2)).when(kind == "ipv6", _like(canon, seed))
+            .when(kind == "setting", F.concat(wider, _like(canon, seed)))
             .otherwise(_name(canon, kind, seed, attempt)))
 
 
-def assign(entities: DataFrame, key: str, most_attempts: int = 30) -> DataFrame:
-    """(kind, canon, surrogate) with distinct surrogates per kind, none of them a real value."""
-    entities = saved(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
-    for attempt in range(most_attempts):
-        proposed = saved(entities.withColumn("surrogate", _proposal(key)), "proposals")
+def _form(kind: Column, canon: Column) -> Column:
+    """What a surrogate of a fixed width keeps of its value: two values of one form may stand for each other."""
+    classes = F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), "[a-z]", "a")
+    account = F.substr(canon, F.lit(5))
+    iban = F.concat(F.left(canon, F.lit(2)), (F.substr(canon, F.lit(3), F.lit(2)) == _iban_check(F.left(canon, F.lit(2)), account)).cast("string"),
+                    F.regexp_replace(F.regexp_replace(account, "[0-9]", "0"), "[A-Z]", "A"))
+    return (F.when(kind == "iban", iban).when(kind == "card", F.concat_ws("|", F.left(canon, F.lit(1)), F.length(canon), _luhn(canon)))
+            .when(kind == "phone", F.concat_ws("|", F.left(canon, F.lit(2)), F.length(canon)))
+            .otherwise(classes))
+
+
+def _rings(judged: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, ring) of the entities that still collide and have a fixed
+    width, with one settled entity of each form among them: the next one's
+    real value.  An entity alone in its form is left out."""
+    placed = saved(judged.filter(F.col("kind").isin(*FIXED_WIDTH)).select(
+        "kind", "canon", "again", _form(F.col("kind"), F.col("canon")).alias("form"),
+        F.sha2(F.concat_ws("|", F.lit(key), F.lit("ring"), "kind", "canon"), 256).alias("place")), "forms")
+    left = placed.filter("again").select("kind", "form").distinct()
+    mates = (placed.filter("not again").join(left, ["kind", "form"], "left_semi").groupBy("kind", "form")
+             .agg(F.min(F.struct("place", "canon")).alias("mate")).select("kind", "mate.canon", "form", "mate.place"))
+    members = placed.filter("again").select("kind", "canon", "form", "place").unionByName(mates)
+    order = [F.col(c) for c in ("kind", "form", "place", "canon")]
+    ring = saved(ordered_index(members, order, "ring-order", "at"), "ring")
+    ends = ring.groupBy("kind", "form").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi")
+    return (spread_join(ring, ends, ["kind", "form"], ["canon"])
+            .select("kind", "canon", F.when(F.col("at") == F.col("hi"), F.col("lo")).otherwise(F.col("at") + 1).alias("next"))
+            .join(ring.select(F.col("at").alias("next"), F.col("canon").alias("ring")), "next").select("kind", "canon", "ring"))
+
+
+def assign(entities: DataFrame, key: str, most_attempts: int = RING_AFTER) -> DataFrame:
+    """(kind, canon, surrogate) with distinct surrogates per kind, none its own
+    value, and none another's real value but in rings (see above)."""
+    ring = F.lit(None).cast("string").alias("ring")
+    entities = saved(entities.select("kind", "canon").distinct().select("*", F.lit(0).alias("attempt"), ring), "entities")
+    for attempt in itertools.count(1):
+        proposed = saved(entities.withColumn("surrogate", F.coalesce("ring", _proposal(key))), "proposals")
         first = proposed.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"))
         real = entities.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
         judged = (proposed.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-                  .withColumn("again", F.coalesce("real", F.lit(False)) | (F.col("first.canon") != F.col("canon"))))
-        again = judged.filter("again").select("kind", "canon")
-        if again.isEmpty():
+                  .withColumn("again", F.col("ring").isNull() & (F.coalesce("real", F.lit(False)) | (F.col("first.canon") != F.col("canon")))))
+        if judged.filter("again").isEmpty():
             return proposed.select("kind", "canon", "surrogate")
-        entities = saved(judged.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")), "entities")
-    raise RuntimeError("surrogates still collide; the space of a kind is too small")
+        told = judged.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "ring", "again")
+        if attempt == most_attempts:
+            told = told.drop("ring").join(_rings(told, key), ["kind", "canon"], "left")
+        entities = saved(told.select("kind", "canon", "attempt", "ring"), "entities")
 
 
 def _laid_out(match: Column, surrogates: Column) -> Column:

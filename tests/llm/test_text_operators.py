@@ -77,6 +77,22 @@ def test_surrogates_stay_distinct_when_the_space_is_crowded(spark):
     assert not any((r["kind"], r["surrogate"]) in real for r in out)
 
 
+def test_surrogates_of_full_forms_are_whole_and_distinct(spark):
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]        # all of them
+    phones = [f"+1{n:04d}" for n in range(0, 10_000, 2)]                                                         # half of them
+    emails = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz_"]
+    pairs = ([("ipv4", v) for v in ips] + [("phone", v) for v in phones] + [("email", v) for v in emails]
+             + [("setting", "......"), ("key", "sk-" + "-" * 20), ("ipv4", "200.200.200.200")])
+    out = surrogates.assign(spark.createDataFrame(pairs, "kind string, canon string"), "k", most_attempts=6).collect()
+    assert sorted((r["kind"], r["canon"]) for r in out) == sorted(pairs)
+    assert len({(r["kind"], r["surrogate"]) for r in out}) == len(out) and all(r["surrogate"] != r["canon"] for r in out)
+    form = {"ipv4": r"\d\.\d\.\d\.\d|[12]\d\d\.\d{3}\.\d{3}\.\d{3}", "phone": r"\+1\d{4}", "email": r"[a-z]*[a-z_]@example\.com",
+            "setting": r"[a-z]+\.{6}", "key": r"sk-[a-z]+-{20}"}
+    assert all(re.fullmatch(form[r["kind"]], r["surrogate"]) for r in out)
+    text = spark.createDataFrame([(1, "write to _@example.com, pwd=...... or 1.2.3.4")], "doc_id long, text string")
+    assert re.fullmatch(r"write to [a-z]+_@example\.com, pwd=[a-z]+\.{6} or \d\.\d\.\d\.\d", surrogates.replace_pii(text, "k").first()["text"])
+
+
 def test_surrogates_over_documents_leave_the_rest_alone(spark):
     out = {r["doc_id"]: r for r in catalogue.op1_pii_surrogates(spark, SF).collect()}
     secret = re.compile(r"[\w.]+@mail\d|\(\d{3}\) 555-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|AKIA\w{16}|[0-9a-f]{40}", re.I)
