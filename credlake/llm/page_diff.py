@@ -16,9 +16,16 @@ the text of pages that declare no article.
 Pages are paired through one total order, so a host with a third of all pages
 is spread over range partitions; every page is a partner of two others at most.
 
+A partner that shares more than half the text of a page without an article may
+be a near copy (a print view, a revision), and a copy tells nothing.  Such a
+page is aligned with pages of its host further off, 1, 2, 4 ... places to both
+sides, until one shares less, whose lines count then.  Where none does, only
+lines shared with all of them go, if they are ``MANY`` pages at least or the
+lines are three quarters of the text at most.
+
 Edge cases: null or empty html, and pages with nothing but boilerplate, give
-empty text; a host with one page, and a partner with the very same lines (a
-copy, which tells nothing), delete nothing; a null url is a host of its own;
+empty text; a host with one page, or with copies of one page only, deletes
+nothing; a null url is a host of its own;
 repeated rows are pages like any other; unclosed and misnested markup ends
 where its parent ends.
 """
@@ -196,23 +203,38 @@ def _line_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+MANY = 3  # pages that must agree where each shares most of a page's text
+
+
+def _open_chars(lines: list[tuple[str, int]]) -> list[int] | None:
+    """Characters of the lines that sharing decides about; None if an article is declared."""
+    if max((z for _, z in lines), default=OTHER_ZONE) > OTHER_ZONE:
+        return None
+    return [len(t) if z == OTHER_ZONE else 0 for t, z in lines]
+
+
 def _hash_lines(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
-            hashes = [[_line_hash(t) for t, _ in page_lines(h)] for h in part.column("html").to_pylist()]
+            lines = [page_lines(h) for h in part.column("html").to_pylist()]
+            hashes = [[_line_hash(t) for t, _ in page] for page in lines]
             yield pa.RecordBatch.from_arrays(
-                [part.column("row_id"), part.column("url"), pa.array(hashes, pa.list_(pa.int64()))], ["row_id", "url", "hashes"])
+                [part.column("row_id"), part.column("url"), pa.array(hashes, pa.list_(pa.int64())),
+                 pa.array([_open_chars(page) for page in lines], pa.list_(pa.int32()))], ["row_id", "url", "hashes", "chars"])
 
 
 def _align(batches):
-    """Places of each page's lines on the longest common subsequence with its partner's."""
+    """Places of each page's lines on the longest common subsequence with its
+    partner's, and whether they are most of the text that sharing decides about."""
     for batch in batches:
-        places = []
-        for mine, theirs in zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist()):
-            common = shared_lines(mine, theirs) if mine != theirs else []
+        places, copies = [], []
+        for mine, theirs, chars in zip(*(batch.column(c).to_pylist() for c in ("hashes", "other", "chars"))):
+            common = shared_lines(mine, theirs) if mine != theirs else [chars is not None] * len(mine)
             places.append([k for k, c in enumerate(common) if c])
-        yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(places, pa.list_(pa.int32()))], ["row_id", "shared"])
+            copies.append(chars is not None and 2 * sum(chars[k] for k in places[-1]) > sum(chars))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_id"), pa.array(places, pa.list_(pa.int32())), pa.array(copies, pa.bool_())], ["row_id", "shared", "copy"])
 
 
 def _without_shared(batches):
@@ -232,15 +254,18 @@ def _without_shared(batches):
                 ["page_id", "url", "text", "n_shared", "n_deleted"])
 
 
-def nearest_pages(pages: DataFrame) -> DataFrame:
-    """(row_id, partner) by host and path: the neighbour with the longer common path."""
+def placed_pages(pages: DataFrame) -> DataFrame:
+    """row_id, host, path and the place ``at`` by host and path."""
     url = F.coalesce(F.col("url"), F.lit(""))
     address = F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(address, "^([^/?#]*)", 1))
     path = F.regexp_extract(address, "^[^/?#]*([^?#]*)", 1)
     keys = pages.select("row_id", host.alias("host"), path.alias("path"))
-    placed = ordered_index(keys, [F.col("host"), F.col("path"), F.col("row_id")], "page-order", "at")
+    return ordered_index(keys, [F.col("host"), F.col("path"), F.col("row_id")], "page-order", "at")
+
 
+def nearest_pages(placed: DataFrame) -> DataFrame:
+    """(row_id, partner): the neighbour of the host with the longer common path."""
     def beside(step: int, name: str) -> DataFrame:
         return placed.select((F.col("at") + step).alias("at"), F.struct("row_id", "host", "path").alias(name))
 
@@ -255,6 +280,39 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
                        .otherwise(F.col("after.row_id")).alias("partner")).filter("partner is not null")
 
 
+def _past_copies(copies: DataFrame, placed: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(row_id, shared) of pages whose nearest page may be a copy, by pages further off."""
+    spots = placed.select("row_id", "at", "host")
+    state = saved(copies.join(spots, "row_id").select(
+        "row_id", "at", "host", F.lit(None).cast("array<int>").alias("gone"), F.lit(0).alias("n")), "page-copies")
+    theirs = hashed.select(F.col("row_id").alias("partner"), F.col("hashes").alias("other"))
+    others = spots.select(F.col("at").alias("there"), F.col("host").alias("host_there"), F.col("row_id").alias("partner"))
+    settled, step = state.limit(0).select("row_id", F.col("gone").alias("shared")), 1
+    while not state.isEmpty():
+        sides = state.select("row_id", "host", F.explode(F.array(F.col("at") - step, F.col("at") + step)).alias("there"))
+        asked = sides.join(others, "there").filter("host = host_there").select("row_id", "partner")
+        told = saved(asked.join(theirs, "partner").join(hashed.select("row_id", "hashes", "chars"), "row_id")
+                     .select("row_id", "hashes", "other", "chars")
+                     .mapInArrow(_align, "row_id long, shared array<int>, copy boolean"), "page-further")
+        if told.isEmpty():
+            break
+        best = told.groupBy("row_id").agg(F.min(F.when(~F.col("copy"), F.col("shared"))).alias("shared"),
+                                          F.min("shared").alias("one"), F.max("shared").alias("two"), F.count(F.lit(1)).alias("more"))
+        joined = saved(state.join(best, "row_id", "left"), "page-judged")
+        settled = settled.union(joined.filter("shared is not null").select("row_id", "shared"))
+        both = F.array_intersect("one", "two")
+        state = joined.filter("shared is null").select(
+            "row_id", "at", "host", F.when(F.col("one").isNull(), F.col("gone")).when(F.col("gone").isNull(), both)
+            .otherwise(F.array_intersect("gone", both)).alias("gone"), (F.col("n") + F.coalesce("more", F.lit(0))).cast("int").alias("n"))
+        step *= 2
+    total = lambda numbers: F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+    gone = F.transform("gone", lambda k: F.get("chars", k))
+    few = 4 * total(gone) <= 3 * total(F.col("chars"))
+    agreed = (F.col("n") >= MANY) & (F.size("gone") < F.size("chars"))
+    return settled.union(state.join(hashed.select("row_id", "chars"), "row_id").filter(agreed | few)
+                         .select("row_id", F.col("gone").alias("shared")))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared, n_deleted of every row of ``pages``.
 
@@ -265,11 +323,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html")).withColumn("row_id", F.xxhash64("page_id", "url", "html"))
     hashed = saved(rows.select("row_id", "url", "html").mapInArrow(
-        _hash_lines, "row_id long, url string, hashes array<long>").dropDuplicates(["row_id"]), "page-lines")
-    pairs = nearest_pages(hashed.select("row_id", "url"))
-    mine, theirs = (hashed.select(F.col("row_id").alias(i), F.col("hashes").alias(h)) for i, h in (("row_id", "hashes"), ("partner", "other")))
-    shared = (pairs.join(theirs, "partner").join(mine, "row_id").select("row_id", "hashes", "other")
-              .mapInArrow(_align, "row_id long, shared array<int>").filter(F.size("shared") > 0))
-    done = (rows.join(saved(shared, "page-shared"), "row_id", "left").select("page_id", "url", "html", "shared")
+        _hash_lines, "row_id long, url string, hashes array<long>, chars array<int>").dropDuplicates(["row_id"]), "page-lines")
+    placed = placed_pages(hashed.select("row_id", "url"))
+    mine, theirs = hashed.select("row_id", "hashes", "chars"), hashed.select(F.col("row_id").alias("partner"), F.col("hashes").alias("other"))
+    tried = saved(nearest_pages(placed).join(theirs, "partner").join(mine, "row_id").select("row_id", "hashes", "other", "chars")
+                  .mapInArrow(_align, "row_id long, shared array<int>, copy boolean").filter(F.size("shared") > 0), "page-aligned")
+    shared = tried.filter("not copy").select("row_id", "shared")
+    copies = tried.filter("copy").select("row_id")
+    if not copies.isEmpty():
+        shared = shared.union(_past_copies(copies, placed, hashed))
+    done = (rows.join(shared, "row_id", "left").select("page_id", "url", "html", "shared")
             .mapInArrow(_without_shared, "page_id long, url string, text string, n_shared long, n_deleted long"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")

@@ -147,6 +147,24 @@ def test_main_text_edges(spark):
     assert page_diff.main_text(spark.createDataFrame([], "page_id long, url string, html string, row_id int")).count() == 0
 
 
+def test_main_text_keeps_articles_beside_near_copies(spark):
+    def page(*text):
+        return "<body>" + "".join(f"<p>{t}</p>" for t in ("Home of news", *text, "All about us")) + "</body>"
+    def story(k):
+        return [f"Story {k} goes on with line {j} and some more words" for j in range(8)]
+    rows = [(1, "http://h/a", page(*story(1))), (2, "http://h/a/print", page(*story(1)[:7], "a changed last line of the story")),
+            (3, "http://h/b", page(*story(2))), (4, "http://h/c", page(*story(3))),
+            (5, "http://two/a", page(*story(4))), (6, "http://two/a/print", page(*story(4), "printed"))]
+    got = {r["page_id"]: r["text"] for r in page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].split("\n\n") == story(1) and got[3].split("\n\n") == story(2) and got[4].split("\n\n") == story(3)
+    assert got[2].split("\n\n") == [*story(1)[:7], "a changed last line of the story"]
+    assert all(t in got[5] and t in got[6] for t in story(4))
+    heavy = [f"A long line of the site's own text, number {j}, on each of its pages" for j in range(9)]
+    rows = [(k, f"http://h/{k}", page(*heavy, f"short {k}")) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"short {k}" for k in range(12)}
+
+
 def test_main_text_of_given_pages_is_the_article(spark):
     out = {r["page_id"]: r["text"] for r in catalogue.op2_page_differencing(spark, SF).collect()}
     for page, html in rows_of(SF, "pages", "page_id, html"):
