@@ -4,8 +4,10 @@ A text is brought to a canonical form -- lower case, copyright lines out,
 equivalent spellings made one, punctuation and spacing to single blanks --
 and the SHA-256 of the whole form is hash-joined to the digests of known
 licences.  The same digest lookup runs on each whole line that speaks of a
-licence, which finds one-line notices inside a document.  The catalogue is a
-fixed list of a few texts, so its side of the join is bounded.
+licence (on every line, if the catalogue holds a notice that does not), which
+finds one-line notices inside a document.  The catalogue is a DataFrame that a
+caller may replace; its digests are broadcast.  The one given here has short
+licences below and the long ones as files in ``licence_texts``.
 
 Edge cases: null or empty text, and text with nothing left after the
 normalisation, match no licence and have a null digest; a text of any length
@@ -14,6 +16,8 @@ one row per input row, whatever extra columns the input carries.
 """
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +103,35 @@ LICENCES = (
     ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "notice", "Released under CC0 1.0."),
 )
+BSD3 = BSD2.replace("2-Clause", "3-Clause").replace("""
+
+THIS SOFTWARE""", """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE""")
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+MORE_TEXTS = (
+    ("BSD-3-Clause", "text", BSD3), ("BSD-3-Clause", "text", BSD3.split("\n\n", 1)[1]),
+    ("Unlicense", "text", UNLICENSE), ("Unlicense", "text", UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org/>"),
+    ("Unlicense", "text", UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"),
+)
 # ---- end of fixed values ----
+#: where a long licence's terms end and advice on using it begins: documents hold it with or without the latter
+TERMS_END = "END OF TERMS AND CONDITIONS"
 
 
 def spelling(text: Column) -> Column:
@@ -126,26 +158,50 @@ def digest(form: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """digest, license_id, scope ('text' or 'notice') of the catalogue."""
-    known = spark.createDataFrame(list(LICENCES), "license_id string, scope string, body string")
-    return (known.select(digest(canonical_text(F.col("body"))).alias("digest"), "license_id", "scope")
-            .dropDuplicates(["digest", "scope"]))
+def long_texts() -> list[tuple[str, str, str]]:
+    """The licences in ``licence_texts``, whole and without what follows their terms."""
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            body, name = file.read_text(encoding="utf-8"), file.name.removesuffix(".txt")
+            out.append((name, "text", body))
+            if TERMS_END in body:
+                terms = body.split(TERMS_END)[0]
+                out += [(name, "text", terms), (name, "text", terms + TERMS_END)]
+    return out
+
+
+def known_licences(spark: SparkSession) -> DataFrame:
+    """license_id, scope ('text' or 'notice') and body of the given catalogue."""
+    return spark.createDataFrame([*LICENCES, *MORE_TEXTS, *long_texts()], "license_id string, scope string, body string")
+
 
+def known_digests(known: DataFrame) -> DataFrame:
+    """digest, scope, license_id of a catalogue; of licences with one canonical text, the least id."""
+    form = F.when(F.col("scope") == "notice", canonical_line(F.col("body"))).otherwise(canonical_text(F.col("body")))
+    return (known.select(digest(form).alias("digest"), "scope", "license_id").filter("digest is not null")
+            .groupBy("digest", "scope").agg(F.min("license_id").alias("license_id")))
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license_id (whole text) and notices (whole lines, sorted ids)."""
-    spark = docs.sparkSession
-    known = known_digests(spark).collect()  # a fixed catalogue of a few dozen rows
-    whole = spark.createDataFrame([(r["digest"], r["license_id"]) for r in known if r["scope"] == "text"],
-                                  "digest string, license_id string")
-    notice = F.create_map(*(F.lit(x) for r in known if r["scope"] == "notice"
-                            for x in (r["digest"], r["license_id"])))
+
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest, license_id (whole text) and notices (whole lines, sorted ids).
+
+    ``known``: license_id, scope, body of the licences to find.
+    """
+    known = known_licences(docs.sparkSession) if known is None else known
+    digests = known_digests(known)
+    whole = digests.filter("scope = 'text'").select("digest", "license_id")
+    notices = digests.filter("scope = 'notice'").select(F.col("digest").alias("line"), F.col("license_id").alias("notice"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda ln: F.lower(ln).rlike(NOTICE_LINE))
-    ids = F.transform(lines, lambda ln: F.try_element_at(notice, digest(canonical_line(ln))))
-    return (docs.select("doc_id", digest(canonical_text(text)).alias("digest"),
-                        F.array_sort(F.array_distinct(F.filter(ids, lambda i: i.isNotNull()))).alias("found"))
-            .join(F.broadcast(whole), "digest", "left")
+    lines = F.split(text, "\n")
+    if known.filter((F.col("scope") == "notice") & ~F.lower("body").rlike(NOTICE_LINE)).isEmpty():
+        lines = F.filter(lines, lambda ln: F.lower(ln).rlike(NOTICE_LINE))
+    forms = F.array_distinct(F.filter(F.transform(lines, lambda ln: digest(canonical_line(ln))), lambda d: d.isNotNull()))
+    found = (docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), digest(canonical_text(text)).alias("digest"), forms.alias("lines"))
+             .select("doc_id", "row_id", "digest", F.explode_outer("lines").alias("line"))
+             .join(F.broadcast(notices), "line", "left")
+             .groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"),
+                                    F.array_sort(F.collect_set("notice")).alias("found")))
+    return (found.join(F.broadcast(whole), "digest", "left")
             .select("doc_id", "digest", "license_id",
                     F.array_join("found", ",").alias("notices"), F.size("found").cast("long").alias("n_notices")))

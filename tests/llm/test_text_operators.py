@@ -295,3 +295,19 @@ def test_licence_digests_forgive_case_punctuation_and_copyright_lines(spark):
     assert {(1, "MIT", ""), (2, "ISC", ""), (3, None, ""), (4, None, ""), (5, None, ""), (6, None, ""), (7, None, "Apache-2.0,MIT"), (7, None, ""), (8, "Zlib", "")} == got
     assert all(r["digest"] is None for r in out if r["doc_id"] in (4, 5, 6))
     assert licences.scan(spark.createDataFrame([], DOCS + ", digest string")).count() == 0
+
+
+def test_licence_catalogue_has_long_texts_and_can_be_given(spark):
+    long = {name: body for name, scope, body in reversed(licences.long_texts())}
+    assert {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(long)
+    texts = {**long, "BSD-3-Clause": "Copyright 2001 X\n" + licences.BSD3, "Unlicense": licences.UNLICENSE.upper()}
+    names = sorted(texts)
+    rows = [(k, " ".join(texts[n].split(" ")) + "\n\n") for k, n in enumerate(names)]
+    rows.append((99, long["Apache-2.0"].split("APPENDIX")[0]))
+    got = {r["doc_id"]: r["license_id"] for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {**dict(enumerate(names)), 99: "Apache-2.0"}
+    own = spark.createDataFrame([("Own-1.0", "text", "Do as you like.\nReally."), ("Own-2.0", "notice", "Do as you please!")],
+                                "license_id string, scope string, body string")
+    rows = [(1, "DO AS YOU LIKE, really"), (2, "x\n* do as you please *\nDo as you please"), (3, licences.MIT)]
+    got = {(r["doc_id"], r["license_id"], r["notices"], r["n_notices"]) for r in licences.scan(spark.createDataFrame(rows, DOCS), own).collect()}
+    assert got == {(1, "Own-1.0", "", 0), (2, None, "Own-2.0", 1), (3, None, "", 0)}
