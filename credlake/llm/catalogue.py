@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credlake.llm import bloom_sketch, decontaminate, jaccard_join, language, licences, packing, page_diff, sharding, sql, surrogates, token_rollup
+from credlake.llm import (bloom_sketch, decontaminate, jaccard_join, language, licences, ngram_trie, packing, page_diff, prefix_trie, sharding, sql,
+                          surrogates, token_alignment, token_rollup)
 from credlake.llm.common import saved, table
 from credlake.session import work_dir
 
@@ -108,6 +109,25 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a bigram trie of the documents not held out."""
+    return ngram_trie.score(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations with its subtree's totals."""
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every document's tokens by a byte-level BPE and a piece model."""
+    import public_tokenizers
+
+    return token_alignment.alignment(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_page_differencing": op2_page_differencing,
@@ -119,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_packing": op8_histogram_packing,
     "op9_ring_shards": op9_ring_shards,
     "op10_licence_digests": op10_licence_digests,
+    "op11_ngram_trie": op11_ngram_trie,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 

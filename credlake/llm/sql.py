@@ -83,8 +83,32 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
 
 
+def prefix_trie_sql() -> str:
+    """Nodes by the digest of their turns; a node's subtree is the set of nodes whose
+    first member passes through it."""
+    bits = "list_reduce(list_concat([x], range(8)), lambda s, k: xor(s >> 1, (s & 1) * 3988292384))"
+    crc = (f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), "
+           f"lambda s, b: {bits.replace('[x]', '[xor(s, b)]').replace('lambda s, k', 'lambda t, k').replace('xor(s >> 1, (s & 1)', 'xor(t >> 1, (t & 1)')}), 4294967295)")
+    return f"""
+WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l, {crc} % 6 AS h
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.l, [])[1:o.h], o.l[o.h + 1:]) AS l FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+p AS (SELECT conv_id, len(l) AS n, d AS depth, md5(l[1:d]::VARCHAR) AS k, CASE WHEN d > 0 THEN md5(l[1:d - 1]::VARCHAR) END AS pk,
+             CASE WHEN d > 0 THEN length(l[d].x) ELSE 0 END AS chars FROM r, unnest(range(len(l) + 1)) AS u(d)),
+n AS (SELECT depth, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY depth, k),
+c AS (SELECT depth - 1 AS depth, pk AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c USING (depth, k)),
+s AS (SELECT p.depth, p.k, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved_tokens
+      FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.depth, p.k)
+SELECT f.conv_id, f.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (depth, k) LEFT JOIN n q ON q.depth = f.depth - 1 AND q.k = f.pk"""
+
+
 ORACLES: dict[str, str] = {
     "op4_token_rollup": token_rollup_sql(),
     "op5_prefix_decontamination": decontamination_sql(),
     "op10_licence_digests": licence_sql(),
+    "op12_prefix_trie": prefix_trie_sql(),
 }
