@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from credlake.llm.common import ordered_index, saved
 
-SHARD_MEMBERS = 1024
+SHARD_MEMBERS = 128
 HEAVY_NODES = 50_000
 BLOCK = 256
 QUEUE_ITEMS = 200_000
