@@ -44,7 +44,7 @@ from credlake.session import work_dir
 
 PRIOR = 200.0
 HELD_OUT = (7, 2)         # held out: crc32 of the id as text leaves 2 by 7
-SHEET_TOKENS = 1 << 22
+SHEET_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 18
 MOST_SHARDS = 1 << 16
 BUCKET_BITS = 18
@@ -71,12 +71,13 @@ def unplaned(data: bytes, n: int, dtype) -> np.ndarray:
 # ---- Elias-Fano ----
 
 class Bits:
-    """A bit vector in 64-bit words with a directory of zeros before each word."""
+    """A bit vector in 64-bit words with the zeros and ones before each word."""
 
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
         zeros = 64 - np.bitwise_count(words).astype(np.int64)
         self.before = np.concatenate([[0], np.cumsum(zeros)])
+        self.ones_before = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
@@ -131,9 +132,8 @@ class EliasFano:
 
     def __getitem__(self, k: np.ndarray) -> np.ndarray:
         """Values at places k (select on the unary part)."""
-        ones_before = np.arange(len(self.upper.before), dtype=np.int64) * 64 - self.upper.before
-        word = np.searchsorted(ones_before, k, side="right") - 1
-        left, rest = k - ones_before[word], self.upper.words[word]
+        word = np.searchsorted(self.upper.ones_before, k, side="right") - 1
+        left, rest = k - self.upper.ones_before[word], self.upper.words[word]
         place = np.zeros(len(k), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             low = rest & np.uint64((1 << width) - 1)
@@ -150,13 +150,17 @@ class EliasFano:
         todo = np.flatnonzero(wanted <= np.uint64(self.top)) if self.n else np.zeros(0, np.int64)
         high = (wanted[todo] >> np.uint64(self.low_bits)).astype(np.int64)
         low = wanted[todo] & np.uint64((1 << self.low_bits) - 1)
-        at = np.where(high > 0, self.upper.select0(np.maximum(high - 1, 0)) + 1, 0)
+        # values with the same high part lie side by side; halve their range
+        begin = np.where(high > 0, self.upper.select0(np.maximum(high - 1, 0)) + 1, 0) - high
+        end = self.upper.select0(high) - high
         while len(todo):
-            place = at - high
-            done = ~self.upper[at] | (self.low(np.minimum(place, self.n - 1)) >= low)  # past the high part, or found
-            out[todo[done]] = place[done]
+            done = begin >= end
+            out[todo[done]] = begin[done]
             go = ~done
-            todo, high, low, at = todo[go], high[go], low[go], at[go] + 1
+            todo, low, begin, end = todo[go], low[go], begin[go], end[go]
+            middle = (begin + end) >> 1
+            below = self.low(middle) < low
+            begin, end = np.where(below, middle + 1, begin), np.where(below, end, middle)
         return out
 
 
@@ -174,7 +178,7 @@ class Levels:
         self.file.seek(begin)
         self.file.write(values.tobytes())
         self.file.flush()
-        return np.memmap(self.file, values.dtype, "r", begin, values.shape)
+        return np.asarray(np.memmap(self.file, values.dtype, "r", begin, values.shape))
 
 
 class Trie:
