@@ -56,9 +56,10 @@ _SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u20
 CHUNK = re.compile(f"[{_SPACES}]*[^{_SPACES}]+(?:(?![ \n\t])[{_SPACES}]+[^{_SPACES}]*)*|[{_SPACES}]+")
 
 
-#: text on whose classes all versions of the first side's pattern agree: ASCII and Latin letters
-PLAIN = re.compile("[\t\n -~\xa1-\u024f]*")
-DIGITS = [str(k) for k in range(1 << 16)]
+#: chunks that begin and end like most, of characters on whose classes all versions
+#: of the first side's pattern agree (ASCII and Latin letters)
+PLAIN = re.compile("[ \n\t][\t\n -~\xa1-\u024f]*[!-~\xa1-\u024f]")
+JOINED_CHUNKS = 2000
 
 
 class Tokenizers:
@@ -91,13 +92,37 @@ class Tokenizers:
             raise ValueError("ids must fit 16 bits")
         self.a_size, self.b_size = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
 
-    def ids(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each chunk; a letter before it keeps the second side from adding a space."""
-        a = [self.fast(c) if PLAIN.fullmatch(c) else None for c in chunks]
-        others = [k for k, ids in enumerate(a) if ids is None]
-        for k, e in zip(others, self.a.encode_batch_fast([chunks[k] for k in others], add_special_tokens=False)):
-            a[k] = e.ids
-        return a, [ids[1:] for ids in self.b.encode(["x" + c for c in chunks], num_threads=1)]
+    def plain_ids(self, chunks: list[str]):
+        """Ids of plain chunks and their number by chunk, of both sides; None where
+        the tokens do not spell them.
+
+        No token crosses from chunk to chunk, so they are encoded in one text; a
+        letter before it keeps the second side from adding a space."""
+        text = "".join(chunks)
+        whole = text.encode()
+        ends = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        sides = []
+        for ids, table, size in ((self.fast(text), self.a_bytes, self.a_size), (self.b.encode("x" + text)[1:], self.b_bytes, self.b_size)):
+            if b"".join(map(table.__getitem__, ids)) != whole:
+                return None
+            ids = np.array(ids, np.int64)
+            at = np.cumsum(size[ids])
+            last = np.searchsorted(at, ends)
+            if (at[last] != ends).any():
+                return None
+            sides.append((ids, np.diff(last, prepend=-1)))
+        return sides
+
+    def ids(self, chunks: list[str]):
+        """The same one by one, and which chunks are spelt; others have one id 0."""
+        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        b = [ids[1:] for ids in self.b.encode(["x" + c for c in chunks], num_threads=1)]
+        good = np.ones(len(chunks), bool)
+        for k, c in enumerate(chunks):
+            if any(not ids[k] or b"".join(map(table.__getitem__, ids[k])) != c.encode() for ids, table in ((a, self.a_bytes), (b, self.b_bytes))):
+                good[k] = False
+                a[k] = b[k] = [0]
+        return [_flat(a), _flat(b)], good
 
 
 def _byte_level() -> dict[str, int]:
@@ -125,79 +150,76 @@ class Aligner(dict):
         self.clear()
         self.counts = [array("q") for _ in range(4)]  # a tokens (-1: not spelt), b tokens, groups, links
         self.text: list[str] = []
-        self.pairs: list[np.ndarray] = []
+        self.pairs: list[np.ndarray] = []  # of the chunks learnt at a time
 
     def learn(self, chunks) -> None:
         """Aligns the chunks that are new."""
         if len(self) > CACHED_CHUNKS:
             self.reset()
         new = [c for c in set(chunks) if c not in self]
-        for lo in range(0, len(new), 20_000):
-            self._align(new[lo:lo + 20_000])
-
-    def _align(self, chunks: list[str]) -> None:
-        tok = self.tokenizers
-        a_lists, b_lists = tok.ids(chunks)
-        spelt = [c.encode() for c in chunks]
-        good = np.ones(len(chunks), bool)
-        whole = b"".join(spelt)
-        for lists, table in ((a_lists, tok.a_bytes), (b_lists, tok.b_bytes)):
-            if b"".join(map(table.__getitem__, chain.from_iterable(lists))) != whole or min(map(len, lists)) == 0:
-                good &= [b"".join(map(table.__getitem__, ids)) == s for ids, s in zip(lists, spelt)]
-        if not good.all():
-            for k in np.flatnonzero(~good):  # one token of each side, as if it had no bytes
-                a_lists[k] = b_lists[k] = [0]
-        (a, n_a), (b, n_b) = _flat(a_lists), _flat(b_lists)
-        a_end, b_end = np.cumsum(tok.a_size[a]), np.cumsum(tok.b_size[b])
-        if not good.all():  # chunks not spelt: give both sides one byte
-            size_a, size_b = tok.a_size[a], tok.b_size[b]
+        plain = [c for c in new if PLAIN.fullmatch(c)]
+        others = [c for c in new if not PLAIN.fullmatch(c)] if len(plain) < len(new) else []
+        for lo in range(0, len(plain), JOINED_CHUNKS):
+            part = plain[lo:lo + JOINED_CHUNKS]
+            sides = self.tokenizers.plain_ids(part)
+            if sides is None:
+                others += part
+            else:
+                self._align(part, *sides, np.ones(len(part), bool))
+        for lo in range(0, len(others), JOINED_CHUNKS):
+            part = others[lo:lo + JOINED_CHUNKS]
+            sides, good = self.tokenizers.ids(part)
+            self._align(part, *sides, good)
+
+    def _align(self, chunks: list[str], a_side, b_side, good: np.ndarray) -> None:
+        (a, n_a), (b, n_b) = a_side, b_side
+        size_a, size_b = self.tokenizers.a_size[a], self.tokenizers.b_size[b]
+        if not good.all():  # give the single ids of chunks not spelt one byte
             size_a[(np.cumsum(n_a) - 1)[~good]] = 1
             size_b[(np.cumsum(n_b) - 1)[~good]] = 1
-            a_end, b_end = np.cumsum(size_a), np.cumsum(size_b)
-        cut_a, cut_b = np.isin(a_end, b_end), np.isin(b_end, a_end)  # tokens that end a group
+        a_end, b_end = np.cumsum(size_a), np.cumsum(size_b)
+        # groups: cut where tokens of both sides end
+        b_over = np.searchsorted(b_end, a_end)
+        cut_a = b_end[b_over] == a_end
+        cut_b = np.zeros(len(b), bool)
+        cut_b[b_over[cut_a]] = True
         # links: tokens of b from the one over a token's first byte to the one over its last
-        first = np.searchsorted(b_end, np.concatenate([[0], a_end[:-1]]), side="right")
-        last = np.searchsorted(b_end, a_end - 1, side="right")
-        n_links = last - first + 1
+        first = np.concatenate([[0], b_over[:-1] + cut_a[:-1]])
+        n_links = b_over - first + 1
         of_a = np.repeat(np.arange(len(a)), n_links)
-        of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(n_links) - n_links, n_links) + np.repeat(first, n_links)
-        pairs = (a[of_a] << 16 | b[of_b]).astype(np.uint32)
-        a_from, b_from = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        chunk_links = np.add.reduceat(n_links, a_from)
-        chunk_groups = np.add.reduceat(cut_a.astype(np.int64), a_from)
-        link_to = np.cumsum(chunk_links)
-        self.update(zip(chunks, range(len(self.pairs), len(self.pairs) + len(chunks))))
-        self.pairs.extend(np.split(pairs, link_to[:-1]))
-        if self.with_text:
-            self.text.extend(_group_texts(a_lists, b_lists, chunk_groups.tolist(), cut_a.tolist(), cut_b.tolist()))
-        for col, values in zip(self.counts, (np.where(good, n_a, -1), n_b, chunk_groups, chunk_links)):
+        of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(n_links) - n_links - first, n_links)
+        self.pairs.append((a[of_a] << 16 | b[of_b]).astype(np.uint32))
+        a_from = np.cumsum(n_a) - n_a
+        links = np.add.reduceat(n_links, a_from)
+        cuts = np.add.reduceat(cut_a.astype(np.int64), a_from)
+        self.update(zip(chunks, range(len(self), len(self) + len(chunks))))
+        for col, values in zip(self.counts, (np.where(good, n_a, -1), n_b, cuts, links)):
             col.frombytes(values.astype(np.int64).tobytes())
+        if self.with_text:
+            self.text.extend(_group_texts(a, b, cut_a, cut_b, np.cumsum(n_a + n_b).tolist()))
 
     def column(self, k: int) -> np.ndarray:
         return np.array(self.counts[k], np.int64)
 
+    def all_pairs(self) -> np.ndarray:
+        """Links of all chunks, chunk by chunk."""
+        return np.concatenate(self.pairs) if self.pairs else np.zeros(0, np.uint32)
+
 
-def _group_texts(a_lists, b_lists, n_groups: list[int], cut_a: list[bool], cut_b: list[bool]):
-    """Per chunk, its groups as a1,a2|b1;a3|b2,b3."""
-    digits = DIGITS.__getitem__
-    at_a = at_b = 0
-    for a, b, n in zip(a_lists, b_lists, n_groups):
-        if n == 1:
-            yield f"{','.join(map(digits, a))}|{','.join(map(digits, b))}"
-        else:
-            yield ";".join(map("|".join, zip(_cut(a, cut_a, at_a), _cut(b, cut_b, at_b))))
-        at_a += len(a)
-        at_b += len(b)
+#: an id as text before a comma, before the bar after a group's a tokens, and before the end of a group
+_WRITTEN = [f"{k}{mark}" for mark in ",|;" for k in range(1 << 16)]
 
 
-def _cut(ids: list[int], cuts: list[bool], at: int) -> list[str]:
-    """A chunk's ids joined by commas, group by group."""
-    out, begin = [], 0
-    for k in range(len(ids)):
-        if cuts[at + k]:
-            out.append(",".join(map(DIGITS.__getitem__, ids[begin:k + 1])))
-            begin = k + 1
-    return out
+def _group_texts(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, ends: list[int]) -> list[str]:
+    """Per chunk, its groups as a1,a2|b1;a3|b2,b3; -- the a tokens of a group, then its b tokens."""
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    b_before = np.concatenate([[0], np.flatnonzero(cut_b) + 1])
+    a_up_to = np.flatnonzero(cut_a) + 1
+    codes = np.empty(len(a) + len(b), np.int64)
+    codes[np.arange(len(a)) + b_before[group_a]] = a + np.where(cut_a, 1 << 16, 0)
+    codes[np.arange(len(b)) + a_up_to[group_b]] = b + np.where(cut_b, 2 << 16, 0)
+    written = list(map(_WRITTEN.__getitem__, codes.tolist()))
+    return ["".join(written[lo:hi]) for lo, hi in zip([0] + ends[:-1], ends)]
 
 
 def _chunked(part, aligner: Aligner) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +262,12 @@ def _pair_counter(paths: tuple[str, ...]):
         for part, _, _ in groups(batches, "text"):
             ids, first = _chunked(part, aligner)
             keep = np.repeat(~_unspelt(aligner, ids, first), np.diff(first))
-            times = np.bincount(ids[keep], minlength=len(aligner.pairs))
-            used = np.flatnonzero(times)
-            if not len(used):
+            times = np.repeat(np.bincount(ids[keep], minlength=len(aligner)), aligner.column(3))
+            used = times > 0
+            if not used.any():
                 continue
-            lists = [aligner.pairs[k] for k in used]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            keys.append(np.concatenate(lists))
-            counts.append(np.repeat(times[used], sizes))
+            keys.append(aligner.all_pairs()[used])
+            counts.append(times[used])
             held += len(keys[-1])
             if held > HELD_PAIRS:
                 k, n = _compacted(keys, counts)
@@ -411,22 +431,22 @@ def _second_pass(paths: tuple[str, ...], shared):
             if shared is not None:
                 if aligner.text is not seen:  # the aligner began anew
                     seen, best, total = aligner.text, np.zeros(0, np.int64), np.zeros(0, np.int64)
-                fresh = aligner.pairs[len(best):]
-                if fresh:
-                    n, top = shared.value(np.concatenate(fresh))
-                    ends = np.cumsum([len(p) for p in fresh])
-                    starts = np.concatenate([[0], ends])
+                fresh = aligner.column(3)[len(best):]
+                if len(fresh):
+                    n, top = shared.value(aligner.all_pairs()[-int(fresh.sum()):])
+                    starts = np.concatenate([[0], np.cumsum(fresh)])
                     best = np.concatenate([best, _row_sums(top, starts)])
                     total = np.concatenate([total, _row_sums(n, starts)])
                 sizes += [np.where(bad, 0, _row_sums(v[ids], first)) for v in (best, total)]
             numbers = ids.tolist()
-            digests = [hashlib.sha256(";".join(map(aligner.text.__getitem__, numbers[lo:hi])).encode()).hexdigest() if hi > lo and not out else ""
+            digests = [hashlib.sha256("".join(map(aligner.text.__getitem__, numbers[lo:hi]))[:-1].encode()).hexdigest() if hi > lo and not out else ""
                        for lo, hi, out in zip(first[:-1].tolist(), first[1:].tolist(), bad)]
             cols = [part.column("doc_id"), *(pa.array(s.astype(np.int64)) for s in sizes)]
             if shared is not None:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(digests, pa.string())], [c.split()[0] for c in _OUT.split(", ")])
                 continue
-            links = [np.concatenate([aligner.pairs[k] for k in numbers[lo:hi]]).astype(np.int64) if hi > lo and not out else np.zeros(0, np.int64)
+            of_chunk = np.split(aligner.all_pairs(), np.cumsum(aligner.column(3))[:-1])
+            links = [np.concatenate([of_chunk[k] for k in numbers[lo:hi]]).astype(np.int64) if hi > lo and not out else np.zeros(0, np.int64)
                      for lo, hi, out in zip(first[:-1].tolist(), first[1:].tolist(), bad)]
             yield pa.RecordBatch.from_arrays([part.column("row_id"), *cols, pa.array(digests, pa.string()), pa.array(links, pa.list_(pa.int64()))],
                                              ["row_id", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
