@@ -31,6 +31,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table of this run whose last reader is done."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ordered_index(df: DataFrame, order: Sequence[Column], name: str, index: str) -> DataFrame:
     """``df`` with ``index``: each row's 0-based place in the total order ``order``.
 

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
+from credlake.llm.common import dropped
 from credlake.llm.words import NON_SPACE, WordHasher, groups, mix
 from credlake.session import work_dir
 
@@ -460,11 +461,12 @@ def score(docs: DataFrame) -> DataFrame:
     dealer = Dealer(shards, ways)
 
     path = work_dir(spark, "llm-sheets")
-    rows.mapInArrow(_sheets(dealer), _SHEET).write.partitionBy("own").parquet(path)
+    rows.mapInArrow(_sheets(dealer), _SHEET).write.partitionBy("own").option("compression", "zstd").parquet(path)
     schema = ", ".join(_SHEET.split(", ")[1:])
     sheets = {own: spark.read.schema(f"{schema}, own boolean").parquet(path).where(F.col("own") == own).drop("own") for own in (True, False)}
     answers_path = work_dir(spark, "llm-answers")
-    sheets[False].groupBy("shard").applyInArrow(_answers, _ANSWER).write.parquet(answers_path)
+    sheets[False].groupBy("shard").applyInArrow(_answers, _ANSWER).write.option("compression", "zstd").parquet(answers_path)
+    dropped(spark, f"{path}/own=false")  # answered, and the answers are stored
     answers = spark.read.schema(_ANSWER).parquet(answers_path)
     distinct = answers.where("sheet < 0").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     finish = _scores(dealer, train_texts, train_tokens, distinct)
