@@ -47,7 +47,7 @@ from credlake.session import work_dir
 
 PRIOR = 200.0
 HELD_OUT = (7, 2)         # held out: crc32 of the id as text leaves 2 by 7
-SHEET_TOKENS = 3 << 19
+SHEET_TOKENS = 1 << 21
 SHARD_TOKENS = 1 << 18
 MOST_SHARDS = 1 << 16
 BUCKET_BITS = 18
@@ -256,11 +256,13 @@ class Layout:
         ``words``, texts one after the other, each with its end token."""
         n = len(words)
         begins = np.cumsum(lengths) - lengths
-        self.before = np.empty(len(tokens), np.int64)
-        self.before[1:] = tokens[:-1]
-        self.before[begins] = n  # the beginning of the text
+        key = np.empty(len(tokens), np.int64)
+        key[1:] = tokens[:-1]
+        key[begins] = n  # the beginning of the text
+        key *= n + 1
+        key += tokens
         named = np.append(words, BEGIN)
-        key, self.of_token = np.unique(self.before * (n + 1) + tokens, return_inverse=True)
+        key, self.of_token = np.unique(key, return_inverse=True)
         v, w = key // (n + 1), key % (n + 1)
         home = dealer.home(named)
         way = dealer.way(named[v], words[w])
@@ -288,8 +290,9 @@ def _sheet_rows(sheet: int, docs, dealer: Dealer):
     hashes, lengths, ids, held = (np.concatenate(c) for c in zip(*docs))
     words, tokens = np.unique(hashes, return_inverse=True)
     order = np.argsort(dealer.home(words), kind="stable")
-    words, place = words[order], np.argsort(order, kind="stable")
+    words, place = words[order], np.argsort(order, kind="stable").astype(np.int32)
     tokens = place[tokens]
+    del hashes
     out = Layout(words, tokens, lengths, dealer)
     trains = np.repeat(held != 1, lengths)
     counts = np.bincount(tokens[trains], minlength=len(words))
