@@ -1,4 +1,4 @@
-"""Operators 11, 12 and 13: edge cases and plain-Python comparisons."""
+"""Operators 7, 11, 12 and 13: edge cases and plain-Python comparisons."""
 from __future__ import annotations
 
 import collections
@@ -14,13 +14,68 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from credlake.llm import catalogue, ngram_trie, prefix_trie, token_alignment
+from credlake.llm import bloom_sketch, catalogue, ngram_trie, prefix_trie, token_alignment
 from credlake.llm.ngram_trie import EliasFano
 from tests.llm.helpers import DOCS, LOWER, rows_of
 
 SF = "/root/testdata/sf0.001"
 
 
+# ---- 7: sketches ----
+
+def sketched(rows):
+    """(doc_id, n_chars, sha256 of the edited text, both likenesses) by sets of paragraphs."""
+    cut = lambda text: {p.rstrip(" ") for p in re.findall(r"(?:[^ \t\n\x0b\f\r]+[ \t\x0b\f\r]*){1,24}", text)}
+    jaccard = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for k, (doc, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        mine = cut(text)
+        out.append((-1 if doc is None else doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(jaccard(mine, cut(edited)), 9),
+                    round(jaccard(mine, cut(after)), 9)))
+    return sorted(out)
+
+
+def fingerprinted(frame):
+    return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9))
+                  for r in bloom_sketch.fingerprints(frame).collect())
+
+
+def lines(draw, n):
+    return "\n".join(f"line {draw.randrange(5000)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["repeated", "sparse", "dense"])
+def test_sketches_of_repeated_null_sparse_and_dense_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(bloom_sketch, "BUCKET_BITS", 4)
+    monkeypatch.setattr(bloom_sketch, "LEAST_IN_BUCKET", 8)
+    draw = random.Random(7)
+    if kind == "repeated":
+        rows = [(5, lines(draw, 9)) for _ in range(40)] + [(None, lines(draw, 3)) for _ in range(35)] + [(5, "again")] * 20 + [(8, None), (8, ""), (-4, "x")]
+    elif kind == "sparse":
+        rows = [(draw.randrange(1 << 60), lines(draw, 6)) for _ in range(80)]
+    else:
+        rows = [(k, lines(draw, 6)) for k in range(100)] + [((1 << 40) + k, lines(draw, 2)) for k in range(50)]
+    frame = spark.createDataFrame([(*r, 1, "k") for r in rows], DOCS + ", n_chars int, bucket string")
+    assert fingerprinted(frame) == sketched(rows)
+
+
+def test_sketches_of_words_with_equal_cells(spark):
+    rows = [(1, "w94515\nw2679"), (0, "")]
+    assert fingerprinted(spark.createDataFrame(rows, DOCS)) == sketched(rows)
+
+
+def test_sketches_stuck_at_every_level_are_compared_as_sets(spark, monkeypatch):
+    monkeypatch.setattr(bloom_sketch, "LEVELS", 1)
+    monkeypatch.setattr(bloom_sketch, "CELLS", 3)
+    draw = random.Random(8)
+    rows = [(k, lines(draw, 40)) for k in range(6)]
+    assert fingerprinted(spark.createDataFrame(rows, DOCS)) == sketched(rows)
+
+
 # ---- 11: n-gram trie ----
 
 def scores(rows, prior=ngram_trie.PRIOR):
