@@ -1,8 +1,12 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,14 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released() -> None:
+    """Gives a Python worker's unused memory back; Spark keeps workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ordered_index(df: DataFrame, order: Sequence[Column], name: str, index: str) -> DataFrame:
     """``df`` with ``index``: each row's 0-based place in the total order ``order``.
 

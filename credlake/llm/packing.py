@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlake.llm.common import ordered_index, saved
+from credlake.llm.common import ordered_index, released, saved
 
 CAPACITY = 2048
 CACHE_ENTRIES = 120_000
@@ -73,6 +73,11 @@ class CachedEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return Tokenizer.from_file(self.json_path)
 
+    def forget(self) -> None:
+        """Drops what was cached, and the tokenizer that few texts need."""
+        self.spaced, self.plain = _Cache(self.ordinary, " "), _Cache(self.ordinary, "")
+        self.__dict__.pop("whole", None)
+
     def __call__(self, text: str) -> bytes:
         if self.by_whole.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -129,6 +134,8 @@ def _pieces(json_path: str, ranks_path: str, pattern: str, closing_id: int, capa
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
                     ["row_id", "doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"])
+        encoder.forget()  # the worker serves later stages
+        released()
     return run
 
 
