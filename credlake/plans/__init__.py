@@ -11,7 +11,7 @@ from credlake.plans.registry import REGISTRY
 def _load() -> None:
     from credlake.plans import stats_queries  # noqa: F401
     for mod in ("column_queries", "feed_queries", "merge_queries", "envelope_queries",
-                "stream_queries", "train_queries"):
+                "stream_queries", "train_queries", "serving_queries"):
         try:
             __import__(f"credlake.plans.{mod}")
         except ModuleNotFoundError as exc:  # module not written yet

@@ -9,14 +9,12 @@ Layout decisions
 * Layers are always read with their fixed schema: partition values such as
   ``007`` or ``""`` would otherwise be re-typed on read.
 
-Serving table
--------------
-One row per id, partitioned by date.  A merge rewrites the dates it touches
-with Spark's dynamic partition overwrite (see :func:`merge_into`).
+The serving table (one row per id, partitioned by date) is kept by
+:mod:`credlake.sources.serving`.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -155,46 +153,3 @@ def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHE
     if not exists(spark, table):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(table).select(*schema.fieldNames())
-
-
-def _in_dates(dates) -> Column:
-    known = [d for d in dates if d is not None]
-    return F.col("date").isin(known) | (F.col("date").isNull() if None in dates else F.lit(False))
-
-
-def merge_into(spark: SparkSession, table: str, updates: DataFrame, key: str = "id",
-               seq_cols=("scored_at",), schema: StructType = GOLD_SCHEMA) -> list:
-    """S12 on storage: field-level upsert of ``updates``; returns the dates rewritten.
-
-    The touched dates are the dates of the updates and of the stored copies of
-    their ids (an article may move).  Their rows are merged with the updates
-    and written back with Spark's dynamic partition overwrite; a touched date
-    left without rows is removed afterwards.
-
-    The upsert is idempotent, so a retried batch leaves the table unchanged,
-    also after a crash between write and removal: stored rows take part in the
-    fold, oldest first, so a copy left under the old date is merged, not kept.
-    The commit is per date, not across dates, and every touched date is
-    rewritten whole; with a table format at hand this is ``MERGE INTO``.
-    """
-    from credlake.operators.merge import fold_updates
-
-    columns = schema.fieldNames()
-    target = read_serving(spark, table, schema)
-    batch = updates.select(*[c for c in columns if c in updates.columns]).where(F.col(key).isNotNull())
-    moved_from = target.select(key, "date").join(batch.select(key).distinct(), key, "left_semi").select("date")
-    dates = [r[0] for r in moved_from.union(batch.select("date")).distinct().collect()]  # one row per date
-    if not dates:
-        return []
-    stored = target.where(_in_dates(dates)).withColumn("_later", F.lit(0))
-    ids = batch.select(key).distinct()
-    touched = stored.join(ids, key, "left_semi").unionByName(batch.withColumn("_later", F.lit(1)), allowMissingColumns=True)
-    merged = (stored.join(ids, key, "left_anti").select(*columns)
-              .unionByName(fold_updates(touched, key, ("_later", *seq_cols)).select(*columns)))
-    alive = {r[0] for r in merged.select("date").distinct().collect()}
-    (merged.hint("rebalance", "date").sortWithinPartitions("date", key).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("date").parquet(table))
-    for d in set(dates) - alive:  # every row moved away
-        _delete(spark, f"{table}/date={NULL_DATE if d is None else d}")
-    return dates

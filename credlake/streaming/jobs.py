@@ -25,6 +25,7 @@ from credlake.schemas import GOLD_COLUMNS, SILVER_SCHEMA
 from credlake.sources import lake
 from credlake.sources.envelopes import parse_envelopes, to_scored_envelope
 from credlake.sources.lake import trigger_args
+from credlake.sources.serving import merge_into
 
 ScoredAt = Callable[[DataFrame], Column]
 
@@ -113,7 +114,7 @@ def run_publish(spark: SparkSession, base: str, ckpt: str, serving: str | None =
         (to_scored_envelope(rows).write.mode("overwrite")
          .parquet(f"{base}/scored_topic/query={query}/batch={batch_id}"))
         if serving:
-            lake.merge_into(spark, serving, rows)
+            merge_into(spark, serving, rows, batch=f"{query}-{batch_id}")
         rows.unpersist()
 
     return (gold.writeStream.foreachBatch(sink).option("checkpointLocation", f"{ckpt}/publish")

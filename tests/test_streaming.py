@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from credlake.operators.clean import clean
 from credlake.schemas import ENVELOPE_SCHEMA, GOLD_SCHEMA
 from credlake.session import work_dir
-from credlake.sources import lake
+from credlake.sources import lake, serving
 from credlake.sources.envelopes import parse_envelopes, read_envelopes
 from credlake.streaming import jobs
 
@@ -67,17 +67,17 @@ def test_silver_bounded_dedupe_option(spark):
 def test_score_stream_and_serving_replay(spark):
     root, base, ckpt = work_dir(spark, "e"), work_dir(spark, "l"), work_dir(spark, "c")
     land_envelopes(spark, root, BATCHES)
-    serving = f"{base}/serving"
+    table = f"{base}/serving"
     src = lambda: read_envelopes(spark, fmt="parquet", path=f"{root}/part=*", max_files_per_trigger=1)
     at = lambda b: F.col("fetched_at")
-    jobs.run_chain(spark, src, base, ckpt, serving, at)
-    first = sorted(map(tuple, lake.read_serving(spark, serving).collect()))
+    jobs.run_chain(spark, src, base, ckpt, table, at)
+    first = sorted(map(tuple, lake.read_serving(spark, table).collect()))
     assert len(first) == 3
     gold = lake.read_layer(spark, f"{base}/gold", "gold")
     assert gold.count() == 3 and spark.read.parquet(f"{base}/scored_topic").count() == 3
     # a replay from raw, scored again into a layer of its own: same merged table
-    jobs.run_chain(spark, src, work_dir(spark, "l2"), work_dir(spark, "c2"), serving, at)
-    assert sorted(map(tuple, lake.read_serving(spark, serving).collect())) == first
+    jobs.run_chain(spark, src, work_dir(spark, "l2"), work_dir(spark, "c2"), table, at)
+    assert sorted(map(tuple, lake.read_serving(spark, table).collect())) == first
     # a byte-bounded publish takes the backlog in several micro-batches, same table
     s3 = f"{base}/serving3"
     q = jobs.run_publish(spark, base, work_dir(spark, "c4"), serving=s3, max_bytes_per_trigger=1)
@@ -129,36 +129,36 @@ def test_merge_into_is_idempotent_and_moves_rows_between_dates(spark):
     d0, d1, d2 = (T0.date() + dt.timedelta(days=k) for k in range(3))
     frame = lambda rows: spark.createDataFrame(rows, GOLD_SCHEMA)
     rows = lambda: {r.id: r for r in lake.read_serving(spark, table).collect()}
-    lake.merge_into(spark, table, frame([art(f"i{k}", (d0, d1, d2)[k % 3]) for k in range(9)]))
+    serving.merge_into(spark, table, frame([art(f"i{k}", (d0, d1, d2)[k % 3]) for k in range(9)]))
     untouched = lake._glob(spark, f"{table}/date={d2}/*.parquet")
     moved = frame([("i0", None, None, None, None, None, None, dt.date(2024, 2, 1), "Fake", None, T0 + dt.timedelta(days=1)),
                    (None, *art("x", d2)[1:])])
     for _ in range(2):  # a retried batch changes nothing
-        lake.merge_into(spark, table, moved)
+        serving.merge_into(spark, table, moved)
         cur = rows()
         assert len(cur) == 9 == lake.read_serving(spark, table).count()
         assert cur["i0"].label == "Fake" and cur["i0"].date == dt.date(2024, 2, 1) and cur["i0"].title == "t"
     # every row of d1 moves to d2: d1 is cleared
-    lake.merge_into(spark, table, frame([art(f"i{k}", d2, "Fake") for k in (1, 4, 7)] + [art("n1", None)]))
+    serving.merge_into(spark, table, frame([art(f"i{k}", d2, "Fake") for k in (1, 4, 7)] + [art("n1", None)]))
     cur = rows()
     assert len(cur) == 10 and {cur[f"i{k}"].date for k in (1, 4, 7)} == {d2} and cur["n1"].date is None
     assert lake._glob(spark, f"{table}/date={d1}") == []
     # dates a batch does not touch keep their files
     before = lake._glob(spark, f"{table}/date={d2}/*.parquet")
     assert before != untouched
-    lake.merge_into(spark, table, frame([art("i3", d0, "Fake")]))
+    serving.merge_into(spark, table, frame([art("i3", d0, "Fake")]))
     assert lake._glob(spark, f"{table}/date={d2}/*.parquet") == before
-    assert lake.merge_into(spark, table, frame([])) == []
+    assert serving.merge_into(spark, table, frame([])) == []
 
 
 def test_merge_into_after_a_crash_before_the_old_date_was_cleared(spark):
     table = work_dir(spark, "serving")
     d0, d1 = T0.date(), T0.date() + dt.timedelta(days=1)
-    lake.merge_into(spark, table, spark.createDataFrame([art("a", d0)], GOLD_SCHEMA))
+    serving.merge_into(spark, table, spark.createDataFrame([art("a", d0)], GOLD_SCHEMA))
     later = spark.createDataFrame([art("a", d1, "Fake")[:10] + (T0 + dt.timedelta(hours=1),)], GOLD_SCHEMA)
     later.write.mode("append").partitionBy("date").parquet(table)  # the new copy is there, the old one still too
     assert lake.read_serving(spark, table).count() == 2
-    lake.merge_into(spark, table, later)
+    serving.merge_into(spark, table, later)
     assert [(r.id, r.date, r.label) for r in lake.read_serving(spark, table).collect()] == [("a", d1, "Fake")]
 
 
