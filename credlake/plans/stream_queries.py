@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from credlake.operators import seen
 from credlake.plans.oracle import score_conf, score_label, sql
 from credlake.plans.registry import query
 from credlake.schemas import GOLD_SCHEMA
@@ -100,6 +101,24 @@ def q_silver_bounded(spark, sf):
     return lake.read_layer(spark, f"{base}/silver", "silver")
 
 
+@query("silver_seen", "S7, C1, D1, J3 (day filters and an exact check instead of state)", SILVER_SQL)
+def q_silver_seen(spark, sf):
+    root = _stage_envelopes(spark, sf)
+    base, ckpt = work_dir(spark, "lake"), work_dir(spark, "ckpt")
+    jobs.run_silver_seen(_env_stream(spark, root), base, ckpt).awaitTermination()
+    return jobs.read_silver_seen(spark, base)
+
+
+@query("new_by_filter", "D3, J3 (seen ids found through day filters)", sql("""
+SELECT id, min(scored_at) AS scored_at FROM f4 WHERE id NOT IN (SELECT id FROM f3) GROUP BY id""", "f3", "f4"))
+def q_new_by_filter(spark, sf):
+    stored = work_dir(spark, "stored")
+    fx.articles_scored(spark, sf).select("id", "date").write.partitionBy("date").parquet(stored)
+    stored = spark.read.schema("id string, date date").parquet(stored)
+    filters = seen.day_filters(stored)
+    return seen.drop_seen(fx.updates(spark, sf).select("id", "scored_at"), filters, stored, order_by=["scored_at"])
+
+
 @query("score_stream", "S8, S9, S10, S11, W5, P14-default", GOLD_SQL)
 def q_score_stream(spark, sf):
     base, ckpt = _silver(spark, sf)

@@ -18,7 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
+from credlake.operators import seen
 from credlake.operators.clean import clean, dedupe_within, silver_filter
 from credlake.operators.score import score_default
 from credlake.schemas import GOLD_COLUMNS, SILVER_SCHEMA
@@ -62,6 +64,42 @@ def run_silver(src: DataFrame, base: str, ckpt: str, trigger: str | None = None,
     return lake.write_layer(by_date(silver.select(*SILVER_SCHEMA.fieldNames())), f"{base}/silver", f"{ckpt}/silver", ("date",), trigger)
 
 
+def run_silver_seen(src: DataFrame, base: str, ckpt: str, trigger: str | None = None, bits: int = seen.BITS,
+                    keep_days: int | None = None) -> StreamingQuery:
+    """S7 without a state store: D1 by day filters and an exact check (see :mod:`credlake.operators.seen`).
+
+    Every micro-batch keeps the first row of each id that no earlier batch stored, in a
+    folder of its own; a retry overwrites that folder and does not count it as stored.
+    The filters are written after the rows, so a row is never taken for seen before it is there.
+    """
+    rows_at, filters_at = f"{base}/silver_seen", f"{base}/silver_filters"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.persist()
+        stored = read_silver_seen(spark, base, with_batch=True).where(F.col("batch_id") != batch_id)
+        fresh = seen.drop_seen(rows, seen.read_filters(spark, filters_at, keep_days), stored, bits=bits)
+        folder = f"{rows_at}/batch_id={batch_id}"
+        by_date(fresh).write.mode("overwrite").partitionBy("date").parquet(folder)
+        written = spark.read.schema(SILVER_SCHEMA).parquet(folder)
+        seen.add_filters(written.select("id", "date"), filters_at, str(batch_id), bits, keep_days)
+        rows.unpersist()
+
+    cleaned = silver_filter(parse_envelopes(src)).select(*SILVER_SCHEMA.fieldNames())
+    return (cleaned.writeStream.foreachBatch(sink).option("checkpointLocation", f"{ckpt}/silver_seen")
+            .trigger(**trigger_args(trigger)).start())
+
+
+def read_silver_seen(spark: SparkSession, base: str, with_batch: bool = False) -> DataFrame:
+    """The rows kept by :func:`run_silver_seen`."""
+    path = f"{base}/silver_seen"
+    columns = [*SILVER_SCHEMA.fieldNames(), *(["batch_id"] if with_batch else [])]
+    schema = StructType([*SILVER_SCHEMA.fields, StructField("batch_id", LongType())])
+    if not lake.exists(spark, path):
+        return spark.createDataFrame([], schema).select(*columns)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).select(*columns)
+
+
 def run_clean(src_factory: Callable[[], DataFrame], base: str, ckpt: str,
               trigger: str | None = None, dedupe_delay: str | None = None) -> list[StreamingQuery]:
     """The clean job: bronze and silver queries, each with its own checkpoint."""
