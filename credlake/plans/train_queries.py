@@ -229,7 +229,7 @@ def q_train(spark, sf):
 BAYES = f"""
 lab AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL),
 part AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {PLACE_SQL}, text) <= ceil(0.1::DOUBLE * count(*) OVER (PARTITION BY label)) AS test FROM lab),
-words AS (SELECT doc_id, label, test, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM part),
+words AS (SELECT doc_id, label, test, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\x00-\\x20]+')) AS term FROM part),
 """
 
 
@@ -263,7 +263,7 @@ def q_bayes_grid(spark, sf):
 @query("bayes_score", "M3 (naive Bayes trained on all labelled documents)", f"""
 WITH {BAYES} {bayes_sql('true')},
 w AS (SELECT doc_id, term, count(*) AS n
-      FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents) GROUP BY 1, 2),
+      FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\x00-\\x20]+')) AS term FROM documents) GROUP BY 1, 2),
 s AS (SELECT w.doc_id, {ODDS} AS odds FROM w LEFT JOIN terms ON terms.term = w.term, tot, (SELECT 1.0::DOUBLE AS a) GROUP BY 1),
 o AS (SELECT d.doc_id, coalesce(s.odds, 0) + prior.p AS odds FROM documents d CROSS JOIN prior LEFT JOIN s ON s.doc_id = d.doc_id)
 SELECT doc_id, CASE WHEN odds > 0 THEN 'Real' ELSE 'Fake' END AS label, round(greatest(1 / (1 + exp(-odds)), 1 - 1 / (1 + exp(-odds))), 6) AS confidence FROM o""")
