@@ -122,6 +122,31 @@ def kpi(sc: DataFrame, approx: bool = False) -> DataFrame:
                   F.max("scored_at").alias("last_scored_at"))
 
 
+SKETCH_BITS = 12  # 2**12 registers: a relative standard error of about 1.6 %
+
+
+def daily_sketches(sc: DataFrame) -> DataFrame:
+    """Per date: rows, a HyperLogLog sketch of its sources, confidence sum and count, latest time.
+
+    Sketches of any days merge, so a table of them answers A11b over any range
+    without the articles."""
+    return sc.groupBy("date").agg(
+        F.count(F.lit(1)).alias("total"), F.hll_sketch_agg("source", F.lit(SKETCH_BITS)).alias("sources"),
+        F.count("confidence").alias("confident"), F.sum("confidence").alias("confidence"), F.max("scored_at").alias("last_scored_at"))
+
+
+def sketch_kpi(sketches: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """A11b from daily sketches, over all days or those from ``first`` to ``last``."""
+    days = sketches
+    if first is not None:
+        days = days.where(F.col("date") >= first)
+    if last is not None:
+        days = days.where(F.col("date") <= last)
+    return days.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
+                    F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sources")), F.lit(0)).alias("sources"),
+                    F.try_divide(F.sum("confidence"), F.sum("confident")).alias("avg_confidence"), F.max("last_scored_at").alias("last_scored_at"))
+
+
 def chart_pie(sc: DataFrame) -> DataFrame:
     """A12 pie: two slices, Real then Fake, in percent."""
     t = totals(sc)

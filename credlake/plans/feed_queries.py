@@ -9,6 +9,7 @@ from credlake.operators.stats import as_of_literal
 from credlake.plans import oracle as o
 from credlake.plans.oracle import sql
 from credlake.plans.registry import query
+from credlake.session import work_dir
 from credlake.sources import fixtures as fx
 
 GOLD = "doc_id, id, source, title, content, url, published_at, fetched_at, date, label, confidence, scored_at"
@@ -100,3 +101,41 @@ def q_union_dedupe(spark, sf):
     gnews = art.where(F.col("source").startswith("gnews:"))
     seen = fx.articles_scored(spark, sf).where(F.col("doc_id") % 3 == 0).select("id")
     return new_articles([newsapi, gnews], seen, order_by=("fetched_at", "doc_id"))
+
+
+def _stored(spark, sf):
+    """F3 as a table, and the hour counts kept beside it."""
+    path = work_dir(spark, "feed")
+    fx.articles_scored(spark, sf).write.partitionBy("date").parquet(f"{path}/rows")
+    sc = spark.read.parquet(f"{path}/rows").select(*GOLD.split(", "))
+    fd.hour_counts(sc).write.parquet(f"{path}/fetched")
+    fd.hour_counts(sc, "scored_at").write.parquet(f"{path}/scored")
+    return sc, spark.read.parquet(f"{path}/fetched"), spark.read.parquet(f"{path}/scored")
+
+
+@query("page_bounded", "T1, P17, P18 (bound and source list found in the hour counts)", sql(f"""
+SELECT {GOLD} FROM f3 WHERE label = 'Fake' AND starts_with(lower(source), 'newsapi:src1')
+ORDER BY fetched_at DESC, id ASC LIMIT 20 OFFSET 20""", "f3"))
+def q_page_bounded(spark, sf):
+    sc, counts, _ = _stored(spark, sf)
+    return fd.bounded_page(sc, counts, label="Fake", source="NEWSAPI:SRC1", page_no=2, size=20)
+
+
+@query("page_bounded_contains", "T1, P19 (bound and source list found in the hour counts)", sql(f"""
+SELECT {GOLD} FROM f3 WHERE contains(lower(source), 'src1') ORDER BY fetched_at DESC, id ASC LIMIT 50""", "f3"))
+def q_page_bounded_contains(spark, sf):
+    sc, counts, _ = _stored(spark, sf)
+    return fd.bounded_page(sc, counts, source="Src1", match="contains", size=50)
+
+
+@query("retain_bounded", "D4 (bound found in the hour counts)", sql(f"""
+SELECT {GOLD} FROM f3 ORDER BY fetched_at DESC, id ASC LIMIT 500""", "f3"))
+def q_retain_bounded(spark, sf):
+    sc, counts, _ = _stored(spark, sf)
+    return fd.bounded_retain(sc, counts, 500)
+
+
+@query("feed_bounded", "T3, P26 (bound, count and cursor through the hour counts)", _feed_sql(True))
+def q_feed_bounded(spark, sf):
+    sc, _, counts = _stored(spark, sf)
+    return fd.bounded_feed(sc, counts, as_of_literal(sc) - F.make_dt_interval(F.lit(0), F.lit(6)))

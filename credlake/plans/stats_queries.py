@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from credlake.operators import stats
 from credlake.plans.oracle import sql
 from credlake.plans.registry import query
+from credlake.session import work_dir
 from credlake.sources import fixtures as fx
 
 FAKE_N = "count(*) FILTER (WHERE label = 'Fake')"
@@ -150,3 +151,14 @@ SELECT (SELECT count(DISTINCT id) FROM f4) AS expected,
        (SELECT count(DISTINCT id) FROM f4 WHERE id IN (SELECT id FROM f3)) AS found""", "f3", "f4"))
 def q_landed(spark, sf):
     return stats.landed(fx.articles_scored(spark, sf), fx.updates(spark, sf))
+
+
+@query("kpi_sketch", "A11b (merged daily sketches, the newest three days)", sql("""
+SELECT count(*) AS total, count(DISTINCT source) AS sources, round(avg(confidence), 6) AS avg_confidence, max(scored_at) AS last_scored_at
+FROM f3 WHERE date >= (SELECT max(date) FROM f3) - 2""", "f3"))
+def q_kpi_sketch(spark, sf):
+    path = work_dir(spark, "sketches")
+    stats.daily_sketches(fx.articles_scored(spark, sf)).write.parquet(path)
+    days = spark.read.parquet(path)
+    newest = F.lit(days.agg(F.max("date")).first()[0])
+    return stats.sketch_kpi(days, first=F.date_sub(newest, 2)).withColumn("avg_confidence", F.round("avg_confidence", 6))

@@ -200,3 +200,24 @@ def q_layer_inventory(spark, sf):
         q.awaitTermination()
     jobs.run_score_stream(spark, base, ckpt, scored_at=_scored_at).awaitTermination()
     return lake.layer_inventory(spark, base).select("tier", "exists", "rows")
+
+
+@query("timeline_corrected", "W6 (late rows kept: newest files first, a one-hour delay)", sql("""
+SELECT strftime(date_trunc('hour', scored_at), '%Y-%m-%dT%H:00') AS hour,
+       count(*) FILTER (WHERE label = 'Fake') AS fake, count(*) FILTER (WHERE label = 'Real') AS real,
+       count(*) FILTER (WHERE label IN ('Fake', 'Real')) AS total
+FROM f3 GROUP BY 1""", "f3"))
+def q_timeline_corrected(spark, sf):
+    root, backwards = _stage_scored(spark, sf), work_dir(spark, "backwards")
+    for k in range(4):  # a file stream takes files in the order in which they were written
+        spark.read.schema(GOLD_SCHEMA).parquet(f"{root}/part={3 - k}").write.parquet(f"{backwards}/part={k}")
+    out, ckpt = work_dir(spark, "timeline"), work_dir(spark, "ckpt")
+    jobs.run_timeline_kept(_scored_stream(spark, backwards), out, ckpt, "1 hour").awaitTermination()
+    return jobs.kept_timeline(spark, out)
+
+
+@query("state_audit", "W2, W4 (the state store's ids against silver's)", sql(f"""
+SELECT DISTINCT id, true AS in_silver, true AS in_state FROM ({FIRST_SILVER})""", "f1t"))
+def q_state_audit(spark, sf):
+    base, ckpt = _silver(spark, sf)
+    return jobs.state_audit(spark, base, ckpt)

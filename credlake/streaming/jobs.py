@@ -224,6 +224,51 @@ def run_timeline_stream(scored: DataFrame, path: str, ckpt: str, trigger: str |
     return _keyed_rows(timeline_agg(scored), path, ckpt, trigger)
 
 
+HOURS = "side string, hour timestamp, fake long, real long, max_scored_at timestamp"
+
+
+def run_timeline_kept(scored: DataFrame, path: str, ckpt: str, delay: str = "2 hours", trigger: str | None = None) -> StreamingQuery:
+    """W6 with late rows kept: the stream is split at the watermark.
+
+    The watermark of a micro-batch is the latest scored_at of the batches before
+    it less ``delay``.  Rows of hours that ended before it are late: they go to the
+    corrections, the others to the timeline.  Both are sums per hour and batch, so
+    there is no state to grow and no row is left out; a retry overwrites its folder."""
+    spark = scored.sparkSession
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        before = _hour_parts(spark, path).where(F.col("batch_id") < batch_id).agg(F.max("max_scored_at")).first()[0]
+        mark = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        hour = F.date_trunc("hour", F.col("scored_at").cast("timestamp"))
+        late = F.coalesce(hour + F.make_dt_interval(F.lit(0), F.lit(1)) <= mark, F.lit(False))
+        sums = batch.groupBy(F.when(late, "late").otherwise("on_time").alias("side"), hour.alias("hour")).agg(
+            F.count_if(F.col("label") == "Fake").alias("fake"), F.count_if(F.col("label") == "Real").alias("real"),
+            F.max("scored_at").alias("max_scored_at"))
+        sums.where("hour is not null").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (scored.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(**trigger_args(trigger)).start())
+
+
+def _hour_parts(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"{HOURS}, batch_id long"
+    if not lake.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+def kept_timeline(spark: SparkSession, path: str, corrections: bool = True) -> DataFrame:
+    """The hours of :func:`run_timeline_kept`; without ``corrections`` as a watermark alone leaves them."""
+    parts = _hour_parts(spark, path)
+    parts = parts if corrections else parts.where("side = 'on_time'")
+    return parts.groupBy(F.date_format("hour", "yyyy-MM-dd'T'HH:00").alias("hour")).agg(
+        F.sum("fake").alias("fake"), F.sum("real").alias("real"), F.sum(F.col("fake") + F.col("real")).alias("total"))
+
+
+def late_hours(spark: SparkSession, path: str) -> DataFrame:
+    """The corrections: hour, batch that brought them, rows."""
+    return _hour_parts(spark, path).where("side = 'late'").select("hour", "batch_id", (F.col("fake") + F.col("real")).alias("n"))
+
+
 def breakdown_agg(scored: DataFrame) -> DataFrame:
     """Per-source total / fake / real as a stream."""
     return scored.groupBy("source").agg(
@@ -284,3 +329,19 @@ def run_bounded_dedupe(src: DataFrame, path: str, ckpt: str, delay: str = "30 da
     d = dedupe_within(parse_envelopes(src), "id", delay)
     return (d.writeStream.format("parquet").option("path", path).option("checkpointLocation", ckpt)
             .outputMode("append").trigger(**trigger_args(trigger)).start())
+
+
+def state_ids(spark: SparkSession, ckpt: str, operator: int = 0) -> DataFrame:
+    """The ids that a dedupe query's checkpoint remembers, read with Spark's state data source."""
+    return spark.read.format("statestore").option("operatorId", operator).load(ckpt).select(F.col("key.id").alias("id"))
+
+
+def state_audit(spark: SparkSession, base: str, ckpt: str) -> DataFrame:
+    """Ids of the silver layer against those in the silver query's state.
+
+    An id in silver alone would be let in again; one in state alone was remembered
+    without its row."""
+    silver = lake.read_layer(spark, f"{base}/silver", "silver").select("id").distinct().withColumn("in_silver", F.lit(True))
+    state = state_ids(spark, f"{ckpt}/silver").withColumn("in_state", F.lit(True))
+    return silver.join(state, "id", "full_outer").select(
+        "id", F.coalesce("in_silver", F.lit(False)).alias("in_silver"), F.coalesce("in_state", F.lit(False)).alias("in_state"))
