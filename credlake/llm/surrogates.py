@@ -7,7 +7,8 @@ digits, an address its octet widths, a key its prefix and alphabet, a name its
 script and -- told by its title -- its gender.  Surrogates are functions of a
 secret key and the entity's canonical form (case, spacing and layout taken
 off), so one entity has one surrogate in the whole corpus however it is
-written; names are replaced word by word, so "Mr X" and "Mr Y X" agree on X.
+written; names are replaced word by word, so "Mr X" and "Mr Y X" agree on X,
+and a text's own name words are replaced where they stand without a title, too.
 
 Collision check: the distinct entities are proposed surrogates; where two
 entities of a type get the same, or one gets another entity's real value, all
@@ -23,8 +24,11 @@ Only the documents that hold entities are exploded and joined; the join to the
 surrogates is salted, since one entity may stand in a third of all documents.
 
 Edge cases: null and empty texts, and texts without entities, pass unchanged;
-a text may hold any number of entities; rows that repeat are treated alike;
-every column of the input but the text is carried along untouched.
+a text may hold any number of entities; rows that repeat and rows with null or
+equal ids are treated alike; every column of the input but the text is carried
+along untouched, also one named like the count (which is then left out); an
+empty table stays empty; very long texts are matched whole, in time linear in
+their length.
 """
 from __future__ import annotations
 
@@ -40,7 +44,9 @@ WIDEN_AFTER = 3           # attempts after which e-mails, settings and keys grow
 FIXED_WIDTH = ("ipv4", "ipv6", "iban", "ssn", "card", "phone")
 
 # ---- fixed values: forms of personal data ----
-EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
+# possessive, and tried at the start of a run only: linear in the text, without recursion
+HOST_LABEL = "[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
+EMAIL = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@" + HOST_LABEL + "(?:\\." + HOST_LABEL + "){1,126}+"
 SETTING_NAME = "(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)"
 SETTING = "\\b" + SETTING_NAME + "\\s{0,3}[=:]\\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}={0,2}"
 KEY = "\\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})"
@@ -52,13 +58,15 @@ CARD = "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{
 PHONE = "(?<![0-9+])\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{2,4}(?:[.-][0-9]{2,4})?" \
         "|[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3})(?![0-9]|\\.[0-9])" \
         "|(?<![0-9+])\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])"
-MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
+MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "Госпожа", "Κυρία")
+OTHER_TITLES = ("Dr", "Prof", "Professor", "Doctor")
+TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
 NAME_WORD = "\\p{Lu}[\\p{L}'’-]*\\p{Ll}"
-PERSON = "\\b(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + ")\\b\\.? " + NAME_WORD + "(?: " + NAME_WORD + ")?"
+PERSON = "\\b(?:" + TITLES + ")\\b\\.? " + NAME_WORD + "(?: " + NAME_WORD + "){0,2}"
 PII = "|".join((EMAIL, SETTING, KEY, IPV4, IPV6, IBAN, SSN, CARD, PHONE, PERSON))
 #: a text without any of these holds no match of PII
-HINT = "[0-9@]|" + SETTING_NAME + "|" + "|".join(MALE_TITLES + FEMALE_TITLES)
+HINT = "[0-9@]|" + SETTING_NAME + "|" + TITLES
 # ---- fixed values: name parts by script, to build surrogate names from ----
 LATIN_STEMS = ("Al", "Bren", "Cor", "Dav", "El", "Fen", "Gar", "Hol", "Iv", "Jor", "Kel", "Lor", "Mar", "Nor", "Or", "Per")
 LATIN_MALE, LATIN_FEMALE = ("ric", "ton", "win", "mond", "bert", "lan", "den", "gus"), ("ina", "elle", "anna", "etta", "ika", "ora", "isa", "lia")
@@ -164,8 +172,9 @@ def _name(value: Column, kind: Column, seed: Column, attempt: Column) -> Column:
     """A name word of the value's script; kind is given-m, given-f or family."""
     def built(script: str) -> Column:
         stems, male, female, family = SCRIPTS[script]
-        ends = F.when(kind == "given-m", _pick(male, _draw(seed, "e", len(male)))).when(
-            kind == "given-f", _pick(female, _draw(seed, "e", len(female)))).otherwise(_pick(family, _draw(seed, "e", len(family))))
+        either = male + female  # a title that tells no gender
+        ends = (F.when(kind == "given-m", _pick(male, _draw(seed, "e", len(male)))).when(kind == "given-f", _pick(female, _draw(seed, "e", len(female))))
+                .when(kind == "given", _pick(either, _draw(seed, "e", len(either)))).otherwise(_pick(family, _draw(seed, "e", len(family)))))
         middle = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: F.when(i == 0, "").otherwise(
             F.lower(_pick(stems, _draw(seed, i, len(stems)))))), "")
         return F.concat(_pick(stems, _draw(seed, "s", len(stems))), middle, ends)
@@ -174,10 +183,12 @@ def _name(value: Column, kind: Column, seed: Column, attempt: Column) -> Column:
 
 
 def _entities(match: Column) -> Column:
-    """(kind, canon) of the entities in one match: two for a full name, else one."""
+    """(kind, canon) of the entities in one match: one for each word of a name, else one."""
     words = F.split(F.regexp_replace(match, "^[^ ]+ ", ""), " ")
-    gender = F.when(match.rlike("^(" + "|".join(FEMALE_TITLES) + ")\\b"), "given-f").otherwise("given-m")
     entity = lambda kind, canon: F.struct(kind.alias("kind"), canon.alias("canon"))
+    gender = (F.when(match.rlike("^(" + "|".join(FEMALE_TITLES) + ")\\b"), "given-f")
+              .when(match.rlike("^(" + "|".join(MALE_TITLES) + ")\\b"), "given-m").otherwise("given"))
+    names = F.transform(words, lambda w, i: entity(F.when(i == F.size(words) - 1, "family").otherwise(gender), w))
     digits = F.regexp_replace(match, "[^0-9]", "")
     one = lambda kind, canon: F.array(entity(F.lit(kind), canon))
     return (F.when(match.contains("@"), one("email", F.lower(match)))
@@ -189,8 +200,7 @@ def _entities(match: Column) -> Column:
             .when(match.rlike(whole(SSN)), one("ssn", digits))
             .when(match.rlike(whole(CARD)), one("card", digits))
             .when(match.rlike("^[+(0-9]"), one("phone", F.regexp_replace(match, "[^0-9+]", "")))
-            .when(F.size(words) > 1, F.array(entity(gender, F.get(words, F.lit(0))), entity(F.lit("family"), F.get(words, F.lit(1)))))
-            .otherwise(F.array(entity(F.lit("family"), F.get(words, F.lit(0))))))
+            .otherwise(names))
 
 
 def _wider(seed: Column, attempt: Column) -> Column:
@@ -284,11 +294,31 @@ def has_pii(text: Column) -> Column:
     return F.coalesce(text.rlike(HINT) & text.rlike(PII), F.lit(False))
 
 
-def replace_pii(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the entities of its text replaced, and n_entities."""
-    if "n_entities" in docs.columns:
-        docs = docs.drop("n_entities")
+WORD = "\\p{L}[\\p{L}'’-]*\\p{L}|\\p{L}|[^\\p{L}]++"  # words, and what lies between
+
+
+def _with_mentions(found: DataFrame, placed: DataFrame) -> DataFrame:
+    """(row_id, said): the gaps of rows that name people, with their name words replaced
+    there, too: whoever was named with a title stays the same person without it.
+
+    Words are joined to the row's own names; a word that is two kinds of name is
+    taken as it came first."""
+    names = (placed.filter(F.col("kind").startswith("given") | (F.col("kind") == "family"))
+             .groupBy("row_id", F.col("canon").alias("word")).agg(F.min_by("surrogate", F.struct("at", "part")).alias("surrogate")))
+    gaps = found.join(names.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.posexplode("gaps").alias("at", "gap"))
+    words = gaps.select("row_id", "at", F.posexplode_outer(F.regexp_extract_all("gap", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    said = words.join(names, ["row_id", "word"], "left").groupBy("row_id", "at").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("surrogate", "word").alias("word")))).alias("words"))
+    said = said.select("row_id", "at", F.array_join(F.transform("words", lambda w: w["word"]), "").alias("gap"))
+    return said.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "gap"))), lambda g: g["gap"]).alias("said"))
+
+
+def replace_pii(docs: DataFrame, key: str, count_as: str = "n_entities") -> DataFrame:
+    """``docs`` with the entities of its text replaced, and their number as ``count_as``.
+
+    A column of that name in ``docs`` stays as it is, and the number is left out."""
     columns = docs.columns
+    counted = count_as not in columns
     found = saved(
         docs.filter(has_pii(F.col("text")))
         .select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.monotonically_increasing_id().alias("row_id"),
@@ -298,11 +328,13 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
         "pii-rows")
     spots = found.select("row_id", F.explode("entities").alias("e")).select("row_id", "e.*")
     surrogates = assign(spots.select("kind", "canon"), key)
-    placed = (spread_join(spots, surrogates, ["kind", "canon"], ["row_id", "at"])
-              .groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "part", "kind", "surrogate"))).alias("placed")))
-    parts = F.transform("gaps", lambda gap, i: F.when(i < F.size("matches"), F.concat(gap, _laid_out(
-        F.get("matches", i), F.filter("placed", lambda p: p["at"] == i)))).otherwise(gap))
-    done = found.join(placed, "row_id").select(
+    placed = saved(spread_join(spots, surrogates, ["kind", "canon"], ["row_id", "at"]), "placed")
+    by_match = placed.groupBy("row_id", "at").agg(F.array_sort(F.collect_list(F.struct("part", "kind", "surrogate"))).alias("new"))
+    by_row = by_match.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda m: m["new"]).alias("placed"))
+    parts = F.transform(F.coalesce("said", "gaps"), lambda gap, i: F.when(i < F.size("matches"), F.concat(
+        gap, _laid_out(F.get("matches", i), F.get("placed", i)))).otherwise(gap))
+    done = found.join(by_row, "row_id").join(_with_mentions(found, placed), "row_id", "left").select(
         *(F.array_join(parts, "").alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in columns),
-        F.size("matches").cast("long").alias("n_entities"))
-    return docs.filter(~has_pii(F.col("text"))).select("*", F.lit(0).cast("long").alias("n_entities")).union(done)
+        *([F.size("matches").cast("long").alias(count_as)] if counted else []))
+    rest = docs.filter(~has_pii(F.col("text")))
+    return rest.select("*", *([F.lit(0).cast("long").alias(count_as)] if counted else [])).union(done)

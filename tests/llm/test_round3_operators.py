@@ -1,4 +1,4 @@
-"""Operators 7, 11, 12 and 13: edge cases and plain-Python comparisons."""
+"""Operators 1, 7, 11, 12 and 13: edge cases and plain-Python comparisons."""
 from __future__ import annotations
 
 import collections
@@ -8,19 +8,48 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from credlake.llm import bloom_sketch, catalogue, ngram_trie, prefix_trie, token_alignment
+from credlake.llm import bloom_sketch, catalogue, ngram_trie, prefix_trie, surrogates, token_alignment
 from credlake.llm.ngram_trie import EliasFano
 from tests.llm.helpers import DOCS, LOWER, rows_of
 
 SF = "/root/testdata/sf0.001"
 
 
+# ---- 1: surrogates ----
+
+def test_long_texts_of_one_kind_are_matched_in_linear_time(spark):
+    n = 1_000_000
+    texts = ["a" * n + "1", "1" * n, "." * n + "@", "a." * (n // 2) + "1", "x@" + "a." * (n // 2) + "com", "ab-" * (n // 3) + "@", "Mr " * 20_000 + "A" * 1000,
+             "x@" + "a." * 3000 + "com", "deadbeef" * (n // 8)]
+    frame = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(1)
+    begin = time.time()
+    out = {r["doc_id"]: r for r in surrogates.replace_pii(frame, "k").collect()}
+    assert time.time() - begin < 60 and len(out) == len(texts)
+    assert out[0]["text"] == texts[0] and out[8]["text"] == texts[8] and out[4]["n_entities"] == 1 and not out[7]["text"].startswith("x@a.")
+
+
+def test_names_with_other_titles_more_words_and_without_a_title(spark):
+    text = "Mr John Smith met Dr Jane Doe and Mrs Anna Maria Lopez. Smith said Lopez, not Jane; Smithers and Doe-Ray were out. Sra Lopez"
+    frame = spark.createDataFrame([(1, text, 77), (None, text, 78), (2, "Smith is unnamed here", 79)], DOCS + ", n_entities int")
+    rows = surrogates.replace_pii(frame, "k").collect()
+    out = {r["doc_id"]: r for r in rows}
+    assert out[1]["text"] == out[None]["text"] and sorted(r["n_entities"] for r in rows) == [77, 78, 79] and out[2]["text"] == "Smith is unnamed here"
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Dr (\w+) (\w+) and Mrs (\w+) (\w+) (\w+)\. (\w+) said (\w+), not (\w+); Smithers and Doe-Ray were out\. Sra (\w+)",
+                     out[1]["text"])
+    assert m, out[1]["text"]
+    john, smith, jane, doe, anna, maria, lopez, smith2, lopez2, jane2, lopez3 = m.groups()
+    assert smith == smith2 and lopez == lopez2 == lopez3 and jane == jane2 and len({john, smith, jane, doe, anna, maria, lopez}) == 7
+    assert not {"John", "Smith", "Jane", "Doe", "Anna", "Maria", "Lopez"} & set(m.groups())
+    assert anna.endswith(surrogates.LATIN_FEMALE) and maria.endswith(surrogates.LATIN_FEMALE) and john.endswith(surrogates.LATIN_MALE)
+
+
 # ---- 7: sketches ----
 
 def sketched(rows):
