@@ -63,8 +63,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes surrogates; n_chars follows the new text."""
-    done = surrogates.replace_pii(docs, catalogue.SURROGATE_KEY)
-    counted = F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    done = surrogates.replace_pii(docs, catalogue.SURROGATE_KEY, count_as="__replaced")
+    counted = F.when(F.col("__replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", counted).select(*docs.columns)
 
 
