@@ -209,7 +209,7 @@ def names_a_language(label: Column) -> Column:
 
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Evidence rows of web pages (page_id, url, html): markup taken off, the
-    declared language, and the parts of the address."""
+    declared language, and the parts of the address.  Other columns are not read."""
     html = F.coalesce(F.col("html"), F.lit(""))
     bare = F.regexp_replace(html, "(?is)<!--.*?-->|<(script|style)\\b.*?</\\1\\s*>|<[^>]*>", " ")
     declared = F.lower(F.regexp_extract(html, "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,3})", 1))
@@ -217,5 +217,5 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     labels = F.split(host, "\\.")
     given = lambda c: F.when(c != "", c)
     return pages.select(
-        "*", bare.alias("text"), given(declared).alias("declared"), given(F.element_at(labels, -1)).alias("suffix"),
+        "page_id", bare.alias("text"), given(declared).alias("declared"), given(F.element_at(labels, -1)).alias("suffix"),
         given(host).alias("host"), given(F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")).alias("domain"))

@@ -3,10 +3,10 @@
 A change is an insert, a delete or a revision of one document's count under
 one tokenizer version.  Each batch of changes is reduced to one signed row per
 (source, lang, tokenizer) and written to the batch's own folder of the rollup
-table; totals are the sum over the folders.  Writing a batch again replaces
-its folder, so a retried or replayed batch never counts twice, and a crashed
-batch leaves the totals as they were.  A hot source is pre-aggregated on the
-map side before the one narrow shuffle.
+table; totals are the sum over the committed folders.  A batch that is committed
+already is left as it is, so a replay never counts twice and never takes a
+folder away; one that was lost half-written is not read, and its retry replaces
+it.  A hot source is pre-aggregated on the map side before the one narrow shuffle.
 
 Edge cases: a null source, lang or tokenizer is a group of its own; a null
 count is 0 tokens of one document; null text has no tokens; empty batches
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credlake.sources.lake import _glob, exists
+
 KEYS = ("source", "lang", "tokenizer")
 MEASURES = ("docs", "tokens", "bytes")
 DELTA_SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, bytes long"
@@ -57,13 +59,20 @@ def deltas(changes: DataFrame) -> DataFrame:
             .filter(" or ".join(f"{m} <> 0" for m in MEASURES)))
 
 
+def committed(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the batches that were written whole."""
+    return [done.removesuffix("/_SUCCESS") for done in _glob(spark, f"{root}/batch=*/_SUCCESS")]
+
+
 def commit(changes: DataFrame, root: str, batch: str) -> None:
-    """Write a batch's signed rows; the same batch again replaces them."""
-    deltas(changes).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+    """Writes a batch's signed rows once; a committed batch given again changes nothing."""
+    folder = f"{root}/batch={batch}"
+    if not exists(changes.sparkSession, f"{folder}/_SUCCESS"):
+        deltas(changes).write.mode("overwrite").parquet(folder)
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
     """Current totals: the sum of all committed batches."""
-    summed = (spark.read.schema(DELTA_SCHEMA + ", batch string").option("basePath", root).parquet(root)
-              .groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)))
-    return summed.filter("docs <> 0")
+    folders = committed(spark, root)
+    rows = spark.read.schema(DELTA_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], DELTA_SCHEMA)
+    return rows.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)).filter("docs <> 0")

@@ -1,4 +1,4 @@
-"""Operators 1, 7, 11, 12 and 13: edge cases and plain-Python comparisons."""
+"""Operators 1, 4, 6, 7, 11, 12 and 13: edge cases and plain-Python comparisons."""
 from __future__ import annotations
 
 import collections
@@ -15,8 +15,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from credlake.llm import bloom_sketch, catalogue, ngram_trie, prefix_trie, surrogates, token_alignment
+from credlake.llm import bloom_sketch, catalogue, language, ngram_trie, prefix_trie, surrogates, token_alignment, token_rollup
 from credlake.llm.ngram_trie import EliasFano
+from credlake.session import work_dir
+from credlake.sources import lake
 from tests.llm.helpers import DOCS, LOWER, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +52,36 @@ def test_names_with_other_titles_more_words_and_without_a_title(spark):
     assert anna.endswith(surrogates.LATIN_FEMALE) and maria.endswith(surrogates.LATIN_FEMALE) and john.endswith(surrogates.LATIN_MALE)
 
 
+# ---- 4 and 6 ----
+
+def test_rollup_reads_whole_batches_only_and_keeps_committed_ones(spark):
+    root = work_dir(spark, "rollup")
+    cols = "op string, source string, lang string, tokenizer string, tokens long, bytes long, " \
+           "old_source string, old_lang string, old_tokenizer string, old_tokens long, old_bytes long"
+    batch = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, n, None, None, None, None, None)], cols)
+    assert token_rollup.totals(spark, root).count() == 0
+    token_rollup.commit(batch(5), root, "1")
+    token_rollup.commit(batch(7), root, "2")
+    lake._delete(spark, f"{root}/batch=2/_SUCCESS")  # the driver was lost while the batch was written
+    assert [tuple(r) for r in token_rollup.totals(spark, root).collect()] == [("a", "en", "v1", 1, 5, 5)]
+    before = lake._glob(spark, f"{root}/batch=1/*.parquet")
+    for name in ("1", "2"):
+        token_rollup.commit(batch(7), root, name)
+    assert lake._glob(spark, f"{root}/batch=1/*.parquet") == before  # a replay takes nothing away
+    assert [tuple(r) for r in token_rollup.totals(spark, root).collect()] == [("a", "en", "v1", 2, 12, 12)]
+
+
+def test_page_evidence_beside_columns_of_its_own_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<html lang=fr>bonjour", "T", "H", "S", "D", "en", 5)],
+                                  "page_id long, url string, html string, text string, host string, suffix string, domain string, declared string, row_id long")
+    got = language.page_evidence(pages).first()
+    assert (got["page_id"], got["text"].strip(), got["host"], got["declared"]) == (1, "bonjour", "a.example", "fr")
+    docs = spark.createDataFrame([(k, f"le chat et la souris {k}", "fr") for k in range(9)] + [(k, f"the cat and the mouse {k}", "en") for k in range(9, 18)],
+                                 "id long, text string, lang string")
+    rows = language.page_evidence(pages).withColumnRenamed("page_id", "row_id")
+    assert language.identify(rows, language.train(docs)).first()["lang"] == "fr"
+
+
 # ---- 7: sketches ----
 
 def sketched(rows):
