@@ -50,6 +50,12 @@ def totals(sc: DataFrame, summary: DataFrame | None = None) -> DataFrame:
                        pct(F.col("real"), F.col("total")).alias("real_pct"))
 
 
+def label_counts_summary(counts: DataFrame) -> DataFrame:
+    """Counts ``n`` per label (and more keys) in the form :func:`totals` sums up."""
+    n = F.col("n")
+    return counts.select(n.alias("total"), F.when(F.col("label") == FAKE, n).alias("fake"), F.when(F.col("label") == REAL, n).alias("real"))
+
+
 def top_sources(sc: DataFrame, k: int = 10, summary: DataFrame | None = None) -> DataFrame:
     """A2: article count per source, largest first (source breaks ties)."""
     s = summary if summary is not None else sc.groupBy("source").agg(F.count(F.lit(1)).alias("total"))

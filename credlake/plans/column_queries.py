@@ -84,16 +84,18 @@ def q_model_score(spark, sf):
     return art.select("doc_id", s["label"].alias("label"), s["confidence"].alias("confidence"))
 
 
-@query("label_norm", "P12", sql("""
-SELECT vec_id, raw,
+@query("label_norm", "P12", sql(f"""
+SELECT doc_id, raw,
        CASE WHEN upper(raw) LIKE '%FAKE%' OR upper(raw) = '0' THEN 'Fake' ELSE 'Real' END AS label,
        CASE raw WHEN 'FAKE' THEN 'Fake' WHEN 'REAL' THEN 'Real' ELSE raw END AS label_mapped
-FROM (SELECT vec_id, ['FAKE', 'fake', '0', '1', 'LABEL_0', 'real', 'Fake News'][vec_id % 7 + 1] AS raw
-      FROM embeddings)"""))
+FROM (SELECT doc_id, CASE WHEN {o.md5_byte('text', 1)} % 8 = 0 THEN picked || ' ' || split_part(text, {o.NL}, 1) ELSE picked END AS raw
+      FROM (SELECT doc_id, text,
+                   ['FAKE', 'fake', '0', '1', 'LABEL_0', 'real', 'Fake News'][{o.md5_byte('text', 0)} % 7 + 1] AS picked
+            FROM documents))"""))
 def q_label_norm(spark, sf):
     r = fx.raw_labels(spark, sf)
     mapping = label_map(fx.ID2LABEL.values())
-    return r.select("vec_id", "raw", normalize_label("raw").alias("label"),
+    return r.select("doc_id", "raw", normalize_label("raw").alias("label"),
                     normalize_label("raw", mapping).alias("label_mapped"))
 
 

@@ -8,6 +8,7 @@ from credlake.plans.oracle import sql
 from credlake.plans.registry import query
 from credlake.session import work_dir
 from credlake.sources import fixtures as fx
+from credlake.sources import lake
 
 FAKE_N = "count(*) FILTER (WHERE label = 'Fake')"
 REAL_N = "count(*) FILTER (WHERE label = 'Real')"
@@ -32,6 +33,36 @@ def q_totals_shared(spark, sf):
     return stats.totals(sc, stats.source_summary(sc))
 
 
+def _one_file_layers(spark, sf):
+    """Silver and gold of F3 with one file per partition, so that SQL can tell the number of files."""
+    base = work_dir(spark, "layers")
+    sc = fx.articles_scored(spark, sf)
+    for layer in ("silver", "gold"):
+        parts = lake.LAYER_PARTITIONS[layer]
+        rows = sc.select(*(F.col(f.name) if f.name in sc.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in lake.LAYER_SCHEMAS[layer]))
+        rows.repartition(*parts).write.partitionBy(*parts).parquet(f"{base}/{layer}")
+    return base
+
+
+@query("totals_footers", "A1 (from file footers)", sql(f"""
+SELECT count(*) AS total, {FAKE_N} AS fake, {REAL_N} AS real,
+       coalesce(round_even({FAKE_N}::DOUBLE / count(*) * 100, 1), 0.0) AS fake_pct,
+       coalesce(round_even({REAL_N}::DOUBLE / count(*) * 100, 1), 0.0) AS real_pct
+FROM f3""", "f3"))
+def q_totals_footers(spark, sf):
+    counts = lake.footer_counts(spark, f"{_one_file_layers(spark, sf)}/gold", "gold")
+    return stats.totals(counts, stats.label_counts_summary(counts))
+
+
+@query("inventory_footers", "S18 (from file footers)", sql("""
+SELECT 'bronze' AS tier, false AS exists, 0 AS files, 0 AS rows, 0 AS partitions, NULL::DATE AS first_date, NULL::DATE AS last_date
+UNION ALL SELECT 'silver', true, count(DISTINCT date), count(*), count(DISTINCT date), min(date), max(date) FROM f3
+UNION ALL SELECT 'gold', true, count(DISTINCT (date, label)), count(*), count(DISTINCT (date, label)), min(date), max(date) FROM f3""", "f3"))
+def q_inventory_footers(spark, sf):
+    return lake.footer_inventory(spark, _one_file_layers(spark, sf))
+
+
 @query("top_sources", "A2", sql("""
 SELECT source, count(*) AS count FROM f3 GROUP BY source
 ORDER BY count DESC, source ASC NULLS FIRST LIMIT 10""", "f3"))

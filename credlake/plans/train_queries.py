@@ -57,6 +57,33 @@ def q_corpus(spark, sf):
     return _corpus(spark, sf)
 
 
+# F8 as its readers see it; the quoted titles hold a separator and are one field
+MARRED_SQL = f"""
+SELECT CASE WHEN doc_id % 10 = 0 THEN 'test.tsv' WHEN doc_id % 10 = 1 THEN 'valid.tsv' ELSE 'train.tsv' END AS file,
+       CASE WHEN doc_id % 13 = 7 THEN 1 ELSE 12 END + 2 + CASE WHEN doc_id % 11 = 5 THEN 2 ELSE 0 END > 14 AS bad,
+       CASE WHEN doc_id % 19 = 1 THEN '' WHEN doc_id % 17 = 3 THEN 'quoted' ELSE {o.strip("regexp_replace(title, '[\t\r\",]', '', 'g')")} END AS text,
+       {RULING} = 'unknown' AS unlabelled
+FROM f1
+UNION ALL
+SELECT ['politifact_fake.csv', 'politifact_real.csv', 'gossipcop_fake.csv', 'gossipcop_real.csv'][doc_id % 4 + 1],
+       CASE WHEN doc_id % 13 = 7 THEN 0 ELSE 1 END + 2 + CASE WHEN doc_id % 11 = 5 THEN 2 ELSE 0 END > 3,
+       CASE WHEN doc_id % 19 = 1 THEN '' WHEN doc_id % 17 = 3 THEN 'quoted'
+            ELSE trim({o.strip("regexp_replace(title, '[\t\r\",]', '', 'g')")} || '. ' ||
+                      CASE WHEN doc_id % 13 = 7 THEN '' ELSE {o.strip("regexp_replace(content, '[\r\n\",]+', ' ', 'g')")} END, '. ') END, false
+FROM f1"""
+
+
+@query("corpus_report", "S15, S16 (what became of every record of marred training files)", sql(f"""
+SELECT file, 'read' AS status, count(*) AS n_read,
+       count(*) FILTER (WHERE NOT bad AND text <> '' AND NOT unlabelled) AS n_kept,
+       count(*) FILTER (WHERE bad) AS n_malformed, count(*) FILTER (WHERE NOT bad AND text = '') AS n_empty,
+       count(*) FILTER (WHERE NOT bad AND text <> '' AND unlabelled) AS n_unlabelled
+FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM ({MARRED_SQL})) GROUP BY file""", "f1"))
+def q_corpus_report(spark, sf):
+    root = fx.write_marred_corpus(spark, sf, work_dir(spark, "marred"))
+    return cp.corpus_report(spark, f"{root}/liar", f"{root}/fnn")
+
+
 @query("balance", "A6", sql(f"""
 SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
 FROM ({CORPUS_SQL})""", "f1"))

@@ -170,11 +170,15 @@ RAW_LABELS = ["FAKE", "fake", "0", "1", "LABEL_0", "real", "Fake News"]
 
 
 def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model label strings, one per embedding row (picked by vec_id % 7)."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id")
-    arr = F.array(*[F.lit(x) for x in RAW_LABELS])
-    return e.select("vec_id", F.element_at(arr, (F.col("vec_id") % len(RAW_LABELS) + 1).cast("int"))
-                    .alias("raw"))
+    """Raw model label strings, one per document: picked by a hash of its whole text,
+    every eighth followed by the text's first line."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.md5("text").alias("h"))
+
+    def byte(at: int) -> F.Column:
+        return F.conv(F.substring("h", at, 2), 16, 10).cast("int")
+    picked = F.element_at(F.array(*[F.lit(x) for x in RAW_LABELS]), byte(1) % len(RAW_LABELS) + 1)
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    return d.select("doc_id", F.when(byte(3) % 8 == 0, F.concat_ws(" ", picked, line)).otherwise(picked).alias("raw"))
 
 
 def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
@@ -204,6 +208,39 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
     return path
 
 
+FNN_HEADER = "news_id,title,text"
+
+
+def write_marred_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """F8: the training files with lines as they come in the wild, one per article and corpus.
+
+    By doc_id: % 17 = 3 quotes its title with a separator and doubled quotes inside,
+    % 19 = 1 has no title and no body, % 11 = 5 has two fields too many, % 13 = 7 ends after the title.
+    """
+    doc = F.col("doc_id")
+    art = articles_raw(spark, sf_dir)
+    title = F.when(doc % 19 != 1, F.regexp_replace("title", '[\t\r",]', ""))
+    body = F.when(doc % 19 != 1, F.regexp_replace("content", '[\r\n",]+', " "))
+
+    def line(sep: str, *fields):
+        quoted = F.concat(F.lit('"'), title, F.lit(f'{sep}said ""so"""'))
+        shown = F.coalesce(F.when(doc % 17 == 3, quoted), title, F.lit(""))
+        rest = F.when(doc % 13 == 7, F.lit("")).otherwise(F.concat_ws(sep, F.lit(""), *fields[1:]))
+        more = F.when(doc % 11 == 5, F.lit(f"{sep}x{sep}y")).otherwise(F.lit(""))
+        return F.concat(fields[0], F.lit(sep), shown, rest, more).alias("line")
+
+    ruling = F.element_at(F.array(*[F.lit(x) for x in LIAR_RULINGS]), (doc % len(LIAR_RULINGS) + 1).cast("int"))
+    head = F.concat(doc.cast("string"), F.lit(".json\t"), ruling)
+    liar = line("\t", head, F.lit("news"), F.col("source"), *[F.lit(x) for x in ["none"] * 3 + ["0"] * 5 + ["news"]])
+    for name, part in {"train": doc % 10 > 1, "valid": doc % 10 == 1, "test": doc % 10 == 0}.items():
+        art.where(part).select(liar).write.mode("overwrite").text(f"{path}/liar/{name}.tsv")
+    fnn = line(",", doc.cast("string"), F.coalesce(body, F.lit("")))
+    for i, name in enumerate(FNN_FILES):  # picked by doc_id % 4; lines are written as they are under the header
+        (art.where(doc % 4 == i).select(fnn.alias(FNN_HEADER)).write.mode("overwrite").option("header", "true")
+         .option("sep", "\u0001").option("quote", "\u0000").csv(f"{path}/fnn/{name}"))
+    return path
+
+
 def scored_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 variant for the sink guard: scored JSON with broken rows mixed in."""
     from credlake.schemas import GOLD_COLUMNS

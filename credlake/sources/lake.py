@@ -1,5 +1,5 @@
 """Bronze / silver / gold Parquet layers and the merged serving table
-(S6, S7, S8, S9, S12 storage, S18, W1-W3, W5).
+(S6, S7, S8, S9, S12 storage, S18, A1 from footers, W1-W3, W5).
 
 Layout decisions
 ----------------
@@ -14,6 +14,8 @@ The serving table (one row per id, partitioned by date) is kept by
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -146,6 +148,55 @@ def layer_inventory(spark: SparkSession, base: str, tiers=("bronze", "silver", "
     return out
 
 
+# -- answers from file footers (S18, A1) ---------------------------------------
+
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose Parquet counts come from file footers.
+
+    The settings that switch Spark's aggregate push-down on hold for a whole session,
+    so the caller's own one is left as it is."""
+    s = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        s.conf.set(name, spark.conf.get(name))
+    v1 = [f for f in s.conf.get("spark.sql.sources.useV1SourceList").split(",") if f != "parquet"]
+    s.conf.set("spark.sql.sources.useV1SourceList", ",".join(v1))
+    s.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return s
+
+
+def footer_counts(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """Rows of each partition of a layer (gold: date, label), summed over the footers:
+    ``COUNT(*)`` grouped by all partition columns is what a footer answers without
+    decoding a row.  Empty for a layer that is not there."""
+    parts = LAYER_PARTITIONS[layer]
+    s = footer_session(spark)
+    if not _glob(s, f"{path}/*"):
+        return s.createDataFrame([], LAYER_SCHEMAS[layer]).groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+    return s.read.schema(LAYER_SCHEMAS[layer]).parquet(path).groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+
+
+def footer_inventory(spark: SparkSession, base: str, tiers=("bronze", "silver", "gold")) -> DataFrame:
+    """S18 from footers: tier, exists, files, rows, partitions, first and last date.
+
+    The number of files comes from the listing that every read makes."""
+    s = footer_session(spark)
+    frames = []
+    for tier in tiers:
+        path = f"{base}/{tier}"
+        there = bool(_glob(s, f"{path}/*"))
+        counts = s.createDataFrame([], LAYER_SCHEMAS[tier])
+        files = 0
+        if there:
+            counts = s.read.schema(LAYER_SCHEMAS[tier]).parquet(path)
+            files = len(counts._jdf.inputFiles())  # counted in the JVM; the names stay there
+        per_part = counts.groupBy(*LAYER_PARTITIONS[tier]).agg(F.count(F.lit(1)).alias("n"))
+        frames.append(per_part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("partitions"),
+                                   F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+                      .select(F.lit(tier).alias("tier"), F.lit(there).alias("exists"), F.lit(files).cast("long").alias("files"),
+                              "rows", "partitions", "first_date", "last_date"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 # -- serving table -----------------------------------------------------------
 
 def read_serving(spark: SparkSession, table: str, schema: StructType = GOLD_SCHEMA) -> DataFrame:
