@@ -6,7 +6,8 @@ and the SHA-256 of the whole form is hash-joined to the digests of known
 licences.  The same digest lookup runs on each whole line that speaks of a
 licence (on every line, if the catalogue holds a notice that does not), which
 finds one-line notices inside a document.  The catalogue is a DataFrame that a
-caller may replace; its digests are broadcast.  The one given here has short
+caller may replace; up to ``BROADCAST_DIGESTS`` counted digests are broadcast,
+beyond that the lookup is a salted shuffle join.  The one given here has short
 licences below and the long ones as files in ``licence_texts``.
 
 Edge cases: null or empty text, and text with nothing left after the
@@ -21,6 +22,10 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credlake.llm.common import spread_join
+
+BROADCAST_DIGESTS = 100_000  # about 100 bytes each
+
 # ---- fixed values: equivalent spellings, first form replaced by the second ----
 SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
@@ -183,6 +188,15 @@ def known_digests(known: DataFrame) -> DataFrame:
             .groupBy("digest", "scope").agg(F.min("license_id").alias("license_id")))
 
 
+def with_digests(rows: DataFrame, digests: DataFrame, on: str) -> DataFrame:
+    """Left join with a catalogue's digests: sent to all tasks where there are
+    ``BROADCAST_DIGESTS`` at most, else by a shuffle with the rows' side salted
+    (a digest, or null, may hold a third of all rows)."""
+    if digests.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        return rows.join(F.broadcast(digests), on, "left")
+    return spread_join(rows, digests, [on], ["row_id"], "left")
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (whole text) and notices (whole lines, sorted ids).
 
@@ -199,9 +213,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     forms = F.array_distinct(F.filter(F.transform(lines, lambda ln: digest(canonical_line(ln))), lambda d: d.isNotNull()))
     found = (docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), digest(canonical_text(text)).alias("digest"), forms.alias("lines"))
              .select("doc_id", "row_id", "digest", F.explode_outer("lines").alias("line"))
-             .join(F.broadcast(notices), "line", "left")
+             .transform(with_digests, notices, "line")
              .groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"),
                                     F.array_sort(F.collect_set("notice")).alias("found")))
-    return (found.join(F.broadcast(whole), "digest", "left")
+    return (found.transform(with_digests, whole, "digest")
             .select("doc_id", "digest", "license_id",
                     F.array_join("found", ",").alias("notices"), F.size("found").cast("long").alias("n_notices")))
