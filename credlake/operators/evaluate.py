@@ -111,6 +111,7 @@ def fingerprint(corpus: DataFrame) -> DataFrame:
 
 
 SPLIT_BUCKETS_LOG2 = 20
+COPIES_A_PIECE = 100_000  # equal rows that one row of the split's last step stands for
 
 
 def split_hash(text="text", seed: int = 42) -> Column:
@@ -120,31 +121,51 @@ def split_hash(text="text", seed: int = 42) -> Column:
     return h.cast("long")
 
 
+def _cut(counts: DataFrame, order: list[str], wanted) -> DataFrame:
+    """Of groups with ``n`` rows in ``order`` within each label: the one that holds the
+    ``wanted``-th row, and how many of its rows are wanted (``need``)."""
+    by_label = Window.partitionBy("label")
+    placed = counts.withColumn("upto", F.sum("n").over(by_label.orderBy(*order))).withColumn("wanted", wanted)
+    return (placed.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+            .withColumn("need", F.col("wanted") - F.col("upto") + F.col("n")))
+
+
 def stratified_split(corpus: DataFrame, test_fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """M1: ``part`` = test for exactly ``ceil(test_fraction * n)`` rows of every
     label, the first in hash order; independent of partitioning.
 
-    Rows are not ranked as a whole.  Counts per label and hash bucket (at most
-    2**20 buckets) give the bucket the cut falls into; rows of other buckets
-    are told by their bucket, and only the cut bucket's rows are ranked.
+    No rows are ranked.  Counts per label and hash bucket (at most 2**20) give the
+    bucket the cut falls into; inside it, counts per text and hash of the other
+    columns (a text that repeats without end is 2**20 groups at most) give the group;
+    its rows are equal, but for chance, so they are counted, and each distinct row is
+    written out as often as it was there, in pieces dealt over the cluster.
     """
+    spark, others = corpus.sparkSession, [c for c in corpus.columns if c not in ("label", "text")]
     rows = corpus.withColumn("_h", split_hash("text", seed))
     rows = rows.withColumn("_bucket", F.shiftright("_h", 48 - SPLIT_BUCKETS_LOG2))
-    counts = rows.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    by_label = Window.partitionBy("label")
-    upto = F.sum("n").over(by_label.orderBy("_bucket"))
-    cut = (counts.select("label", "_bucket", "n", upto.alias("upto"),
-                         F.ceil(F.lit(test_fraction) * F.sum("n").over(by_label)).alias("wanted"))
-           .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-           .select(F.col("label").alias("_label"), F.col("_bucket").alias("_cut"),
-                   (F.col("wanted") - F.col("upto") + F.col("n")).alias("_need")))
-    told = rows.join(F.broadcast(cut), F.col("label").eqNullSafe(F.col("_label")), "left")  # one row per label
-    in_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    share = F.ceil(F.lit(test_fraction) * F.sum("n").over(Window.partitionBy("label")))
+    cut = (_cut(rows.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("n")), ["_bucket"], share)
+           .select(F.col("label").alias("_label"), F.col("_bucket").alias("_cut"), F.col("need").alias("_need")))
+    told = rows.join(F.broadcast(cut), F.col("label").eqNullSafe(F.col("_label")), "left").drop("_label")  # one row per label
+    variant = F.pmod(F.xxhash64(*others), F.lit(1 << SPLIT_BUCKETS_LOG2)) if others else F.lit(0).cast("long")
+    told = told.withColumn("_at", F.when(F.col("_bucket") == F.col("_cut"), F.struct("_h", F.xxhash64("text").alias("x"), variant.alias("v"))))
+    group = (_cut(told.where("_at is not null").groupBy("label", "_at", "_need").agg(F.count(F.lit(1)).alias("n")), ["_at"], F.col("_need"))
+             .select(F.col("label").alias("_label"), F.col("_at").alias("_last"), F.col("need").alias("_of_last")))
+    told = told.join(F.broadcast(group), F.col("label").eqNullSafe(F.col("_label")), "left")
+    last = F.coalesce(F.col("_at") == F.col("_last"), F.lit(False))
+    first = F.when(F.col("_at").isNull(), F.col("_bucket") < F.col("_cut")).otherwise(F.col("_at") < F.col("_last"))
     side = lambda test: F.when(test, F.lit("test")).otherwise(F.lit("train")).alias("part")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("_h", "text"))
-    ranked = told.where(in_cut).withColumn("_rank", rank)
-    return (told.where(~in_cut).select(*corpus.columns, side(F.col("_bucket") < F.col("_cut")))
-            .unionByName(ranked.select(*corpus.columns, side(F.col("_rank") <= F.col("_need")))))
+
+    equal = told.where(last).groupBy(*corpus.columns, "_of_last").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy(*corpus.columns)) - F.col("n")
+    piece = F.col("_piece") * COPIES_A_PIECE
+    pieces = (equal.withColumn("_test", F.col("_of_last") - before)
+              .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES_A_PIECE))))
+              .withColumn("_copies", F.least(F.col("n") - piece, F.lit(COPIES_A_PIECE))).withColumn("_test", F.col("_test") - piece)
+              .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_piece"))
+    copies = pieces.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return (told.where(~last).select(*corpus.columns, side(first))
+            .unionByName(copies.select(*corpus.columns, side(F.col("_copy") <= F.col("_test")))))
 
 
 def split_counts(split: DataFrame) -> DataFrame:

@@ -220,6 +220,26 @@ def test_split_takes_the_exact_share_of_every_class(spark):
     assert ev.stratified_split(alike).where("part = 'test'").count() == math.ceil(0.1 * 429) + math.ceil(0.1 * 2574)
 
 
+def test_split_of_endless_repeats_counts_instead_of_ranking(spark, monkeypatch):
+    import math
+    from collections import Counter
+    monkeypatch.setattr(ev, "COPIES_A_PIECE", 7)
+    rows = ([("hot", 1, "s")] * 100 + [("hot", 1, f"s{k % 5}") for k in range(90)] + [("hot", 1, None)] * 30 + [("hot", None, "s")] * 9
+            + [(f"t{k}", k % 2, "s") for k in range(60)] + [(None, 0, "s"), ("", 0, None), ("", 0, None)])
+    corpus = spark.createDataFrame(rows, "text string, label int, source string")
+    for fraction in (0.0, 0.02, 0.1, 0.5, 0.9, 1.0):
+        split = ev.stratified_split(corpus, fraction).withColumn("h", ev.split_hash("text"))
+        got = split.collect()
+        assert Counter((r.text, r.label, r.source) for r in got) == Counter(rows)
+        again = ev.stratified_split(corpus.repartition(9), fraction).collect()
+        assert Counter((r.text, r.label, r.source, r.part) for r in got) == Counter(map(tuple, again))
+        for label in (0, 1, None):
+            sides = [[r.h for r in got if r.label == label and r.part == part] for part in ("test", "train")]
+            assert len(sides[0]) == math.ceil(fraction * sum(map(len, sides)))
+            assert max(sides[0], default=0) <= min(sides[1], default=1 << 60)
+    assert "row_number" not in ev.stratified_split(corpus)._jdf.queryExecution().toString()
+
+
 def test_model_scoring_loads_once_and_falls_back(spark):
     import os
     import tempfile
