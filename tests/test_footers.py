@@ -97,3 +97,16 @@ def test_field_counts_of_raw_records(spark):
             ('a,"""",c', False), ('a,""",""",c', False), (",,", False), (",,,", True), (None, False), (long, False), (long + ",w", True)]
     df = spark.createDataFrame(rows, "raw string, want boolean").withColumn("got", cp.too_many_fields(F.col("raw"), ",", 3))
     assert [(r.want, r.got) for r in df.collect()] == [(w, w) for _, w in rows]
+
+
+def test_only_files_with_quoted_newlines_are_read_whole(spark):
+    plain = ['a,b\n', '1,"x ""y"", z"\n', '5" screen,ok\r\n', ',""\n', '"""q""",w\n', '\n']
+    for extra, want in (([], False), (['2,"open\n', 'close"\n'], True), (['5" x,"open\n', 'close",y\n'], True),
+                        (['2,lone\rreturn\n'], True), (['"""\n', '",x\n'], True), ([f'3,"{"long " * 200_000}"\n'], False)):
+        path = work_dir(spark, "csv")
+        write(path, "f.csv", *plain, *extra)
+        assert cp.has_quoted_newlines(spark, f"{path}/f.csv") is want, extra
+    path = work_dir(spark, "fnn")
+    write(path, "gossipcop_fake.csv", "title,text\n", *(f'"t{k}, ""x""",body {k}\n' for k in range(5000)))
+    rows = [cp.read_fakenewsnet(spark, path, how).collect() for how in (None, True, False)]
+    assert sorted(rows[0]) == sorted(rows[1]) == sorted(rows[2]) and len(rows[0]) == 5000
