@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credlake.session import work_dir
+
 CLASS_NAMES = {0: "Fake", 1: "Real"}
 
 
@@ -139,16 +141,22 @@ def stratified_split(corpus: DataFrame, test_fraction: float = 0.1, seed: int =
     columns (a text that repeats without end is 2**20 groups at most) give the group;
     its rows are equal, but for chance, so they are counted, and each distinct row is
     written out as often as it was there, in pieces dealt over the cluster.
+
+    The corpus is computed once, into a scratch table with the hashes: the counts read
+    these alone, and only the parts read the texts.
     """
     spark, others = corpus.sparkSession, [c for c in corpus.columns if c not in ("label", "text")]
-    rows = corpus.withColumn("_h", split_hash("text", seed))
+    variant = F.pmod(F.xxhash64(*others), F.lit(1 << SPLIT_BUCKETS_LOG2)) if others else F.lit(0).cast("long")
+    hashed = corpus.select("*", split_hash("text", seed).alias("_h"), F.xxhash64("text").alias("_x"), variant.alias("_v"))
+    staged = work_dir(spark, "split")
+    hashed.write.parquet(staged)
+    rows = spark.read.schema(hashed.schema).parquet(staged)
     rows = rows.withColumn("_bucket", F.shiftright("_h", 48 - SPLIT_BUCKETS_LOG2))
     share = F.ceil(F.lit(test_fraction) * F.sum("n").over(Window.partitionBy("label")))
     cut = (_cut(rows.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("n")), ["_bucket"], share)
            .select(F.col("label").alias("_label"), F.col("_bucket").alias("_cut"), F.col("need").alias("_need")))
     told = rows.join(F.broadcast(cut), F.col("label").eqNullSafe(F.col("_label")), "left").drop("_label")  # one row per label
-    variant = F.pmod(F.xxhash64(*others), F.lit(1 << SPLIT_BUCKETS_LOG2)) if others else F.lit(0).cast("long")
-    told = told.withColumn("_at", F.when(F.col("_bucket") == F.col("_cut"), F.struct("_h", F.xxhash64("text").alias("x"), variant.alias("v"))))
+    told = told.withColumn("_at", F.when(F.col("_bucket") == F.col("_cut"), F.struct("_h", "_x", "_v")))
     group = (_cut(told.where("_at is not null").groupBy("label", "_at", "_need").agg(F.count(F.lit(1)).alias("n")), ["_at"], F.col("_need"))
              .select(F.col("label").alias("_label"), F.col("_at").alias("_last"), F.col("need").alias("_of_last")))
     told = told.join(F.broadcast(group), F.col("label").eqNullSafe(F.col("_label")), "left")

@@ -64,6 +64,14 @@ def test_strip_ws_is_python_strip(spark):
     assert [r[0] for r in df.select(strip_ws("t")).collect()] == [v.strip() for v in vals]
 
 
+def test_strip_ws_looks_at_the_ends_alone(spark):
+    every = [chr(k) for k in range(0x11000) if not 0xD800 <= k < 0xE000]
+    vals = [f"{c} x{c}y {c}" for c in every] + every
+    out = spark.createDataFrame([(v,) for v in vals], "t string").select(strip_ws("t").alias("s"))
+    assert [r.s for r in out.collect()] == [v.strip() for v in vals]
+    assert "regexp" not in out._jdf.queryExecution().toString()
+
+
 def test_default_scorer_matches_python(spark):
     rows = [("Breaking news", "Body"), ("", ""), (None, None), ("Another title", "x" * 5000),
             ("Ünïcödé", "漢字 body")]

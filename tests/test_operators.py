@@ -240,6 +240,20 @@ def test_split_of_endless_repeats_counts_instead_of_ranking(spark, monkeypatch):
     assert "row_number" not in ev.stratified_split(corpus)._jdf.queryExecution().toString()
 
 
+def test_split_computes_its_corpus_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+    rows = [(f"t{k % 40}", k % 2, "s") for k in range(120)] + [("t0", 0, None)]
+    corpus = spark.createDataFrame(rows, "text string, label int, source string").select(F.udf(seen)("text").alias("text"), "label", "source")
+    split = ev.stratified_split(corpus)
+    assert sorted(map(str, split.drop("part").collect())) == sorted(map(str, spark.createDataFrame(rows, corpus.schema).collect()))
+    assert ev.split_counts(split).where("part = 'test'").agg(F.sum("n")).first()[0] == 13
+    assert read.value == len(rows)  # neither the counts nor the two readers of the parts
+
+
 def test_model_scoring_loads_once_and_falls_back(spark):
     import os
     import tempfile
