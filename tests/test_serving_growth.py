@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from credlake.schemas import GOLD_SCHEMA
 from credlake.session import work_dir
 from credlake.sources import fixtures as fx
@@ -52,6 +54,30 @@ def test_ids_sent_and_ids_dealt_give_the_same_table(spark, monkeypatch):
     assert tables[0] == tables[1] and len(tables[0]) == 63  # ids 63, 70 and 77 are new
 
 
+def test_a_replay_reads_no_stored_texts_and_folds_no_whole_rows(spark, monkeypatch):
+    table = work_dir(spark, "serving")
+    rows = spark.createDataFrame(rows_of(60), GOLD_SCHEMA).persist()
+    serving.merge_into(spark, table, rows, batch="a")
+    before = sorted(map(tuple, lake.read_serving(spark, table).collect()))
+    folds, wide = serving.fold_updates, []
+    monkeypatch.setattr(serving, "fold_updates", lambda df, *a: wide.append("content" in df.columns) or folds(df, *a))
+    serving.merge_into(spark, table, rows, batch="b")
+    assert not any(wide) and rows.is_cached
+    assert sorted(map(tuple, lake.read_serving(spark, table).collect())) == before
+    # fields to keep, ids that come twice and rows of other ids are all merged as a fold of everything does
+    T1 = T0 + dt.timedelta(hours=1)
+    later = [("i1", "s", None, "new", None, T0, None, None, "Fake", None, T1), ("i2", "s", "x", "c", "u", T0, T0, T0.date(), "Real", 0.7, T1),
+             ("i3", "s", None, "c", "u", T0, T0, T0.date() + dt.timedelta(days=40), "Real", 0.7, T0), ("i3", "z", "y", None, "u", T0, T0, None, "Real", None, T1),
+             ("n1", None, "t", None, "u", T0, T0, None, "Fake", 0.5, None), (None, *art(1, T0.date())[1:])]
+    updates = spark.createDataFrame(later, GOLD_SCHEMA)
+    stored = spark.createDataFrame(before, GOLD_SCHEMA)
+    both = stored.withColumn("_later", F.lit(0)).unionByName(updates.withColumn("_later", F.lit(1)))
+    expected = folds(both, "id", ("_later", "scored_at")).select(*GOLD_SCHEMA.fieldNames()).collect()
+    serving.merge_into(spark, table, updates, batch="c")
+    assert any(wide)
+    assert sorted(map(str, lake.read_serving(spark, table).collect())) == sorted(map(str, expected))
+
+
 def test_updates_read_the_scored_rows_once(spark):
     plan = fx.updates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
