@@ -5,10 +5,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from credlake.schemas import GOLD_SCHEMA, SILVER_SCHEMA
-from credlake.session import work_dir
+from credlake.operators.clean import silver_filter
+from credlake.schemas import ENVELOPE_SCHEMA, GOLD_SCHEMA, RAW_SCHEMA, SILVER_SCHEMA
+from credlake.session import LISTING, few_tasks, work_dir
 from credlake.sources import fixtures as fx
 from credlake.sources import lake
+from credlake.sources.envelopes import parse_envelopes
 from credlake.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -62,3 +64,48 @@ def test_score_stream_takes_many_small_dates_in_one_batch(spark):
     q.awaitTermination()
     assert len([p for p in q.recentProgress if p["numInputRows"]]) == 1
     assert lake.read_layer(spark, f"{base}/gold", "gold").count() == 40
+
+
+def test_gold_of_an_old_date_has_one_writer_a_label(spark):
+    rows = [r for n in range(20) for r in silver_rows(T0.date(), n, 60)]
+    labelled = spark.createDataFrame(rows, SILVER_SCHEMA).withColumn("label", F.when(F.crc32("id") % 2 == 0, "Fake").otherwise("Real"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        dealt = jobs.by_date(labelled, "label").withColumn("task", F.spark_partition_id())
+        writers = dealt.groupBy("date", "label").agg(F.count_distinct("task").alias("n"))
+        assert {r.n for r in writers.collect()} == {1} and writers.count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def small_silver(spark, days):
+    base = work_dir(spark, "l")
+    rows = [r for n in range(days) for r in silver_rows(T0.date(), n, 1)]
+    spark.createDataFrame(rows, SILVER_SCHEMA).write.partitionBy("date").parquet(f"{base}/silver")
+    return base
+
+
+def test_many_small_files_are_scored_and_listed_in_few_tasks(spark):
+    base, ckpt = small_silver(spark, 40), work_dir(spark, "c")
+    q = jobs.run_score_stream(spark, base, ckpt, scored_at=lambda b: F.col("fetched_at"))
+    q.awaitTermination()
+    assert f"Coalesce {few_tasks(spark, lake.SCORE_BYTES_PER_TRIGGER)}" in q._jsq.explainInternal(False)
+    assert int(spark.conf.get(LISTING)) < 40 and few_tasks(spark) < 40 < few_tasks(spark, 1 << 33)
+    assert lake.read_layer(spark, f"{base}/gold", "gold").count() == 40
+
+
+def test_an_inventory_of_many_small_files_is_few_tasks(spark):
+    inventory = lake.layer_inventory(spark, small_silver(spark, 40))
+    assert f"Coalesce {few_tasks(spark)}" in inventory._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, inventory.collect())) == [("bronze", False, 0, 0), ("gold", False, 0, 0), ("silver", True, 40, 40)]
+
+
+def test_a_message_is_parsed_once_and_as_before(spark):
+    values = ['{"id":"a","title":"T","published_at":"2024-01-02T00:00:00+00:00"}', '{"id":"b","title":"cut', "not json", "", None, "{}", '{"title":"no id"}',
+              '[{"id":"c","title":"in a list"}]', '{"id":5,"title":{"x":1},"content":[1]}', '{"id":"d","id":"e","title":null}', '{"id":"f"} rest']
+    df = spark.createDataFrame([(str(k), v, T0) for k, v in enumerate(values)], ENVELOPE_SCHEMA)
+    article = F.from_json("value", RAW_SCHEMA)
+    each = df.where(article["id"].isNotNull()).select(*[article[f].alias(f) for f in RAW_SCHEMA.fieldNames()], F.col("key").alias("kafka_key"))
+    parsed = parse_envelopes(df)
+    assert sorted(map(str, parsed.drop("kafka_ts", "date").collect())) == sorted(map(str, each.collect()))
+    assert silver_filter(parsed)._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
